@@ -153,7 +153,9 @@ def stuck_frame_lines(signals: DataFrame, fps: DataFrame, members: DataFrame) ->
     return names.join(raw, "case_id").select(
         "case_id",
         F.lit("suspiciousTimedWaitingKeyFrame").alias("field"),
-        F.array(_names_line(F.col("n_raw"), F.col("items"))).alias("lines"),
+        F.lit(0).cast("bigint").alias("line_group"),
+        F.lit(0).alias("line_ord"),
+        _names_line(F.col("n_raw"), F.col("items")).alias("line"),
     )
 
 
@@ -166,13 +168,15 @@ def hot_path_lines(dominant: DataFrame, members: DataFrame) -> DataFrame:
     names = _first_lines(rows, ["case_id"], 20, ["ord"], "name")
     frame = F.when(F.col("key_frame") != "", F.col("key_frame")).otherwise(F.col("top_frame"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
+    lines = F.array(
+        F.concat(F.lit("Hot code path: "), frame),
+        _names_line(F.when(F.size(listed) > 0, F.col("count")).otherwise(0), listed),
+    )
     return best.join(names, "case_id", "left").select(
         "case_id",
         F.lit("dominantActiveFingerprintCount").alias("field"),
-        F.array(
-            F.concat(F.lit("Hot code path: "), frame),
-            _names_line(F.when(F.size(listed) > 0, F.col("count")).otherwise(0), listed),
-        ).alias("lines"),
+        F.lit(0).cast("bigint").alias("line_group"),
+        F.posexplode(lines).alias("line_ord", "line"),
     )
 
 
@@ -191,14 +195,11 @@ def monitor_class_lines(signals: DataFrame, monitors: DataFrame) -> DataFrame:
     names = F.array_join(F.slice("m.waiting_thread_names", 1, 15), ", ")
     waiting = F.concat(F.lit("Waiting threads ("), F.col("m.waiting_thread_count").cast("string"), F.lit("): "), names)
     lines = F.array_compact(F.array(F.concat(F.lit("Lock holder: "), F.col("m.lock_holder_thread")), waiting))
-    return (
-        per_dump.groupBy("case_id")
-        .agg(F.sort_array(F.collect_list(F.struct("dump_ord", lines.alias("lines")))).alias("l"))
-        .select(
-            "case_id",
-            F.lit("topBlockedMonitorClass").alias("field"),
-            F.flatten(F.transform("l", lambda x: x["lines"])).alias("lines"),
-        )
+    return per_dump.select(
+        "case_id",
+        F.lit("topBlockedMonitorClass").alias("field"),
+        F.col("dump_ord").cast("bigint").alias("line_group"),
+        F.posexplode(lines).alias("line_ord", "line"),
     )
 
 
@@ -216,7 +217,8 @@ def request_url_lines(urls: DataFrame) -> DataFrame:
     return top.select(
         "case_id",
         F.lit("activeRequestThreadCount").alias("field"),
-        F.concat(F.array(F.lit("Top requested URLs:")), F.col("items")).alias("lines"),
+        F.lit(0).cast("bigint").alias("line_group"),
+        F.posexplode(F.concat(F.array(F.lit("Top requested URLs:")), F.col("items"))).alias("line_ord", "line"),
     )
 
 
@@ -231,13 +233,18 @@ def blocked_info_lines(monitors: DataFrame) -> DataFrame:
     rows = monitors.join(earliest, ["case_id", "dump_ord"], "left_semi").withColumn("line", line)
     top = _first_lines(rows, ["case_id"], 5, ["first_ord"], "line")
     fields = F.explode(F.array(F.lit("blockedThreadCount"), F.lit("synchronizedBlockedMonitorCount")))
-    return top.select("case_id", fields.alias("field"), F.col("items").alias("lines"))
+    zero = F.lit(0).cast("bigint").alias("line_group")
+    rows = top.select("case_id", zero, F.posexplode("items").alias("line_ord", "line"))
+    return rows.select("case_id", fields.alias("field"), "line_group", "line_ord", "line")
 
 
 def evidence_lines(
     signals: DataFrame, dominant: DataFrame, fps: DataFrame, members: DataFrame, monitors: DataFrame
 ) -> DataFrame:
-    """Lines that a matched condition on a field adds, for every case: ``(case_id, field, lines)``."""
+    """Lines that a matched condition on a field adds, one row each: ``(case_id, field, line)`` in order.
+
+    Lines stay rows because their number grows with the dumps of a case.
+    """
     active = signals.where(F.col("activeRequestThreadCount") > 0).select("case_id")
     parts = [
         stuck_frame_lines(signals, fps, members),
@@ -249,30 +256,35 @@ def evidence_lines(
     return reduce(DataFrame.unionByName, parts)
 
 
-def findings(conditions: DataFrame, signatures: DataFrame, extra_lines: DataFrame) -> DataFrame:
-    """Ranked findings with evidence: the condition lines first, then what each matched field adds."""
-    scored = score_findings(conditions)
-    matched = conditions.where("matched").select("case_id", "signature_id", "cond_ord", "field")
-    added = (
-        matched.join(extra_lines, ["case_id", "field"])
-        .groupBy("case_id", "signature_id")
-        .agg(F.sort_array(F.collect_list(F.struct("cond_ord", "lines"))).alias("a"))
-        .select("case_id", "signature_id", F.flatten(F.transform("a", lambda x: x["lines"])).alias("added"))
+def finding_evidence(conditions: DataFrame, extra_lines: DataFrame) -> DataFrame:
+    """Evidence of every finding as ordered rows: condition lines first, then what each matched field adds.
+
+    Sort by ``(case_id, signature_id, pos)`` to read it.
+    """
+    matched = conditions.where("matched")
+    zero = F.lit(0).cast("bigint")
+    place = lambda part, group, at: F.struct(
+        F.lit(part).alias("part"), F.col("cond_ord"), group.alias("line_group"), at.alias("line_ord")
+    ).alias("pos")
+    base = matched.select(
+        "case_id", "signature_id", place(0, zero, F.lit(0)),
+        F.concat("description", F.lit(": "), "observed_value").alias("line"),
     )
-    base = F.transform(
-        "matched_conditions", lambda c: F.concat(c["description"], F.lit(": "), c["observed_value"])
+    added = matched.join(extra_lines, ["case_id", "field"]).select(
+        "case_id", "signature_id", place(1, F.col("line_group"), F.col("line_ord")), "line"
     )
+    return base.unionByName(added)
+
+
+def findings(conditions: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Ranked findings with name, next steps and related signatures."""
     about = signatures.select(
         F.col("id").alias("signature_id"),
         F.col("name").alias("signature_name"),
         F.col("nextSteps").alias("next_steps"),
         F.col("relatedSignatures").alias("related_signatures"),
     )
-    joined = scored.join(added, ["case_id", "signature_id"], "left")
-    nothing = F.array().cast("array<string>")
-    return lookup_join(joined, about, ["signature_id"], salt_on=F.col("case_id")).select(
+    return lookup_join(score_findings(conditions), about, ["signature_id"], salt_on=F.col("case_id")).select(
         "case_id", "rank", "signature_id", "signature_name", "confidence", "confidence_score",
-        "matched_conditions", "unmatched_conditions",
-        F.concat(base, F.coalesce("added", nothing)).alias("evidence"),
-        "next_steps", "related_signatures",
+        "matched_conditions", "unmatched_conditions", "next_steps", "related_signatures",
     )

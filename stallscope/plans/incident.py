@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
@@ -39,12 +40,13 @@ def derive_signals(dumps: DataFrame, threads: DataFrame, cases: DataFrame | None
     return IncidentFrames(signals, fps, members, monitors, cs.case_signals(signals, fps, members, monitors, cases))
 
 
-def match_cases(frames: IncidentFrames, signatures: DataFrame) -> DataFrame:
-    """Findings of every case, evidence included."""
+def match_cases(frames: IncidentFrames, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of every case, and their evidence as ordered rows."""
     signals = stage(frames.case_signals, "case-signals")
     dominant = cs.dominant_fingerprints(cs.largest_fingerprints(frames.fingerprints))
     lines = sm.evidence_lines(signals, dominant, frames.fingerprints, frames.members, frames.monitors)
-    return sm.findings(sm.evaluate_conditions(signals, signatures), signatures, lines)
+    conditions = sm.evaluate_conditions(signals, signatures)
+    return sm.findings(conditions, signatures), sm.finding_evidence(conditions, lines)
 
 
 def rematch(case_signals: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -54,6 +56,4 @@ def rematch(case_signals: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def signature_frequency(findings: DataFrame) -> DataFrame:
     """In how many cases each signature was found."""
-    from pyspark.sql import functions as F
-
     return findings.groupBy("signature_id").agg(F.countDistinct("case_id").alias("cases"))
