@@ -2,9 +2,9 @@
 
 The events are reduced along a few groupings, each pre-aggregated before its shuffle:
 
-* plain counters per service                       ``volume``
+* plain counters per service                       ``volume_counts`` -> ``volume``
 * counts per URL and POP                           ``url_pop_counts`` -> ``url_metrics``, ``pop_metrics``
-* counts per second                                ``second_metrics``
+* counts per second                                ``second_counts`` -> ``second_metrics``
 * counts per value of a source or header field     ``value_counts`` -> ``value_metrics``
 * counts per network                               ``network_counts`` -> ``network_metrics``
 * distinct request times per URL and POP           ``request_times`` -> ``gap_metrics``
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stallscope.functions import fixed
 from stallscope.functions.text import any_of, strip
 from stallscope.operators.quantile import exact_quantiles
-from stallscope.session import lookup_join, stage
+from stallscope.session import lookup_join, stage, stage_all
 
 KEYS = ["aem_service", "aem_tier"]
 NO_TIME = 2**62
@@ -113,15 +113,15 @@ def _ratio(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-def volume(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = MetricParams()) -> DataFrame:
-    """Counters and shares that need one pass and no second grouping."""
+def volume_counts(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = MetricParams()) -> DataFrame:
+    """Counters that need one pass and no second grouping."""
     miss, passed = F.col("is_miss"), F.col("is_pass")
     ok = F.col("status") == 200
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     high_vary = F.col("vary").rlike("(?i)" + any_of(fixed.HIGH_CARDINALITY_VARY))
     ttl = F.col("response_ttl")
     timed_cacheable = F.col("is_cacheable_state") & F.col("us").isNotNull()
-    counted = tagged.groupBy(*keys).agg(
+    return tagged.groupBy(*keys).agg(
         F.count("*").alias("totalRequests"),
         n(miss).alias("missCount"),
         n(F.col("is_hit")).alias("hitCount"),
@@ -139,7 +139,8 @@ def volume(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = Met
         n(flagged(F.col("ddos_action")) | flagged(F.col("deny_reason"))).alias("cdnDeniedCount"),
         n(miss & (ttl > 0) & (ttl < params.short_ttl_seconds)).alias("shortTtlMissCount"),
         n(miss & F.col("stale_ok")).alias("_stale"),
-        F.avg(F.when(miss & (ttl > 0), ttl)).alias("avgMissTtlSeconds"),
+        F.coalesce(F.sum(F.when(miss & (ttl > 0), ttl)), F.lit(0.0)).alias("_ttlSum"),
+        n(miss & (ttl > 0)).alias("_ttlCount"),
         n(miss & (F.col("vary") != "")).alias("_vary"),
         n(miss & high_vary).alias("_highVary"),
         n(miss & F.col("shielding_used")).alias("_shield"),
@@ -153,12 +154,19 @@ def volume(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = Met
         n(miss & F.col("fetch").startswith("pass")).alias("_misspass"),
         n(miss & F.col("max_age").isNull()).alias("_noTtl"),
         n(miss & F.col("no_store")).alias("_noStore"),
-        (F.max(F.when(timed_cacheable, F.col("us"))) - F.min(F.when(timed_cacheable, F.col("us")))).alias("_span"),
+        F.min(F.when(timed_cacheable, F.col("us"))).alias("_minCacheable"),
+        F.max(F.when(timed_cacheable, F.col("us"))).alias("_maxCacheable"),
         n(timed_cacheable).alias("_timedCacheable"),
-        (F.max("us") - F.min("us")).alias("_allSpan"),
+        F.min("us").alias("_minAll"),
+        F.max("us").alias("_maxAll"),
         F.count("us").alias("_timed"),
     )
-    window = F.coalesce(F.col("_span") / 1e6, F.lit(0.0))
+
+
+def volume(counted: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Counters and shares per service from the counts."""
+    window = F.coalesce((F.col("_maxCacheable") - F.col("_minCacheable")) / 1e6, F.lit(0.0))
+    all_span = F.coalesce((F.col("_maxAll") - F.col("_minAll")) / 1e6, F.lit(0.0))
     m = "missCount"
     return counted.select(
         *keys, "totalRequests", "missCount", "hitCount", "passCount", "otherCount",
@@ -176,7 +184,7 @@ def volume(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = Met
         "originError5xxCount", "cdnDeniedCount", "shortTtlMissCount",
         _ratio("shortTtlMissCount", m).alias("shortTtlMissShare"),
         _ratio("_stale", m).alias("staleEligibleMissShare"),
-        F.coalesce("avgMissTtlSeconds", F.lit(0.0)).alias("avgMissTtlSeconds"),
+        _ratio("_ttlSum", "_ttlCount").alias("avgMissTtlSeconds"),
         _ratio("_vary", m).alias("missVaryShare"),
         _ratio("_highVary", m).alias("highCardinalityVaryMissShare"),
         window.alias("windowSeconds"),
@@ -190,7 +198,7 @@ def volume(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = Met
         _ratio("_misspass", m).alias("misspassMissShare"),
         _ratio("_noTtl", m).alias("missNoPositiveTtlShare"),
         _ratio("_noStore", m).alias("missNoStoreShare"),
-        F.greatest(F.coalesce(F.col("_allSpan") / 1e6, F.lit(0.0)), F.lit(1.0)).alias("_burstWindow"),
+        F.greatest(all_span, F.lit(1.0)).alias("_burstWindow"),
         F.col("_timed"),
     )
 
@@ -314,8 +322,11 @@ def cold_seconds(url_pop: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return per_second.groupBy(*keys).agg(F.max("n").alias("_coldPeak"), F.sum("n").alias("_cold"))
 
 
-def second_metrics(tagged: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    per_second = tagged.where(F.col("second").isNotNull()).groupBy(*keys, "second").agg(F.count("*").alias("n"))
+def second_counts(tagged: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    return tagged.where(F.col("second").isNotNull()).groupBy(*keys, "second").agg(F.count("*").alias("n"))
+
+
+def second_metrics(per_second: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return per_second.groupBy(*keys).agg(F.max("n").alias("peakRequestsPerSec"))
 
 
@@ -389,7 +400,9 @@ def first_seen(rows: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     rows = rows.withColumn("us", F.coalesce("us", F.lit(NO_TIME)))
     earliest = rows.groupBy(*by).agg(F.min("us").alias("us"))
     at_first = lookup_join(rows.select(*by, "us", "ord", *cols), earliest, [*by, "us"])
-    return at_first.groupBy(*by).agg(F.min_by(F.struct(*cols), F.struct("ord", *cols)).alias("f")).select(*by, "f.*")
+    return at_first.groupBy(*by, "us").agg(F.min("ord").alias("ord"), F.min_by(F.struct(*cols), F.struct("ord", *cols)).alias("f")).select(
+        *by, "us", "ord", "f.*"
+    )
 
 
 def first_values(tagged: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -440,6 +453,7 @@ def request_times(tagged: DataFrame, keys: list[str] = KEYS, slice_seconds: int
         F.count_if(miss).alias("n_miss"),
         F.count_if(miss & (ttl > 0)).alias("n_ttl"),
         F.max_by(F.when(miss, ttl), F.when(miss, F.col("ord"))).alias("ttl"),
+        F.max(F.when(miss, F.col("ord"))).alias("ttl_ord"),
     )
 
 
@@ -634,6 +648,47 @@ TEXTS = [
 ]
 
 
+def partials(tagged: DataFrame, keys: list[str] = KEYS, params: MetricParams = MetricParams()) -> dict[str, DataFrame]:
+    """The reduced frames that all metrics come from. Parts of different events can be merged."""
+    return {
+        "volume": volume_counts(tagged, keys, params),
+        "url-pop": url_pop_counts(tagged, keys),
+        "seconds": second_counts(tagged, keys),
+        "values": value_counts(tagged, keys),
+        "networks": network_counts(tagged, keys),
+        "firsts": first_values(tagged, keys),
+        "times": request_times(tagged, keys, params.time_slice_seconds),
+    }
+
+
+PART_GROUPS = {
+    "volume": [], "url-pop": ["url", "pop"], "seconds": ["second"], "values": ["dim", "value"], "networks": ["asn"],
+    "firsts": ["dim", "grp"], "times": ["url", "pop", "us", "slice"],
+}
+MINIMA = {"first_miss_us", "_minCacheable", "_minAll"}
+MAXIMA = {"_maxCacheable", "_maxAll", "cloud"}
+
+
+def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """One part from the same part of several sets of events."""
+    by = [*keys, *PART_GROUPS[name]]
+    if name == "firsts":
+        first = F.min_by(F.struct("us", "ord", "a", "b"), F.struct("us", "ord", "a", "b"))
+        return rows.groupBy(*by).agg(first.alias("f")).select(*by, "f.*")
+    folds = []
+    for c in rows.columns:
+        if c in by or c in ("ttl", "ttl_ord"):
+            continue
+        fold = F.min if c in MINIMA else F.max if c in MAXIMA else F.sum
+        folds.append(fold(c).alias(c))
+    if name == "times":
+        folds += [F.max_by("ttl", "ttl_ord").alias("ttl"), F.max("ttl_ord").alias("ttl_ord")]
+    return rows.groupBy(*by).agg(*folds)
+
+
+REUSED_PARTS = ["url-pop", "values", "firsts", "times"]
+
+
 def cdn_metrics(
     events: DataFrame,
     baseline: DataFrame | None = None,
@@ -641,15 +696,27 @@ def cdn_metrics(
     params: MetricParams = MetricParams(),
 ) -> DataFrame:
     """All metrics of every service and tier (or other ``keys``): 89 scalars and 12 lists in one row."""
-    tagged = tag_events(events, params)
-    base = volume(tagged, keys, params)
-    url_pop = stage(url_pop_counts(tagged, keys), "url-pop")
-    urls = stage(url_counts(url_pop, keys), "urls")
-    values = stage(value_counts(tagged, keys), "values")
-    firsts = stage(first_values(tagged, keys), "firsts")
-    nets = stage(networks(network_counts(tagged, keys), firsts, keys), "networks")
-    times = stage(request_times(tagged, keys, params.time_slice_seconds), "times")
-    pops = stage(pop_counts(url_pop, baseline, keys, params), "pops")
+    parts = partials(tag_events(events, params), keys, params)
+    parts.update(stage_all({name: parts[name] for name in REUSED_PARTS}))
+    return metrics_from_parts(parts, baseline, keys, params)
+
+
+def metrics_from_parts(
+    parts: dict[str, DataFrame],
+    baseline: DataFrame | None = None,
+    keys: list[str] = KEYS,
+    params: MetricParams = MetricParams(),
+) -> DataFrame:
+    """Metrics from the reduced frames; those in ``REUSED_PARTS`` feed several branches and should be tables."""
+    url_pop, values, firsts = parts["url-pop"], parts["values"], parts["firsts"]
+    more = stage_all(
+        {
+            "urls": url_counts(url_pop, keys),
+            "networks": networks(parts["networks"], firsts, keys),
+            "pops": pop_counts(url_pop, baseline, keys, params),
+        }
+    )
+    urls, nets, pops = more["urls"], more["networks"], more["pops"]
 
     top_urls = top_miss_urls(urls, keys, params.top_k)
     top_pass = top_pass200_urls(urls, keys, params.top_k)
@@ -660,11 +727,11 @@ def cdn_metrics(
         url_metrics(urls, keys),
         pop_metrics(pops, keys),
         cold_seconds(url_pop, keys),
-        second_metrics(tagged, keys),
+        second_metrics(parts["seconds"], keys),
         value_metrics(values, keys),
         _listed_values(top_values(values, keys, params.top_k), keys),
         *_network_frames(nets, keys, params.top_k),
-        gap_metrics(times, keys),
+        gap_metrics(parts["times"], keys),
         top_urls.groupBy(*keys).agg(_listed(top_urls, keys, "topMissUrls", F.struct("url", "count", "pops"))),
         top_pass.groupBy(*keys).agg(_listed(top_pass, keys, "topPass200Urls", F.struct("url", "count"))),
         top_pops.groupBy(*keys).agg(_listed(top_pops, keys, "_popList", F.struct("pop", "count", "rare"))),
@@ -673,7 +740,7 @@ def cdn_metrics(
             sample("surrogateControl").alias("sampleMissSurrogateControl"),
         ),
     ]
-    return finish(combine([base, *frames], keys), keys, params)
+    return finish(combine([volume(parts["volume"], keys), *frames], keys), keys, params)
 
 
 def combine(frames: list[DataFrame], keys: list[str]) -> DataFrame:

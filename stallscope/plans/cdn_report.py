@@ -9,7 +9,7 @@ from stallscope.functions import cdn_texts as tx
 from stallscope.operators.cdn_findings import classify, fill
 from stallscope.operators.cdn_metrics import KEYS, MetricParams, cdn_metrics
 from stallscope.operators.upstream import resolve_upstream
-from stallscope.session import lookup_join
+from stallscope.session import lookup_join, stage
 from stallscope.sources.cdn_scan import cap_events, truncation, truncation_warning
 
 
@@ -62,7 +62,7 @@ def analyse_events(
     Without baseline rows for a service its POP rarity is judged within the window, with a warning.
     """
     capped = cap_events(events, max_events, keys)
-    metrics = cdn_metrics(capped, baseline, keys, params)
+    metrics = stage(cdn_metrics(capped, baseline, keys, params), "metrics")
     notes = []
     if max_events > 0:
         hit = truncation(events, max_events, keys).where("truncated").select(*keys, "truncated")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ def local_session(app: str = "stallscope", cores: str = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -54,6 +56,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage independent frames side by side, so that their jobs share the cluster."""
+    if not frames:
+        return {}
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        done = {label: pool.submit(stage, df, label) for label, df in frames.items()}
+        return {label: f.result() for label, f in done.items()}
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows; reads no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows

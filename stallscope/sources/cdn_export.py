@@ -5,6 +5,8 @@ Every shape is turned into the same record struct and then into one typed event
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,8 +159,9 @@ def read_export(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     lines = read_lines(spark, paths)
     events = parse_lines(lines)
-    with_events = {r[0] for r in events.select("source_file").distinct().collect()}
-    rest = [f for f in spark.read.text(paths).inputFiles() if f not in with_events]
+    plain = lambda uri: re.sub(r"^(\w+):/+", r"\1:/", uri)
+    with_events = {plain(r[0]) for r in events.select("source_file").distinct().collect()}
+    rest = [f for f in spark.read.text(paths).inputFiles() if plain(f) not in with_events]
     if not rest:
         return events
     whole = parse_documents(read_whole(spark, rest)).drop("pos")
