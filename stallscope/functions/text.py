@@ -22,36 +22,6 @@ def number_text(x: Column) -> Column:
     return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
-def rounded(x: Column) -> Column:
-    """Nearest integer, halves upward."""
-    return F.floor(x + F.lit(0.5)).cast("bigint")
-
-
-def percent(x: Column) -> Column:
-    """A 0..1 share as percent text; two decimals where rounding would claim 0% or 100% falsely."""
-    p = x * F.lit(100.0)
-    r = rounded(p)
-    near_edge = ((r == 100) & (p < 100)) | ((r == 0) & (p > 0))
-    return F.when(near_edge, F.format_string("%.2f%%", p)).otherwise(F.concat(r.cast("string"), F.lit("%")))
-
-
-def duration(s: Column) -> Column:
-    """Seconds as s / m / h / d text."""
-    s = s.cast("double")
-    hours = F.when(s % 3600 == 0, F.format_string("%.0fh", s / 3600)).otherwise(F.format_string("%.1fh", s / 3600))
-    return (
-        F.when(s <= 0, F.lit("0s"))
-        .when(s < 90, F.concat(rounded(s).cast("string"), F.lit("s")))
-        .when(s < 5400, F.concat(rounded(s / 60).cast("string"), F.lit("m")))
-        .when(s < 172800, hours)
-        .otherwise(F.concat(rounded(s / 86400).cast("string"), F.lit("d")))
-    )
-
-
-def fixed_decimals(x: Column, n: int) -> Column:
-    return F.format_string(f"%.{n}f", x.cast("double"))
-
-
 def like_pattern(glob: str) -> str:
     """A ``*`` / ``?`` glob as an SQL LIKE pattern."""
     out = []
@@ -94,21 +64,4 @@ def contains_any(col: Column, parts: list[str]) -> Column:
 def provider_in_name(name: Column, provider: Column) -> Column:
     """The provider keyword occurs in the network name as a whole word, in any case."""
     quoted = F.concat(F.lit(r"(?i)\b\Q"), provider, F.lit(r"\E\b"))
-    found = F.regexp_like(name, quoted)
-    return F.coalesce((name != "") & (provider != "") & found, F.lit(False))
-
-
-def lines(*items) -> Column:
-    """An array of text lines without the missing ones."""
-    return F.array_compact(F.array(*[F.lit(i) if isinstance(i, str) else i for i in items]))
-
-
-def say(template: str, **values) -> Column:
-    """Fill ``{name}`` holes of a message with columns."""
-    parts = []
-    for piece in re.split(r"(\{\w+\})", template):
-        if piece.startswith("{") and piece.endswith("}"):
-            parts.append(values[piece[1:-1]].cast("string"))
-        elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+    return F.coalesce((name != "") & (provider != "") & F.regexp_like(name, quoted), F.lit(False))

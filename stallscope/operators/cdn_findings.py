@@ -12,45 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallscope.functions import cdn_texts as tx
+from stallscope.functions.sqltext import decimals, duration, integer, percent, quote, short_decimals
 
 NO_TEXTS = "cast(array() AS array<string>)"
 UPSTREAM_TYPE = "struct<hostname: string, chain: array<string>, provider: string>"
 FORWARDED = "a.forwardedSample IS NOT NULL"
 
 
-def quote(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def percent(x: str) -> str:
-    p = f"(({x}) * 100)"
-    r = f"cast(floor({p} + 0.5) AS bigint)"
-    edge = f"(({r} = 100 AND {p} < 100) OR ({r} = 0 AND {p} > 0))"
-    return f"CASE WHEN {edge} THEN format_string('%.2f%%', cast({p} AS double)) ELSE concat({r}, '%') END"
-
-
-def integer(x: str) -> str:
-    return f"cast(cast(floor(({x}) + 0.5) AS bigint) AS string)"
-
-
-def decimals(x: str, n: int) -> str:
-    return f"format_string('%.{n}f', cast(({x}) AS double))"
-
-
-def short_decimals(x: str, n: int) -> str:
-    return f"regexp_replace({decimals(x, n)}, '\\\\.?0+$', '')"
-
-
-def duration(x: str) -> str:
-    s = f"cast(({x}) AS double)"
-    hours = f"CASE WHEN {s} % 3600 = 0 THEN {decimals(s + ' / 3600', 0)} ELSE {decimals(s + ' / 3600', 1)} END"
-    return (
-        f"CASE WHEN {s} <= 0 THEN '0s' WHEN {s} < 90 THEN concat({integer(s)}, 's') "
-        f"WHEN {s} < 5400 THEN concat({integer(s + ' / 60')}, 'm') WHEN {s} < 172800 THEN concat({hours}, 'h') "
-        f"ELSE concat({integer(s + ' / 86400')}, 'd') END"
-    )
-
-
 FORMATS = {
     "pct": percent,
     "dur": duration,

@@ -27,6 +27,7 @@ RAW_EVENT = T.StructType(
         T.StructField("xdata", T.StructType(_text(["request_via"]))),
     ]
 )
+KV_EVENT = T.StructType(_text(FIELDS))
 JSON_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -43,23 +44,31 @@ def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def kv_pairs(text: Column) -> Column:
-    """``key: value`` lines as a map, the last line of a key winning; collapsed objects read as ''."""
-    pattern = r"^([A-Za-z0-9_.-]+):\s?(.*)$"
-    kept = F.filter(
+KV_LINE = r"^([A-Za-z0-9_.-]+):\s?(.*)$"
+
+
+def kv_lines(text: Column) -> Column:
+    """The ``key: value`` lines of a block, without collapse marks and braces."""
+    return F.filter(
         F.transform(F.split(text, "\n", -1), strip),
-        lambda l: (l != "") & (l != "}") & ~l.startswith("{") & l.rlike(pattern),
+        lambda l: (l != "") & (l != "}") & ~l.startswith("{") & l.rlike(KV_LINE),
+    )
+
+
+def kv_record(text: Column) -> Column:
+    """A key-value block as a record: the last line of a key wins, collapsed objects read as ''.
+
+    The lines become one JSON object, so a single parse fills all fields; of repeated keys it keeps the last.
+    """
+    escaped = lambda l: F.replace(
+        F.replace(strip(F.regexp_extract(l, KV_LINE, 2)), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')
     )
-    value = lambda l: strip(F.regexp_extract(l, pattern, 2))
-    pairs = F.transform(
-        kept,
-        lambda l: F.struct(
-            F.regexp_extract(l, pattern, 1).alias("k"), F.when(value(l).startswith("{"), "").otherwise(value(l)).alias("v")
-        ),
+    value = lambda l: F.when(l.rlike(r"^[^:]+:\s*\{"), "").otherwise(escaped(l))
+    member = lambda l: F.concat(
+        F.lit('"'), F.regexp_extract(l, KV_LINE, 1), F.lit('":"'), value(l), F.lit('"')
     )
-    keys = F.transform(kept, lambda l: F.regexp_extract(l, pattern, 1))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
-    return F.map_from_entries(last)
+    json = F.concat(F.lit("{"), F.array_join(F.transform(kv_lines(text), member), ","), F.lit("}"))
+    return F.from_json(json, KV_EVENT, {"allowUnquotedControlChars": "true"})
 
 
 def _records(lines: DataFrame, rec: Column) -> DataFrame:
@@ -69,7 +78,9 @@ def _records(lines: DataFrame, rec: Column) -> DataFrame:
     raw = strip(F.col("_e._raw"))
     base = base.withColumn("_j", F.when(raw.startswith("{"), F.from_json(raw, RAW_EVENT, JSON_OPTIONS)))
     is_json = F.col("_j").isNotNull() & F.col("_j._corrupt_record").isNull()
-    base = base.withColumn("_kv", F.when(raw.isNotNull() & ~F.coalesce(is_json, F.lit(False)), kv_pairs(raw)))
+    block = F.when(raw.isNotNull() & ~F.coalesce(is_json, F.lit(False)), kv_record(raw))
+    # one-row explode: the optimizer would otherwise repeat the parse for every field taken from it
+    base = base.withColumn("_kv", F.explode(F.array(block)))
 
     def merged(name: str) -> Column:
         nested = F.col("_j.xdata.request_via") if name == "xdata.request_via" else F.col("_j")[name]
@@ -144,7 +155,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         *[(p if f.name == "_raw" else no_text.cast(f.dataType) if f.name != "result" else F.lit(None).cast(EVENT)).alias(f.name)
           for f in LINE.fields]
     )
-    has_pairs = F.size(F.map_keys(kv_pairs(p))) > 0
+    has_pairs = F.size(kv_lines(p)) > 0
     rows = F.coalesce(F.col("_a"), F.col("_w.results"), F.col("_w.result"), single, F.when(has_pairs, F.array(block)))
     keep = [c for c in docs.columns if c != "value"]
     events = parsed.select(*keep, F.posexplode(rows).alias("pos", "_r")).where(F.col("_r").isNotNull())
