@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from checks import cdn_checks, signature_checks, thread_checks
+from checks import case_checks, cdn_checks, signature_checks, thread_checks
 
-CHECKS = {**thread_checks.CHECKS, **signature_checks.CHECKS, **cdn_checks.CHECKS}
+CHECKS = {**thread_checks.CHECKS, **signature_checks.CHECKS, **cdn_checks.CHECKS, **case_checks.CHECKS}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stallscope.functions import cdn_texts as tx
 from stallscope.functions.sqltext import decimals, duration, integer, percent, quote, short_decimals
+from stallscope.session import stage
 
 NO_TEXTS = "cast(array() AS array<string>)"
 UPSTREAM_TYPE = "struct<hostname: string, chain: array<string>, provider: string>"
@@ -253,7 +254,12 @@ def classify(metrics: DataFrame) -> DataFrame:
 
 
 def finding_rows(classified: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings as rows, ``rank`` giving their order in the report of a service."""
-    return classified.select(*keys, F.posexplode("findings").alias("rank", "f")).select(
+    """Findings as rows, ``rank`` giving their order in the report of a service.
+
+    The few rows are written first: taken apart directly, the optimizer would build the whole list again
+    for every column of a finding.
+    """
+    table = stage(classified.select(*keys, "findings"), "findings")
+    return table.select(*keys, F.posexplode("findings").alias("rank", "f")).select(
         *keys, (F.col("rank") + 1).alias("rank"), "f.*"
     )

@@ -76,7 +76,7 @@ def analyse_events(
         metrics = metrics.withColumn("warnings", F.concat(F.array_compact(F.array(*notes)), F.col("warnings")))
     if cnames is not None:
         metrics = with_upstream(metrics, cnames)
-    return reports(metrics.drop("truncated"))
+    return stage(reports(metrics.drop("truncated")), "reports")
 
 
 def empty_report(spark, service: str, tier: str = "publish") -> DataFrame:
