@@ -10,6 +10,7 @@ from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
 from stallscope.plans.incident import derive_signals, match_cases, rematch, signature_frequency
+from stallscope.session import stage
 from stallscope.sources import signatures as sg
 
 CHECKS: dict[str, tuple] = {}
@@ -118,7 +119,7 @@ def signature_frequencies(spark, sf):
 
 
 def _frames(spark, sf):
-    threads = v.threads(spark, sf)
+    threads = stage(v.threads(spark, sf), "threads")
     return ds.fingerprints(threads), ds.fingerprint_members(threads), ds.blocked_monitors(threads)
 
 
@@ -214,7 +215,7 @@ def evidence_blocked_info(spark, sf):
 )
 def incident_findings(spark, sf):
     """The whole plan: staged threads, signals, matching, evidence rows."""
-    threads = v.threads(spark, sf)
+    threads = stage(v.threads(spark, sf), "threads")
     dumps = threads.select("case_id", "dump_id", "dump_ord").distinct().withColumn("content", F.lit('"a" #1\n"b" #2'))
     frames = derive_signals(dumps, threads)
     found, evidence = match_cases(frames, signature_set(spark))

@@ -10,6 +10,7 @@ from stallscope.functions.text import number_text
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import thread_query as q
+from stallscope.session import stage_all
 from stallscope.sources.dumps import file_counts, parse_threads
 
 CHECKS: dict[str, tuple] = {}
@@ -398,9 +399,10 @@ SIGNAL_COLUMNS = ", ".join(
 
 
 def signals(spark, sf):
-    threads = v.threads(spark, sf)
-    fps, monitors = ds.fingerprints(threads), ds.blocked_monitors(threads)
-    return cs.case_signals(ds.thread_counts(threads), fps, ds.fingerprint_members(threads), monitors)
+    """Case signals; threads, fingerprints and monitors feed several branches and are tables."""
+    parsed = stage_all({"threads": v.threads(spark, sf)})["threads"]
+    reduced = stage_all({"fps": ds.fingerprints(parsed), "monitors": ds.blocked_monitors(parsed)})
+    return cs.case_signals(ds.thread_counts(parsed), reduced["fps"], ds.fingerprint_members(parsed), reduced["monitors"])
 
 
 @check("case_signals", f"{SIGNALS_SQL} SELECT case_id, {SIGNAL_COLUMNS} FROM sig")

@@ -290,6 +290,7 @@ def pop_counts(
     if baseline is None:
         usual, used = F.lit(None).cast("double"), F.lit(0)
     else:
+        baseline = stage(baseline, "baseline")
         known = [k for k in keys if k in baseline.columns]
         base_totals = baseline.groupBy(*known).agg(F.sum("count").alias("_base"))
         rows = lookup_join(rows, baseline.withColumnRenamed("count", "_base_pop"), [*known, "pop"], "left")
@@ -398,7 +399,7 @@ def first_seen(rows: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     The earliest time per group is a plain hash aggregate; only the rows at that time are looked at again.
     """
     rows = rows.withColumn("us", F.coalesce("us", F.lit(NO_TIME)))
-    earliest = rows.groupBy(*by).agg(F.min("us").alias("us"))
+    earliest = stage(rows.groupBy(*by).agg(F.min("us").alias("us")), "earliest")
     at_first = lookup_join(rows.select(*by, "us", "ord", *cols), earliest, [*by, "us"])
     return at_first.groupBy(*by, "us").agg(F.min("ord").alias("ord"), F.min_by(F.struct(*cols), F.struct("ord", *cols)).alias("f")).select(
         *by, "us", "ord", "f.*"
@@ -457,8 +458,10 @@ def request_times(tagged: DataFrame, keys: list[str] = KEYS, slice_seconds: int
     )
 
 
-def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Gaps between consecutive requests of a URL (``agg``) and of a URL at one POP (``pop``), and re-fetch counts.
+def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Gaps between consecutive requests of a URL (kind ``agg``) and of a URL at one POP (``pop``), counted.
+
+    Kind ``refetch`` counts MISSes within the TTL of the previous MISS of the same URL and POP.
 
     Gaps inside a time slice come from windows over that slice; gaps across slices from the edges of
     each slice, of which there is one row per URL (and POP) and slice.
@@ -477,26 +480,24 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, D
         F.last(miss_ttl, ignorenulls=True).over(before).alias("prev_ttl"),
     )
     gap = lambda kind, us, n: F.struct(F.lit(kind).alias("kind"), us.alias("gap_us"), n.alias("n"))
-    one = F.lit(1).cast("bigint")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     extra = F.col("n") - 1
-    inner = F.array_compact(
-        F.array(
-            *[
-                part
-                for kind, col in (("agg", "gap_agg"), ("pop", "gap_pop"))
-                for part in (
-                    F.when(F.col(col).isNotNull(), gap(kind, F.col(col), one)),
-                    F.when(extra > 0, gap(kind, F.lit(0).cast("bigint"), extra)),
-                )
-            ]
-        )
-    )
     within = lambda prev, ttl, us: (ttl > 0) & (us - prev <= ttl * 1000000)
-    refetch_inside = F.when(
+    # inside one instant every MISS but the last is followed at once; the last may follow an earlier MISS
+    refetch = F.when(
         F.col("n_miss") > 0,
         F.col("n_ttl") - F.when(F.col("ttl") > 0, 1).otherwise(0)
         + F.when(within(F.col("prev_miss"), F.col("prev_ttl"), F.col("us")), 1).otherwise(0),
-    ).otherwise(0)
+    ).otherwise(0).cast("bigint")
+    inner = [
+        part
+        for kind, col in (("agg", "gap_agg"), ("pop", "gap_pop"))
+        for part in (
+            F.when(F.col(col).isNotNull(), gap(kind, F.col(col), one)),
+            F.when(extra > 0, gap(kind, zero, extra)),
+        )
+    ]
+    inner = F.array_compact(F.array(*inner, F.when(refetch > 0, gap("refetch", zero, refetch))))
 
     pop_edges = times.groupBy(*by_pop, "slice").agg(
         F.min("us").alias("lo"),
@@ -523,29 +524,22 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, D
     steps = lambda rows, kind: rows.where(F.col("gap_us").isNotNull()).select(
         *keys, F.lit(kind).alias("kind"), "gap_us", one.alias("n")
     )
-    gaps = (
+    late = pop_steps.where(within(F.col("prev_miss"), F.col("prev_ttl"), F.col("miss_lo")))
+    rows = (
         inside.select(*keys, F.inline(inner))
         .unionByName(steps(pop_steps, "pop"))
         .unionByName(steps(url_steps, "agg"))
+        .unionByName(late.select(*keys, F.lit("refetch").alias("kind"), zero.alias("gap_us"), one.alias("n")))
     )
-    refetches = (
-        inside.select(*keys, refetch_inside.cast("bigint").alias("r"))
-        .unionByName(
-            pop_steps.where(F.col("miss_lo").isNotNull() & F.col("prev_miss").isNotNull()).select(
-                *keys,
-                F.when(within(F.col("prev_miss"), F.col("prev_ttl"), F.col("miss_lo")), 1).otherwise(0).cast("bigint").alias("r"),
-            )
-        )
-        .groupBy(*keys)
-        .agg(F.sum("r").alias("refetchWithinTtlCount"))
-    )
-    return gaps, refetches
+    return rows.groupBy(*keys, "kind", "gap_us").agg(F.sum("n").alias("n"))
 
 
 def gap_metrics(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Median and P90 gaps per URL, P90 per URL and POP, their number, and re-fetches within the TTL."""
-    gaps, refetches = request_gaps(times, keys)
-    q = exact_quantiles(gaps, [*keys, "kind"], "gap_us", "n", {"p50": 0.5, "p90": 0.9})
+    counted = stage(request_gaps(times, keys), "gaps")
+    refetches = counted.where("kind = 'refetch'").groupBy(*keys).agg(F.sum("n").alias("refetchWithinTtlCount"))
+    gaps = counted.where("kind <> 'refetch'")
+    q = exact_quantiles(gaps, [*keys, "kind"], "gap_us", "n", {"p50": 0.5, "p90": 0.9}, counted=True)
     pick = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col)))
     wide = q.groupBy(*keys).agg(
         (pick("agg", "p50") / 1e6).alias("p50AggGapSeconds"),
@@ -553,7 +547,9 @@ def gap_metrics(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         (pick("pop", "p90") / 1e6).alias("p90PerPopGapSeconds"),
         pick("agg", "n").alias("_gaps"),
     )
-    return refetches.join(wide, keys, "left")
+    return combine([wide, refetches], keys).withColumn(
+        "refetchWithinTtlCount", F.coalesce("refetchWithinTtlCount", F.lit(0))
+    )
 
 
 def nice_ttl(seconds: Column, steps: list[int]) -> Column:

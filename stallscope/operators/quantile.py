@@ -13,13 +13,20 @@ def _slot(value: Column) -> Column:
     return F.floor(F.log2(value.cast("double") + 1.0) * 64).cast("int")
 
 
-def exact_quantiles(values: DataFrame, by: list[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    values: DataFrame, by: list[str], value: str, weight: str, probs: dict[str, float], counted: bool = False
+) -> DataFrame:
     """Linear-interpolated quantiles of weighted non-negative values, plus their number as ``n``.
 
     Values are counted per distinct value first. A histogram of coarse slots then finds the slots that
-    hold the wanted ranks, and only the distinct values of those slots are walked in order.
+    hold the wanted ranks, and only the distinct values of those slots are walked in order. ``counted``
+    says that ``values`` already is a table with one row per distinct value.
     """
-    counts = stage(values.groupBy(*by, value).agg(F.sum(weight).alias("w")).withColumn("slot", _slot(F.col(value))), "q")
+    if counted:
+        counts = values.withColumnRenamed(weight, "w")
+    else:
+        counts = stage(values.groupBy(*by, value).agg(F.sum(weight).alias("w")), "quantile")
+    counts = counts.withColumn("slot", _slot(F.col(value)))
     slots = counts.groupBy(*by, "slot").agg(F.sum("w").alias("w"))
     running = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
-from stallscope.session import stage
+from stallscope.session import stage, stage_all
 from stallscope.sources.dumps import parse_threads
 
 
@@ -34,9 +34,9 @@ def analyse_dumps(dumps: DataFrame, cases: DataFrame | None = None) -> IncidentF
 def derive_signals(dumps: DataFrame, threads: DataFrame, cases: DataFrame | None = None) -> IncidentFrames:
     """Signals from thread rows that are already a table; fingerprints and monitors feed several branches."""
     signals = ds.dump_signals(dumps, threads)
-    fps = stage(ds.fingerprints(threads, dumps), "fingerprints")
     members = ds.fingerprint_members(threads)
-    monitors = stage(ds.blocked_monitors(threads), "monitors")
+    reduced = stage_all({"fingerprints": ds.fingerprints(threads, dumps), "monitors": ds.blocked_monitors(threads)})
+    fps, monitors = reduced["fingerprints"], reduced["monitors"]
     return IncidentFrames(signals, fps, members, monitors, cs.case_signals(signals, fps, members, monitors, cases))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
-from stallscope.session import lookup_join
+from stallscope.session import lookup_join, stage
 
 SERVICE_KEYS = ["aem_service", "aem_tier"]
 
@@ -151,7 +151,7 @@ def cap_events(events: DataFrame, max_events: int = fixed.MAX_EVENTS, keys: list
         .where((F.col("_before") < max_events) & (F.col("_before") + F.col("n") >= max_events))
         .select(*keys, F.col("_sec").alias("_cut"), (F.lit(max_events) - F.col("_before")).alias("_left"))
     )
-    marked = lookup_join(rows, cut, keys, "left")
+    marked = lookup_join(rows, stage(cut, "cap"), keys, "left")
     early = marked.where(F.col("_cut").isNull() | (F.col("_sec") < F.col("_cut")))
     order = Window.partitionBy(*keys, "_sec").orderBy("time_start", "ord")
     last = marked.where(F.col("_sec") == F.col("_cut")).withColumn("_rn", F.row_number().over(order))
