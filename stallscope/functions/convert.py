@@ -13,7 +13,7 @@ LEADING_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 def to_number(v: Column) -> Column:
     """The number the text starts with; blank or bad text is 0."""
     digits = F.regexp_extract(strip(v), LEADING_NUMBER, 0)
-    return F.coalesce(digits.try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
 def to_bool(v: Column) -> Column:
@@ -25,5 +25,6 @@ def to_time(v: Column) -> Column:
     s = strip(v)
     digits = s.try_cast("bigint")
     epoch = F.when(F.length(s) > 10, F.timestamp_millis(digits)).otherwise(F.timestamp_seconds(digits))
-    iso = F.regexp_replace(s, "GMT$", "Z")
+    # blank text is taken out first: a failing cast costs an exception per row
+    iso = F.regexp_replace(F.nullif(s, F.lit("")), "GMT$", "Z")
     return F.when(s.rlike(r"^\d+$"), epoch).otherwise(iso.try_cast("timestamp"))

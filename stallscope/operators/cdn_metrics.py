@@ -60,19 +60,24 @@ def flagged(c: Column) -> Column:
     return ~F.lower(strip(F.coalesce(c, F.lit("")))).isin(fixed.BLANK_FLAGS)
 
 
+def digits_or_null(text: Column) -> Column:
+    """A number from digits. Blank text is taken out first: a failing cast costs an exception per row."""
+    return F.nullif(text, F.lit("")).try_cast("bigint")
+
+
 def max_age(surrogate: Column, cache: Column) -> Column:
     """Positive lifetime the origin sent: surrogate header first, s-maxage before max-age."""
     out = []
     for header in (surrogate, cache):
         for name in ("s-maxage", "max-age"):
             digits = F.regexp_extract(header, rf"(?i)(?:^|[^a-z-]){name}\s*=\s*0*([1-9][0-9]*)", 1)
-            out.append(digits.try_cast("bigint"))
+            out.append(digits_or_null(digits))
     return F.coalesce(*out)
 
 
 def stale_while(surrogate: Column, cache: Column) -> Column:
     pattern = r"(?i)stale-while-revalidate\s*=\s*0*([1-9][0-9]*)"
-    return F.coalesce(*[F.regexp_extract(h, pattern, 1).try_cast("bigint") for h in (surrogate, cache)])
+    return F.coalesce(*[digits_or_null(F.regexp_extract(h, pattern, 1)) for h in (surrogate, cache)])
 
 
 def tag_events(events: DataFrame, params: MetricParams = MetricParams()) -> DataFrame:
@@ -334,6 +339,15 @@ def second_metrics(per_second: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 # Values of source and header fields -------------------------------------------------------------------
 
 
+def spread(rows: DataFrame, keep: list[str], items: list[Column]) -> DataFrame:
+    """One row per item that is not null; the items are structs that start with a non-null field.
+
+    Nulls are dropped after the explode: that keeps the items in generated code.
+    """
+    out = rows.select(*keep, F.inline(F.array(*items)))
+    return out.where(F.col(out.columns[len(keep)]).isNotNull())
+
+
 def value_counts(tagged: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Counts per ``(dim, value)`` over the events each field is judged on; one shuffle for all fields."""
     miss = F.col("is_miss")
@@ -351,15 +365,11 @@ def value_counts(tagged: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         "maxAge": (miss & F.col("max_age").isNotNull(), F.col("max_age").cast("string")),
         "swr": (miss & F.col("max_age").isNotNull() & F.col("swr").isNotNull(), F.col("swr").cast("string")),
     }
-    pairs = F.array_compact(
-        F.array(
-            *[
-                F.when(F.coalesce(cond, F.lit(False)) & (value != ""), F.struct(F.lit(dim).alias("dim"), value.alias("value")))
-                for dim, (cond, value) in dims.items()
-            ]
-        )
-    )
-    return tagged.select(*keys, F.inline(pairs)).groupBy(*keys, "dim", "value").agg(F.count("*").alias("count"))
+    pairs = [
+        F.when(F.coalesce(cond, F.lit(False)) & (value != ""), F.struct(F.lit(dim).alias("dim"), value.alias("value")))
+        for dim, (cond, value) in dims.items()
+    ]
+    return spread(tagged, keys, pairs).groupBy(*keys, "dim", "value").agg(F.count("*").alias("count"))
 
 
 def value_metrics(counts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -416,15 +426,13 @@ def first_values(tagged: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.struct(F.lit(dim).alias("dim"), grp.alias("grp"), a.alias("a"), b.alias("b")),
     )
     name, via = F.coalesce("client_as_name", none), strip(F.coalesce("request_via", none))
-    pairs = F.array_compact(
-        F.array(
-            item(bad & (strip(F.col("cc")) != ""), "cacheControl", none, F.col("cc")),
-            item(bad & (strip(F.col("sc")) != ""), "surrogateControl", none, F.col("sc")),
-            item(asn != "", "name", asn, name),
-            item((asn != "") & F.col("forwarded"), "forwarded", asn, F.col("real_ip"), via),
-        )
-    )
-    return first_seen(tagged.select(*keys, "us", "ord", F.inline(pairs)), [*keys, "dim", "grp"], ["a", "b"])
+    pairs = [
+        item(bad & (strip(F.col("cc")) != ""), "cacheControl", none, F.col("cc")),
+        item(bad & (strip(F.col("sc")) != ""), "surrogateControl", none, F.col("sc")),
+        item(asn != "", "name", asn, name),
+        item((asn != "") & F.col("forwarded"), "forwarded", asn, F.col("real_ip"), via),
+    ]
+    return first_seen(spread(tagged, [*keys, "us", "ord"], pairs), [*keys, "dim", "grp"], ["a", "b"])
 
 
 def networks(counts: DataFrame, firsts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -497,7 +505,7 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             F.when(extra > 0, gap(kind, zero, extra)),
         )
     ]
-    inner = F.array_compact(F.array(*inner, F.when(refetch > 0, gap("refetch", zero, refetch))))
+    inner.append(F.when(refetch > 0, gap("refetch", zero, refetch)))
 
     pop_edges = times.groupBy(*by_pop, "slice").agg(
         F.min("us").alias("lo"),
@@ -526,7 +534,7 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
     late = pop_steps.where(within(F.col("prev_miss"), F.col("prev_ttl"), F.col("miss_lo")))
     rows = (
-        inside.select(*keys, F.inline(inner))
+        spread(inside, keys, inner)
         .unionByName(steps(pop_steps, "pop"))
         .unionByName(steps(url_steps, "agg"))
         .unionByName(late.select(*keys, F.lit("refetch").alias("kind"), zero.alias("gap_us"), one.alias("n")))

@@ -20,14 +20,7 @@ _text = lambda names: [T.StructField(n, T.StringType()) for n in names]  # noqa:
 EVENT = T.StructType(_text([*FIELDS, "_raw"]))
 LINE = T.StructType([*EVENT.fields, *_text(["lastrow", "preview", "_corrupt_record"]), T.StructField("result", EVENT)])
 WRAPPER = T.StructType([T.StructField("results", T.ArrayType(LINE)), T.StructField("result", T.ArrayType(LINE))])
-RAW_EVENT = T.StructType(
-    [
-        *_text([f for f in FIELDS if "." not in f]),
-        *_text(["_corrupt_record"]),
-        T.StructField("xdata", T.StructType(_text(["request_via"]))),
-    ]
-)
-KV_EVENT = T.StructType(_text(FIELDS))
+RAW_EVENT = T.StructType([*_text(FIELDS), T.StructField("xdata", T.StructType(_text(["request_via"])))])
 JSON_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -44,49 +37,44 @@ def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-KV_LINE = r"^([A-Za-z0-9_.-]+):\s?(.*)$"
+# One line of a block: a key with a value that is no collapsed object, else anything.
+KV_KEY = r"[A-Za-z0-9_.-]+"
+KV_LINE = rf"(?md)^[^\S\n]*(?:({KV_KEY}):[^\S\n]*+(?!\{{)(.*?)[^\S\n]*|.*)$\n?"
+JSON_START = r'^\{\s*["}]'
 
 
-def kv_lines(text: Column) -> Column:
-    """The ``key: value`` lines of a block, without collapse marks and braces."""
-    return F.filter(
-        F.transform(F.split(text, "\n", -1), strip),
-        lambda l: (l != "") & (l != "}") & ~l.startswith("{") & l.rlike(KV_LINE),
-    )
+def has_kv_lines(text: Column) -> Column:
+    return text.rlike(rf"(?md)^[^\S\n]*{KV_KEY}:")
 
 
-def kv_record(text: Column) -> Column:
-    """A key-value block as a record: the last line of a key wins, collapsed objects read as ''.
+def kv_json(text: Column) -> Column:
+    """A key-value block as JSON text: lines become members, other lines members without a name.
 
-    The lines become one JSON object, so a single parse fills all fields; of repeated keys it keeps the last.
+    Of repeated keys a parse keeps the last, as the block does; collapsed objects are left out.
     """
-    escaped = lambda l: F.replace(
-        F.replace(strip(F.regexp_extract(l, KV_LINE, 2)), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')
-    )
-    value = lambda l: F.when(l.rlike(r"^[^:]+:\s*\{"), "").otherwise(escaped(l))
-    member = lambda l: F.concat(
-        F.lit('"'), F.regexp_extract(l, KV_LINE, 1), F.lit('":"'), value(l), F.lit('"')
-    )
-    json = F.concat(F.lit("{"), F.array_join(F.transform(kv_lines(text), member), ","), F.lit("}"))
-    return F.from_json(json, KV_EVENT, {"allowUnquotedControlChars": "true"})
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit("{"), F.regexp_replace(escaped, KV_LINE, '"$1":"$2",'), F.lit('"":""}'))
 
 
 def _records(lines: DataFrame, rec: Column) -> DataFrame:
-    """Unwrap ``result`` and fill absent fields from ``_raw``, JSON or key-value."""
-    inner = F.coalesce(rec["result"], F.struct(*[rec[f].alias(f) for f in EVENT.fieldNames()]))
-    base = lines.withColumn("_e", inner)
-    raw = strip(F.col("_e._raw"))
-    base = base.withColumn("_j", F.when(raw.startswith("{"), F.from_json(raw, RAW_EVENT, JSON_OPTIONS)))
-    is_json = F.col("_j").isNotNull() & F.col("_j._corrupt_record").isNull()
-    block = F.when(raw.isNotNull() & ~F.coalesce(is_json, F.lit(False)), kv_record(raw))
-    # one-row explode: the optimizer would otherwise repeat the parse for every field taken from it
-    base = base.withColumn("_kv", F.explode(F.array(block)))
+    """Unwrap ``result`` and fill absent fields from ``_raw``, JSON or key-value.
+
+    The one-row explode keeps the optimizer from repeating the parse for every field taken from it. Text
+    that cannot be a JSON object is not tried as one: a failed parse costs an exception per row.
+    """
+    keep = [c for c in lines.columns if not c.startswith("_")]
+    wrapped = rec["result"].isNotNull()
+    own = [F.when(wrapped, rec["result"][f]).otherwise(rec[f]).alias(f"own{i}") for i, f in enumerate([*FIELDS, "_raw"])]
+    raw = strip(F.col(f"own{len(FIELDS)}"))
+    text = F.when(raw.rlike(JSON_START), raw).otherwise(kv_json(raw))
+    inner = F.from_json(text, RAW_EVENT, {"allowUnquotedControlChars": "true"})
+    base = lines.select(*keep, *own).withColumn("_j", F.explode(F.array(inner)))
 
-    def merged(name: str) -> Column:
-        nested = F.col("_j.xdata.request_via") if name == "xdata.request_via" else F.col("_j")[name]
-        return F.coalesce(F.col("_e")[name], F.when(is_json, nested), F.col("_kv")[name]).alias(name)
+    def merged(i: int, name: str) -> Column:
+        dotted = [F.col("_j.xdata.request_via")] if name == "xdata.request_via" else []
+        return F.coalesce(F.col(f"own{i}"), F.col("_j")[name], *dotted).alias(name)
 
-    return base.withColumn("rec", F.struct(*[merged(f) for f in FIELDS])).drop("_e", "_j", "_kv")
+    return base.select(*keep, F.struct(*[merged(i, f) for i, f in enumerate(FIELDS)]).alias("rec"))
 
 
 def typed_events(records: DataFrame) -> DataFrame:
@@ -119,7 +107,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     cleaned = lines.withColumn("_t", F.regexp_replace(strip(F.col("value")), r",\s*$", "")).where(
         F.col("_t").startswith("{") & ~F.col("_t").rlike(r"^\{\s*\}$")
     )
-    parsed = cleaned.withColumn("_r", F.from_json("_t", LINE, JSON_OPTIONS)).where(
+    # one-row explode: filters on the record would otherwise be pushed below the parse and repeat it
+    parsed = cleaned.withColumn("_r", F.explode(F.array(F.from_json("_t", LINE, JSON_OPTIONS)))).where(
         F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull()
     )
     r = F.col("_r")
@@ -127,7 +116,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         "cache_status"
     ].isNull()
     events = _records(parsed.where(~marker), F.col("_r"))
-    return typed_events(events.drop("_t", "_r", "value"))
+    return typed_events(events.drop("value"))
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
@@ -155,11 +144,11 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         *[(p if f.name == "_raw" else no_text.cast(f.dataType) if f.name != "result" else F.lit(None).cast(EVENT)).alias(f.name)
           for f in LINE.fields]
     )
-    has_pairs = F.size(kv_lines(p)) > 0
+    has_pairs = has_kv_lines(p)
     rows = F.coalesce(F.col("_a"), F.col("_w.results"), F.col("_w.result"), single, F.when(has_pairs, F.array(block)))
     keep = [c for c in docs.columns if c != "value"]
     events = parsed.select(*keep, F.posexplode(rows).alias("pos", "_r")).where(F.col("_r").isNotNull())
-    return typed_events(_records(events, F.col("_r")).drop("_r"))
+    return typed_events(_records(events, F.col("_r")))
 
 
 def read_export(spark: SparkSession, paths: str | list[str]) -> DataFrame:
