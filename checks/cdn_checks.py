@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -526,16 +526,15 @@ def cdn_metrics_by_day(spark, sf):
 def cdn_stream_metrics(spark, sf):
     """The events as arriving micro-batches, reduced, merged and finished."""
     e = events(spark, sf)
-    folder = tempfile.mkdtemp(prefix="stream-") if spark.sparkContext.master.startswith("local") else checkpoint_dir(spark)
-    source = f"{folder}/in-{abs(hash(sf)) % 10**8}"
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = f"{folder}/in"
     e.withColumn("time_start", F.col("time_start").cast("timestamp")).repartitionByRange(3, "ord").sortWithinPartitions(
         "ord"
     ).write.mode("overwrite").parquet(source)
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    work = tempfile.mkdtemp(prefix="parts-", dir=folder) if folder.startswith("/") else folder
-    st.write_partials(stream, f"{work}/parts", f"{work}/cp").trigger(availableNow=True).start().awaitTermination()
-    return _gap_digits(st.stream_metrics(spark, f"{work}/parts", baseline(spark, sf)).select("aem_service", "aem_tier", *cm.SCALARS))
+    st.write_partials(stream, f"{folder}/parts", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return _gap_digits(st.stream_metrics(spark, f"{folder}/parts", baseline(spark, sf)).select("aem_service", "aem_tier", *cm.SCALARS))
 
 
 # Findings and reports ---------------------------------------------------------------------------------
