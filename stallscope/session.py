@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,27 +36,56 @@ def local_session(app: str = "stallscope", cores: str = "*", shuffle_partitions:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set (tests)."""
+    """The shared folder the cluster names; a scratch folder only for a local session that names none (tests)."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    scratch = tempfile.mkdtemp(prefix="stallscope-")
-    spark.conf.set(CHECKPOINT_CONF, scratch)
-    return scratch
+    return _local_scratch()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="stallscope-")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    Used where one shuffled frame feeds several branches: the branches then share the work, read
-    only their own columns, and a lost executor costs a re-read instead of the whole lineage.
+
+class Staging:
+    """Tables of one job in the shared folder: written once, read by several branches, removed after use.
+
+    A branch then reads only its own columns, and a lost executor costs a re-read instead of the
+    whole lineage. ``drop`` removes a table as soon as nothing reads it any more; what a lazily
+    returned result still reads is removed when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self.close)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove_path(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before the process
+            remove_path(self.spark, self.root)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """One frame that feeds several branches, staged (see :class:`Staging`)."""
+    return Staging(df.sparkSession, label).write("table", df)
 
 
 def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
