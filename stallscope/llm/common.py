@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +17,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once in a task, in bytes; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which may have no copy of it; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="stallscope-code-")  # the driver's own; Spark serves the file from here
+        context.addPyFile(shutil.make_archive(f"{folder}/stallscope", "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def crc_part(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
@@ -40,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Of every word, in order: the number of its row, and the word (A-Z in lower case). A null text has none."""
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy: Arrow's lower-casing is wrong on a cast slice
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     rows, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
@@ -86,7 +102,3 @@ def shingle_hashes(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.
         step = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[np.minimum(at + k, n - 1)])
         out = np.where(there, step, out)
     return rows[at], out
-
-
-def string_column(values: list[str]) -> pa.Array:
-    return pa.array(values, pa.string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallscope.llm import chat_format, html_text, language_bits, mixing, quality_rules, secret_scan, token_counts
+from stallscope.llm import chat_format, html_text, language_bits, mixing, odd_sketch, quality_rules, secret_scan, token_counts
 from stallscope.llm.common import table
 
 
@@ -21,6 +21,31 @@ def op5_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), odd_sketch.Near(shingle=2))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(other, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def op7_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(1).select(
@@ -63,6 +88,7 @@ CHECKS = {
     "op1_language_bits": (op1_language_bits, None),
     "op2_quality_votes": (op2_quality_votes, None),
     "op5_secret_novelty": (op5_secret_novelty, None),
+    "op6_odd_sketch": (op6_odd_sketch, OP6_SQL),
     "op7_chat_layouts": (op7_chat_layouts, OP7_SQL),
     "op8_html_blocks": (op8_html_blocks, None),
     "op9_token_counts": (op9_token_counts, None),
