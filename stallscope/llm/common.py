@@ -74,15 +74,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; equal words are hashed once."""
-    import xxhash
+_DRAW = np.random.default_rng(64)
+_BYTE = _DRAW.integers(0, 2**64, 256, dtype=np.uint64)  # a value for each byte, and the powers of an odd number for its place
+_POWER = np.cumprod(np.r_[np.uint64(1), np.full(1023, np.uint64(0x9E3779B97F4A7C13))], dtype=np.uint64)
+HASHED = 1 << 16  # words hashed at once
+
 
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes and their places; words aren't empty."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    coded = words.dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return known[coded.indices.to_numpy(zero_copy_only=False)]
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    out = np.empty(len(words), np.uint64)
+    for a in range(0, len(words), HASHED):
+        part = ends[a : a + HASHED + 1]
+        lengths = np.diff(part)
+        place = np.arange(part[0], part[-1]) - np.repeat(part[:-1], lengths)
+        power = _POWER[place % 1024] if lengths.max() <= 1024 else _POWER[place % 1024] ^ mix64(place // 1024)
+        sums = np.add.reduceat(_BYTE[data[part[0] : part[-1]]] * power, part[:-1] - part[0])
+        out[a : a + HASHED] = mix64(sums + lengths.astype(np.uint64))
+    return out
 
 
 def shingle_hashes(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallscope.llm import chat_format, html_text, interpolated_lm, language_bits, mixing, odd_sketch, quality_rules, secret_scan, token_counts
+from stallscope.llm import chat_format, decontaminate, html_text, interpolated_lm, language_bits, mixing, odd_sketch, quality_rules, secret_scan, token_counts
 from stallscope.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -92,6 +96,7 @@ CHECKS = {
     "op1_language_bits": (op1_language_bits, None),
     "op2_quality_votes": (op2_quality_votes, None),
     "op3_interpolated_lm": (op3_interpolated_lm, None),
+    "op4_simhash_windows": (op4_simhash_windows, None),
     "op5_secret_novelty": (op5_secret_novelty, None),
     "op6_odd_sketch": (op6_odd_sketch, OP6_SQL),
     "op7_chat_layouts": (op7_chat_layouts, OP7_SQL),
