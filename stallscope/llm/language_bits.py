@@ -197,7 +197,10 @@ def decide(model: Model, texts: list[str | None], filters: Filters) -> tuple[lis
 
 
 def predict(docs: DataFrame, model: Model, filters: Filters = Filters(), keep: float | None = None) -> DataFrame:
-    """doc_id, lang_pred and score of every row; with ``keep``, instead the rows themselves that reach this score."""
+    """doc_id, lang_pred and score of every row; with ``keep``, instead the rows themselves that reach this score.
+
+    Where no language was learned, nothing is rejected.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # positions x languages bits
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +212,7 @@ def predict(docs: DataFrame, model: Model, filters: Filters = Filters(), keep: f
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     if keep is not None:
-        return docs.mapInArrow(decided, docs.schema)
+        return docs.mapInArrow(decided, docs.schema) if model.languages else docs
     return docs.select("doc_id", "text").mapInArrow(decided, "doc_id long, lang_pred string, score double")
 
 

@@ -4,8 +4,8 @@
    is shared again by weight among the others, until none is above (``targets``).
 2. Blocks. A hash deals each source's documents into blocks of about ``block_size``. A source with a target above
    its size takes all blocks once for every whole pass, and a part of them once more. Blocks are taken in a
-   permuted order (by a hash of source, pass and block) until the target is reached; in the block where that
-   happens, documents are taken in permuted order up to the one that ends nearest the target.
+   permuted order (by a hash of source, pass and block) as long as they fit; the gap that is left is filled with
+   those documents of the next few blocks that fit.
 3. Splitting tree. The taken blocks of each source are an exact quota. A binary tree splits the quotas of all
    sources among the output shards: at each node the left half's share of every source is one multivariate
    hypergeometric draw, so each shard gets the blocks of a random partition without anybody drawing block by
@@ -27,6 +27,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,10 @@ class Mix:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)  # by the place of the source in code-point order, repeating
     total: float = 1.5  # size of the mix as a share of all sizes
     repeats: float = 2.0  # most a source, and a document, is taken
-    shards: int = 64  # a power of two
-    block_share: float = 1 / 512  # blocks a source is dealt into: one for this share of its size, ...
-    block_size: int = 4_000_000  # ... and more where blocks would be larger than this
+    shard_size: int = 16_000_000  # of the mix; the number of shards is the next power of two
+    block_size: int = 250_000  # of documents of one source ...
+    least_blocks: int = 512  # ... of which it has this many at least, or one for each document
+    edge_blocks: int = 16  # blocks whose documents fill the last gap to the target
     seed: int = 20
     max_sources: int = 100_000
 
@@ -86,6 +88,27 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _same(*names: str) -> list[Column]:
+    return [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
+
+
+def _fill(edge: pd.DataFrame) -> pd.DataFrame:
+    """Of the documents at one source's edge, in permuted order, those that still fit, and one more where that ends
+    nearer the target. Rows of one number go together."""
+    left, taken, beyond = float(edge["need"].iloc[0]), [], []
+    for _, rows in edge.sort_values(["key", "doc_id"]).groupby(["key", "doc_id"], sort=False, dropna=False):
+        size, row = int(rows["size"].sum()), rows.iloc[:1]
+        if size <= left:
+            left -= size
+            taken.append(row)
+        else:
+            beyond.append((size, row))
+    size, row = min(beyond, key=lambda x: x[0], default=(0, None))
+    if row is not None and size < 2 * left:
+        taken.append(row)
+    return (pd.concat(taken) if taken else edge.iloc[:0])[["source", "doc_id"]]
+
+
 def plan_mix(sized: DataFrame, mix: Mix, staging: Staging) -> DataFrame:
     """Per row of ``sized`` (doc_id, source, size): source_size, target, and copies as an array of shards.
 
@@ -95,49 +118,56 @@ def plan_mix(sized: DataFrame, mix: Mix, staging: Staging) -> DataFrame:
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(mix.max_sources + 1).collect()
     if len(rows) > mix.max_sources:
         raise ValueError(f"more than {mix.max_sources} sources")
-    rows = sorted(rows, key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
+    rows = sorted(rows, key=lambda r: (r.source is None, r.source or ""))
     weights = [mix.weights[i % len(mix.weights)] for i in range(len(rows))]
-    wanted = targets([r["size"] for r in rows], weights, mix.total * sum(r["size"] for r in rows), mix.repeats)
-    blocks = [max(1, min(r.docs, max(round(1 / mix.block_share), -(-r["size"] // mix.block_size)))) for r in rows]
+    total = mix.total * sum(r["size"] for r in rows)
+    wanted = targets([r["size"] for r in rows], weights, total, mix.repeats)
+    blocks = [max(1, min(r.docs, max(mix.least_blocks, -(-r["size"] // mix.block_size)))) for r in rows]
     sources = spark.createDataFrame(
         [(r.source, int(r["size"]), float(t), int(b)) for r, t, b in zip(rows, wanted, blocks, strict=True)], "source string, source_size long, target double, blocks long"
     )
     # The table of sources is bounded by max_sources.
-    known = sized.join(F.broadcast(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    dealt = known.withColumn("block", F.pmod(_hash(mix.seed, F.col("source"), F.col("doc_id")), F.col("blocks")))
-
-    # Blocks in permuted order, one row for each pass; where a pass reaches the target.
-    by_block = dealt.groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("block_size"))
-    passes = by_block.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))) - 1))))
-    need = F.col("target") - F.col("pass") * F.col("source_size")
-    order = Window.partitionBy("source", "pass").orderBy(_hash(mix.seed + 1, F.col("source"), F.col("block"), F.col("pass")), "block")
-    ranked = passes.withColumn("need", need).withColumn("upto", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order) - 1)
-    before = F.col("upto") - F.col("block_size")
-    taken = ranked.where((before < F.col("need")) & (F.col("need") > 0)).select(
-        "source", "block", "pass", "rank", (F.col("need") - before).alias("need"), (F.col("upto") > F.col("need")).alias("partial")
+    known = sized.alias("l").join(F.broadcast(sources.alias("r")), _same("source")).select("l.*", "r.source_size", "r.target", "r.blocks")
+    dealt = known.withColumn("block", F.pmod(_hash(mix.seed, F.col("source"), F.col("doc_id")), F.col("blocks"))).drop("blocks")
+
+    # Blocks in permuted order, one row for each pass; the first that goes beyond the target opens the edge.
+    by_block = dealt.groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("size"))
+    last_pass = F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))) - 1)
+    passes = by_block.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last_pass))).withColumn("need", F.col("target") - F.col("pass") * F.col("source_size"))
+    in_pass = Window.partitionBy("source", "pass")
+    order = in_pass.orderBy(_hash(mix.seed + 1, F.col("source"), F.col("block"), F.col("pass")), "block")
+    ranked = (
+        passes.where("need > 0").withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+        .withColumn("edge", F.min(F.when(F.col("upto") > F.col("need"), F.col("rank"))).over(in_pass)).withColumn("rest", F.col("need") - F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).over(in_pass))
+    )
+    at_edge = F.coalesce(F.col("rank") >= F.col("edge"), F.lit(False))
+    taken = ranked.where(~at_edge | (F.col("rank") < F.col("edge") + mix.edge_blocks)).select(
+        "source", "block", "pass", "rank", at_edge.alias("at_edge"), (F.col("rank") == F.col("edge")).alias("opens"), F.coalesce("rest", "need").alias("need")
     )
     taken = staging.write("taken", taken)
 
-    # Quotas, the splitting tree, and each shard's run of each source's blocks.
-    quotas = {(r.source, r["pass"]): r.n for r in taken.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keys = sorted(quotas, key=lambda k: (k[0] is None, k[0] or "", k[1]))
-    runs = split_quotas(np.array([quotas[k] for k in keys], np.int64), mix.shards, mix.seed).cumsum(axis=0)
-    ends = spark.createDataFrame([(s, p, [int(x) for x in runs[:, i]]) for i, (s, p) in enumerate(keys)], "source string, pass long, ends array<long>")
-    same = lambda *names: [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
-    placed = taken.alias("l").join(F.broadcast(ends.alias("r")), same("source", "pass")).select(
-        "l.source", "l.block", "l.pass", "l.need", "l.partial", F.size(F.filter("r.ends", lambda e: e <= F.col("l.rank"))).alias("shard")
-    )
-    whole = placed.where("not partial").groupBy("source", "block").agg(F.array_sort(F.collect_list("shard")).alias("copies"))
-    # At most one partial block for each source: its documents in permuted order, up to the one nearest the target.
-    cut = dealt.alias("l").join(F.broadcast(placed.where("partial").limit(mix.max_sources)).alias("r"), same("source", "block")).select("l.doc_id", "l.source", "l.size", "r.pass", "r.need", "r.shard")
-    # Documents of one number are peers, taken together.
-    cut = cut.withColumn("key", _hash(mix.seed + 2, F.col("source"), F.col("doc_id")))
-    ends_at = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("upto", F.sum("size").over(ends_at)).withColumn("own", F.sum("size").over(Window.partitionBy("source", "key")))
-    some = cut.where(F.col("upto") - F.col("own") / 2 <= F.col("need")).select("source", "doc_id", "shard").distinct()
-
-    full = dealt.alias("l").join(whole.alias("r"), same("source", "block"), "left").select("l.*", F.coalesce("r.copies", F.array().cast("array<int>")).alias("copies"))
-    both = full.alias("l").join(some.alias("r"), same("source", "doc_id"), "left")
+    # Exact quotas (the edge counts as one block), the splitting tree, and each shard's run of each source's blocks.
+    placed_blocks = taken.where(~F.col("at_edge") | F.col("opens"))
+    quotas = sorted(placed_blocks.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda q: (q.source is None, q.source or "", q["pass"]))
+    shards = 1 << max(0, int(np.ceil(np.log2(max(1.0, total / mix.shard_size)))))
+    split = split_quotas(np.array([q.n for q in quotas], np.int64), shards, mix.seed)
+    shard, key = np.nonzero(split)
+    first = (split.cumsum(axis=0) - split)[shard, key]
+    runs = spark.createDataFrame(
+        pd.DataFrame({"source": [quotas[k].source for k in key], "pass": [quotas[k]["pass"] for k in key], "shard": shard, "first": first, "n": split[shard, key]}),
+        "source string, pass long, shard int, first long, n long",
+    ).select("source", "pass", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
+    placed = placed_blocks.alias("l").join(runs.alias("r"), _same("source", "pass", "rank")).select("l.source", "l.block", "l.pass", "l.at_edge", "r.shard")
+    whole = placed.where("not at_edge").groupBy("source", "block").agg(F.array_sort(F.collect_list("shard")).alias("copies"))
+
+    # The edge: what still fits of the documents of a few blocks; a source has one edge at most.
+    near = taken.where("at_edge").select("source", "block", "need")
+    edge = dealt.alias("l").join(near.alias("r"), _same("source", "block")).select("l.doc_id", "l.source", "l.size", "r.need", _hash(mix.seed + 2, F.col("l.source"), F.col("l.doc_id")).alias("key"))
+    fits = edge.groupBy("source").applyInPandas(_fill, "source string, doc_id long")
+    some = fits.alias("l").join(F.broadcast(placed.where("at_edge").limit(mix.max_sources)).alias("r"), _same("source")).select("l.source", "l.doc_id", "r.shard")
+
+    full = dealt.alias("l").join(whole.alias("r"), _same("source", "block"), "left").select("l.*", F.coalesce("r.copies", F.array().cast("array<int>")).alias("copies"))
+    both = full.alias("l").join(some.alias("r"), _same("source", "doc_id"), "left")
     copies = F.when(F.col("r.shard").isNull(), F.col("l.copies")).otherwise(F.concat(F.col("l.copies"), F.array("r.shard")))
     return both.select("l.doc_id", "l.source", "l.size", "l.source_size", "l.target", copies.alias("copies"))
 
@@ -156,15 +186,14 @@ def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed corpus: a row for each copy of each document taken, with its shard, in shuffled order in each shard.
 
-    Every shard is one partition and sorted by a hash of document and copy; ``mix_shard`` and ``mix_copy`` follow
+    A shard lies in one partition, sorted by a hash of document and copy; ``mix_copy`` and ``mix_shard`` follow
     the columns of ``docs`` (which must not have columns of these names).
     """
     staging = Staging(docs.sparkSession, "mix")
     planned = plan_mix(staging.write("sized", sized_documents(docs)), mix, staging)
     # Rows of one number and source share their copies; repeated rows must not multiply each other.
     copies = planned.where(F.size("copies") > 0).groupBy("doc_id", "source").agg(F.first("copies").alias("_copies"))
-    columns = docs.columns
-    joined = docs.alias("l").join(copies.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.source").eqNullSafe(F.col("r.source")))
-    rows = joined.select(*[F.col(f"l.{c}") for c in columns], F.posexplode("r._copies").alias("mix_copy", "mix_shard"))
+    joined = docs.alias("l").join(copies.alias("r"), _same("doc_id", "source"))
+    rows = joined.select(*[F.col(f"l.{c}") for c in docs.columns], F.posexplode("r._copies").alias("mix_copy", "mix_shard"))
     place = _hash(mix.seed + 3, F.col("doc_id"), F.col("mix_copy"))
-    return rows.repartition(mix.shards, "mix_shard").sortWithinPartitions("mix_shard", place)
+    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", place)
