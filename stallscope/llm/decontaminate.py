@@ -149,7 +149,9 @@ def size_index(prints: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Size
 
 def weighted_shingles(hashes: np.ndarray, weights: np.ndarray, size: int) -> dict[int, tuple[int, int]]:
     out: dict[int, tuple[int, int]] = {}
-    keys = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
+    if len(hashes) < size:
+        return out
+    keys = np.zeros(len(hashes) - size + 1, np.uint64)
     for k in range(size):
         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(keys)])
     sums = np.convolve(weights.astype(np.int64), np.ones(size, np.int64), "valid")

@@ -36,6 +36,7 @@ from stallscope.session import Staging
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3)
+BLANK = 0x20
 DENSE = 1 << 24  # n-gram numbers of a slice up to this many are counted in an array, others by sorting
 
 
@@ -54,7 +55,7 @@ def _letters() -> np.ndarray:
 
 
 def letter_runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and code point of every character that counts: letters, and one blank (0) for each run of others.
+    """Row and code point of every character that counts: letters, and one blank for each run of others.
 
     Every row with a letter starts and ends with a blank.
     """
@@ -63,17 +64,17 @@ def letter_runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join(f" {t} " for t in lowered)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     rows = np.repeat(np.arange(len(texts)), lengths)
-    points = np.where(_letters()[points], points, 0)
+    points = np.where(_letters()[points], points, BLANK)
     starts = np.zeros(len(points), bool)
     starts[np.r_[0, np.cumsum(lengths)[:-1]] if len(texts) else []] = True
-    keep = (points != 0) | np.r_[True, points[:-1] != 0][: len(points)] | starts
+    keep = (points != BLANK) | np.r_[True, points[:-1] != BLANK][: len(points)] | starts
     return rows[keep], points[keep]
 
 
 def grams(rows: np.ndarray, points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every n-gram of ``size`` characters: its row and number; and the keys that the numbers stand for.
 
-    A key packs the code points, 21 bits each, so different n-grams have different keys.
+    A key packs the code points, 21 bits each and none of them 0, so different n-grams have different keys.
     """
     n = len(points) - size + 1
     if n < 1:
@@ -81,11 +82,11 @@ def grams(rows: np.ndarray, points: np.ndarray, size: int) -> tuple[np.ndarray,
     parts = [points[k : k + n] for k in range(size)]
     inside = rows[:n] == rows[size - 1 :]
     for p in parts[1:-1]:
-        inside &= p != 0
+        inside &= p != BLANK
     if size == 1:
-        inside &= parts[0] != 0
+        inside &= parts[0] != BLANK
     elif size == 2:
-        inside &= (parts[0] != 0) | (parts[1] != 0)
+        inside &= (parts[0] != BLANK) | (parts[1] != BLANK)
     at = np.flatnonzero(inside)
     alphabet = np.flatnonzero(np.bincount(points, minlength=1))
     code = np.zeros(alphabet[-1] + 1, np.int64)

@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "novel")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(
-    r"(?ai:secret|token|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth|signature)[^\n]{0,24}[\x20:=\"']$"
+    r"(?ai:secret|token|passw|pwd|(?:api|access|private|signing|encryption|ssh)[\x20_-]?key|credential|bearer|auth|signature)[^\n]{0,24}[\x20:=\"']$"
 )
 BEFORE = 48  # characters searched for a sensitive word
 AROUND = 400  # characters on each side that prime the measure
