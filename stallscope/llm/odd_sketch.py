@@ -8,16 +8,19 @@ A document's set is its distinct word shingles (as 64-bit hashes); documents wit
    documents differ. With z bits set in it, similarity is about 1 + 512 / (4 k) ln(1 - 2 z / 512).
 2. Classes: documents of the same set are one class, represented by the smallest number. Everything below works on
    representatives, so copies cost one row each.
-3. Star round: in each bucket (documents that share a band key) every member is paired with one centre, another
-   in each band. Pairs whose sketches can't reach ``percent`` are dropped (``slack`` standard deviations are left),
-   the others are confirmed on their full sets. Confirmed links give components.
-4. The rest: only buckets that still hold several components matter. There, members outside the bucket's largest
-   component are paired with all members of other components; the sketches are compared inside the join, so no
-   other pair leaves it. What they let pass is confirmed on full sets, and components are joined up.
-
-So every two members of a bucket are compared, or are in one component already, and no group's pairs are all made.
-Two documents at the threshold miss all buckets with probability (1 - 0.8^rows)^bands = 1.3e-7, and one is lost
-to the sketch with about 2e-8 (5.5 deviations).
+3. Star round: in each bucket (documents that share a band key) every member is paired with the smallest number.
+   Pairs whose sketches can't reach ``percent`` are dropped (``slack`` standard deviations are left). The others are
+   confirmed on their full sets; confirmed links give components, and all close pairs together give clusters.
+4. Buckets that hold several clusters: members outside the bucket's largest cluster are compared with those of
+   other clusters by sketch, inside the join, so only close pairs leave it. They are confirmed and join clusters.
+5. Clusters that hold several components (near copies a little under the threshold): members outside the largest
+   component are compared with all members on full sets, block by block as matrix products; only links leave a
+   block. Components are joined up.
+
+So every two close members of a bucket end in one cluster, and all of a cluster is compared or linked already; no
+group's pairs are ever rows. Two documents at the threshold miss all buckets with probability (1 - 0.8^rows)^bands
+= 3e-6, and one pair is lost to the sketch with about 2e-8 (5.5 deviations). Joins of tables that grow with the
+corpus are sort-merge joins at every size, which Spark splits where a key is frequent.
 
 A document with fewer words than a shingle has the whole sequence as its only shingle. Without words or text the
 set is empty and linked with nothing. Rows of the same number are one document; a null number is linked but can't
@@ -43,13 +46,15 @@ from stallscope.session import Staging
 BITS = 512
 LONGS = BITS // 64
 SKETCH = [f"s{i}" for i in range(LONGS)]
+BLOCK = 400_000  # shingles of each side of a block
+CELLS = 8_000_000  # of a matrix
 
 
 @dataclass(frozen=True)
 class Near:
     shingle: int = 5
     percent: int = 80
-    bands: int = 40
+    bands: int = 32
     rows: int = 5
     slack: float = 5.5
     seed: int = 6
@@ -147,76 +152,147 @@ def may_reach(near: Near, a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= near.percent * F.greatest(n, m)) & (differ <= near.most_bits)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
+    """rep and its set (sorted hashes, 8 bytes each) of the documents in ``ids`` (rep)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            at, shingles = shingle_sets(part.column("text"), near.shingle)
+            ends = np.searchsorted(at, np.arange(part.num_rows + 1))
+            sets = [shingles[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], ["rep", "set"])
+
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi")
+    return texts.mapInArrow(cut, "rep long, set binary")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in slices(iter([whole]), "text_a"):
-                # Centres repeat from row to row; each is cut into shingles once.
-                other = part.column("text_b").dictionary_encode()
-                at, left = shingle_sets(part.column("text_a"), near.shingle)
-                to, right = shingle_sets(other.dictionary, near.shingle)
-                starts = np.searchsorted(at, np.arange(part.num_rows + 1))
-                ends = np.searchsorted(to, np.arange(len(other.dictionary) + 1))
-                linked = []
-                for i, k in enumerate(other.indices.to_pylist()):
-                    x, y = left[starts[i] : starts[i + 1]], right[ends[k] : ends[k + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(len(x) > 0 and len(y) > 0 and 100 * both >= near.percent * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+        for part in batches:
+            linked = []
+            for one, two in zip(part.column("set_a"), part.column("set_b"), strict=True):
+                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= near.percent * (len(x) + len(y) - both) > 0)
+            yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    one, two = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
+    joined = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "set_a", "set_b")
     return joined.mapInArrow(check, "a long, b long")
 
 
+def _matrix(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(columns, s)
+        at = at[(at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == s)] if len(columns) else at[:0]
+        out[i, at] = 1
+    return out
+
+
+def block_links(x: list[np.ndarray], x_component: np.ndarray, y: list[np.ndarray], y_component: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Of every x, one linked y in each other component that has any: (place of x, place of y).
+
+    Intersections of all x and y are one product of 0/1 matrices over the shingles that occur on both sides.
+    """
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    if not len(shared):
+        return []
+    out, rows = [], max(1, CELLS // len(shared))
+    sizes_y = np.array([len(s) for s in y])
+    for b in range(0, len(y), rows):
+        right = _matrix(y[b : b + rows], shared).T
+        for a in range(0, len(x), rows):
+            left = x[a : a + rows]
+            both = _matrix(left, shared) @ right
+            union = np.array([len(s) for s in left])[:, None] + sizes_y[None, b : b + rows] - both
+            hit = (100 * both >= near.percent * union) & (x_component[a : a + rows, None] != y_component[None, b : b + rows])
+            for i in np.flatnonzero(hit.any(axis=1)):
+                at = np.flatnonzero(hit[i])
+                _, first = np.unique(y_component[b + at], return_index=True)
+                out += [(a + int(i), b + int(at[k])) for k in first]
+    return out
+
+
+def cross_links(clusters: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between different components inside a cluster; ``clusters``: rep, n_shingles, cluster, component.
+
+    Members outside a cluster's largest component are compared with all its members, block by block. Blocks hold
+    about ``BLOCK`` shingles, so a task's size doesn't depend on the cluster's, and only links leave it.
+    """
+    share = clusters.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    size = share.groupBy("cluster").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("components"), F.sum("shingles").alias("all")).where("components > 1")
+    main = share.join(size, "cluster").where("n = most").groupBy("cluster", "all").agg(F.min("component").alias("main"), F.max("shingles").alias("_m"))
+    main = main.join(share.select("cluster", F.col("component").alias("main"), F.col("shingles").alias("in_main")), ["cluster", "main"])
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    plan = main.select("cluster", "main", blocks(F.col("all")).alias("n_y"), blocks(F.col("all") - F.col("in_main")).alias("n_x"))
+    rows = clusters.join(plan, "cluster").hint("merge").join(sets, "rep")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = rows.where("component <> main").select("cluster", own("n_x").alias("i"), each("n_y").alias("j"), F.lit(True).alias("is_x"), "rep", "component", "set")
+    right = rows.select("cluster", each("n_x").alias("i"), own("n_y").alias("j"), F.lit(False).alias("is_x"), "rep", "component", "set")
+
+    def compare(part: pa.Table) -> pa.Table:
+        rep, component = part.column("rep").to_numpy(), part.column("component").to_numpy()
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in part.column("set")]
+        is_x = part.column("is_x").to_numpy()
+        x, y = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+        found = block_links([sets[k] for k in x], component[x], [sets[k] for k in y], component[y], near) if len(x) and len(y) else []
+        a, b = rep[x[[i for i, _ in found]]] if found else rep[:0], rep[y[[k for _, k in found]]] if found else rep[:0]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return left.union(right).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest number of its group) and kept (it is that number) of every row."""
     staging = Staging(docs.sparkSession, "near")
     signed = staging.write("signatures", signatures(docs, near))
     full = signed.where("n_shingles > 0")
     classes = staging.write("classes", full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
-    members = reps.select(F.explode("bands").alias("band"), "rep")
-
-    # Another centre in each bucket: the smallest number after an XOR with a mask that depends on the bucket.
-    mask = F.xxhash64("band")
-    buckets = members.groupBy("band").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staging.write("shared", members.join(buckets.select("band", F.col("least").bitwiseXOR(mask).alias("centre")), "band"))
-    pairs = shared.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    known = reps.select("rep", "n_shingles", *SKETCH)
-    close = (
-        pairs.join(known.alias("l"), F.col("a") == F.col("l.rep")).join(known.alias("r"), F.col("b") == F.col("r.rep")).where(may_reach(near, "l", "r")).select("a", "b").distinct()
-    )
-    links = staging.write("links", confirm(staging.write("close", close), docs, near))
-    groups = components(links, staging, "groups")
-
-    # Buckets that still hold several components.
-    placed = staging.write("placed", shared.select("band", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
-    share = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    size = share.groupBy("band").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    # the largest component of a bucket, the smallest number of those as large
-    main = share.join(size, "band").where("n = most").groupBy("band").agg(F.min("component").alias("main"))
-    rest = placed.join(main, "band").join(known, "rep")
-    rest = staging.write("rest", rest)
-    tested = (
-        rest.where("component <> main").alias("l")
-        .join(rest.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.component") != F.col("r.component"))
-              & ((F.col("r.component") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep"))) & may_reach(near, "l", "r"))
-        .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    )
-    more = staging.write("close-rest", tested.join(staging.spark.read.parquet(f"{staging.root}/close"), ["a", "b"], "left_anti"))
+    reps = full.join(classes.where("rep is not null").withColumnRenamed("rep", "doc_id").hint("merge"), ["set_a", "set_b", "doc_id"], "left_semi")
+    known = staging.write("known", reps.select(F.col("doc_id").alias("rep"), "n_shingles", *SKETCH, "bands"))
+    members = known.select(F.explode("bands").alias("band"), "rep")
+    known = known.drop("bands")
+
+    # Star round: every member of a bucket against its smallest number.
+    buckets = members.groupBy("band").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = staging.write("shared", members.hint("merge").join(buckets, "band"))
+    sets = staging.write("sets", full_sets(docs, shared.select("rep").distinct(), near))
+    pairs = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    close = pairs.hint("merge").join(known.alias("l"), F.col("a") == F.col("l.rep")).hint("merge").join(known.alias("r"), F.col("b") == F.col("r.rep"))
+    close = staging.write("close", close.where(may_reach(near, "l", "r")).select("a", "b").distinct())
+    links = staging.write("links", confirm(close, sets, near))
+    clusters = components(close, staging, "clusters")
+
+    # Buckets that hold several clusters: sketches across them are compared inside the join.
+    placed = shared.select("band", "rep").hint("merge").join(clusters.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("cluster"))
+    placed = staging.write("placed", placed)
+    share = placed.groupBy("band", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    size = share.groupBy("band").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("clusters")).where("clusters > 1")
+    main = share.join(size, "band").where("n = most").groupBy("band").agg(F.min("cluster").alias("main"))
+    rest = staging.write("rest", placed.hint("merge").join(main, "band").hint("merge").join(known, "rep"))
+    across = (F.col("l.band") == F.col("r.band")) & (F.col("l.cluster") != F.col("r.cluster")) & ((F.col("r.cluster") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
+    more = rest.where("cluster <> main").alias("l").hint("merge").join(rest.alias("r"), across & may_reach(near, "l", "r"))
+    more = staging.write("more", more.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct())
     staging.drop("shared", "placed", "rest")
     if not more.isEmpty():
-        links = staging.write("links-rest", links.union(confirm(more, docs, near)))
-        groups = components(links, staging, "all-groups")
+        links = staging.write("more-links", links.union(confirm(more, sets, near)))
+        clusters = components(close.union(more), staging, "all-clusters")
 
-    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
+    # Clusters that hold several components: compared whole, block by block.
+    groups = components(links, staging, "groups")
+    named = clusters.withColumnRenamed("component", "cluster").hint("merge").join(groups, "id", "left").select(F.col("id").alias("rep"), "cluster", F.coalesce("component", "id").alias("component"))
+    inside = staging.write("inside", named.hint("merge").join(known.select("rep", "n_shingles"), "rep").distinct())
+    found = staging.write("found", cross_links(inside, sets, near))
+    if not found.isEmpty():
+        groups = components(links.union(found), staging, "all-groups")
+    staging.drop("sets", "close", "inside")
+
+    of_rows = signed.select("doc_id", "n_shingles", "set_a", "set_b").hint("merge").join(classes, ["set_a", "set_b"], "left")
     rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    named = found.select("doc_id", "n_shingles", rep.alias("id")).join(groups, "id", "left")
+    final = of_rows.select("doc_id", "n_shingles", rep.alias("id")).hint("merge").join(groups, "id", "left")
     component = F.coalesce("component", "id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
