@@ -47,8 +47,8 @@ BUCKETS = 48
 
 @dataclass(frozen=True)
 class Interpolation:
-    block_bytes: int = 8 << 20
-    range_bytes: int = 12 << 20  # text for each key range: about 1.6 million keys
+    block_bytes: int = 4 << 20
+    range_bytes: int = 8 << 20  # text for each key range: about a million keys
     rounds: int = 60
 
 
