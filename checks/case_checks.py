@@ -62,11 +62,13 @@ def default_case(spark, sf):
 
 @check(
     "first_root_wins",
-    f"{C}, x AS (SELECT concat('D-', substr(case_id, 3, 2)) AS case_id, min(root_ord) AS root_ord FROM c GROUP BY 1) SELECT * FROM x",
+    f"""{C}, r AS (SELECT case_id, title, root_ord FROM c UNION ALL SELECT case_id, concat(title, ' (copy)'), 1 - root_ord FROM c WHERE status = 'open')
+SELECT case_id, arg_min(title, root_ord) AS title, min(root_ord) AS root_ord FROM r GROUP BY 1""",
 )
 def first_root_wins(spark, sf):
-    rows = cases(spark, sf).groupBy(F.concat(F.lit("D-"), F.substring("case_id", 3, 2)).alias("case_id"), "root_ord").count()
-    return cb.first_root_wins(rows).select("case_id", "root_ord")
+    rows = cases(spark, sf).select("case_id", "title", "root_ord", "status")
+    copies = rows.where("status = 'open'").select("case_id", F.concat("title", F.lit(" (copy)")).alias("title"), (1 - F.col("root_ord")).alias("root_ord"), "status")
+    return cb.first_root_wins(rows.union(copies)).select("case_id", "title", "root_ord")
 
 
 CHANGES = """SELECT concat('C-', CAST(o_custkey AS VARCHAR(20))) AS case_id, o_orderdate AS updated_at, o_orderkey AS seq,
@@ -79,8 +81,7 @@ CHANGES = """SELECT concat('C-', CAST(o_custkey AS VARCHAR(20))) AS case_id, o_o
     "case_state",
     f"""WITH ch AS ({CHANGES}), g AS (SELECT case_id, max(updated_at) AS updated_at, """
     + ", ".join(f"arg_max({c}, (updated_at, seq)) FILTER ({c} IS NOT NULL) AS {c}" for c in cb.CASE_FIELDS)
-    + """ FROM ch GROUP BY case_id) SELECT case_id, coalesce(title, case_id) AS title, coalesce(status, 'open') AS status, notes,
-  CASE WHEN status = 'resolved' THEN resolution END AS resolution, CASE WHEN status = 'resolved' THEN resolved_by END AS resolved_by FROM g""",
+    + """ FROM ch GROUP BY case_id) SELECT case_id, coalesce(title, case_id) AS title, coalesce(status, 'open') AS status, notes, resolution, resolved_by FROM g""",
 )
 def case_state(spark, sf):
     changes = spark.sql(CHANGES.replace("FROM orders", "FROM {orders}"), orders=v.table(spark, sf, "orders"))

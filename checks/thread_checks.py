@@ -221,10 +221,10 @@ def query_share_bar(spark, sf):
 @check(
     "query_sorted",
     f"""{ROWS}, g AS (SELECT method, count(*) AS count FROM r GROUP BY method)
-SELECT row_number() OVER (ORDER BY method DESC) AS place, method, count FROM g ORDER BY method DESC LIMIT 4""",
+SELECT row_number() OVER (ORDER BY method DESC) AS place, method, count FROM g""",
 )
 def query_sorted(spark, sf):
-    rows = q.sort_result(q.ThreadQuery().stats_count("method").run(v.threads(spark, sf)), "method", descending=True).limit(4)
+    rows = q.sort_result(q.ThreadQuery().stats_count("method").run(v.threads(spark, sf)), "method", descending=True)
     return rows.select(F.row_number().over(Window.orderBy(F.desc("method"))).alias("place"), "method", "count")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
 from stallscope.operators.evidence import discovered_type
-from stallscope.session import lookup_join
 
 CASE_FIELDS = ["title", "status", "notes", "resolution", "resolved_by"]
 
@@ -58,23 +57,15 @@ def first_root_wins(cases: DataFrame) -> DataFrame:
 def current_cases(changes: DataFrame) -> DataFrame:
     """Current state of every case from change rows ``(case_id, updated_at, seq, <fields>)``.
 
-    A change row carries the fields it sets and null elsewhere; per field the latest setting wins. A
-    reopened case loses its resolution.
+    A change row carries the fields it sets and null elsewhere; per field the latest setting wins. Reopening
+    a case changes its status only: resolution and resolver stay on record.
     """
     at = F.struct("updated_at", "seq")
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in CASE_FIELDS]
     rows = changes.groupBy("case_id").agg(
         F.min("updated_at").alias("created_at"), F.max("updated_at").alias("updated_at"), *latest
     )
-    resolved = F.col("status") == "resolved"
-    return rows.withColumns(
-        {
-            "status": F.coalesce("status", F.lit("open")),
-            "title": F.coalesce("title", "case_id"),
-            "resolution": F.when(resolved, F.col("resolution")),
-            "resolved_by": F.when(resolved, F.col("resolved_by")),
-        }
-    )
+    return rows.withColumns({"status": F.coalesce("status", F.lit("open")), "title": F.coalesce("title", "case_id")})
 
 
 def current_evidence(changes: DataFrame) -> DataFrame:
@@ -264,4 +255,4 @@ def top_findings_per_case(findings: DataFrame) -> DataFrame:
 def case_overview(cases: DataFrame, findings: DataFrame) -> DataFrame:
     """Cases with their best finding, if any."""
     best = top_findings_per_case(findings).select("case_id", "signature_id", "confidence")
-    return lookup_join(cases, best, ["case_id"], "left")
+    return cases.join(best, ["case_id"], "left")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stallscope.functions import fixed
 from stallscope.functions.text import any_of, strip
 from stallscope.operators.quantile import exact_quantiles
-from stallscope.session import lookup_join, stage, stage_all
+from stallscope.session import Staging, stage, stage_all
 
 KEYS = ["aem_service", "aem_tier"]
 NO_TIME = 2**62
@@ -112,6 +112,20 @@ def tag_events(events: DataFrame, params: MetricParams = MetricParams()) -> Data
     return tagged
 
 
+#: What the groupings read of an event, marks included.
+SLIM = [
+    "ord", "time_start", "us", "second", "url", "pop", "d", "is_miss", "is_hit", "is_pass", "is_cacheable_state", "is_cacheable", "is_bot", "is_cloud", "is_429",
+    "status", "origin_status", "response_ttl", "shielding_used", "max_age", "swr", "no_store", "stale_ok", "fetch", "cc", "sc", "vary", "bot_name",
+    "content_type", "origin_host", "client_ip", "request_user_agent", "geo_country_code", "client_as_number", "client_as_name", "forwarded", "real_ip",
+    "request_via", "ddos_action", "ddos_rule", "malicious_flags", "deny_reason",
+]
+
+
+def slim_events(events: DataFrame, keys: list[str] = KEYS, params: MetricParams = MetricParams()) -> DataFrame:
+    """Tagged events without the columns no grouping reads. Written as a table, they spare every grouping the raw events."""
+    return tag_events(events, params).select(*keys, *[c for c in SLIM if c not in keys])
+
+
 def _ratio(a: str | Column, b: str | Column) -> Column:
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
@@ -298,8 +312,8 @@ def pop_counts(
         baseline = stage(baseline, "baseline")
         known = [k for k in keys if k in baseline.columns]
         base_totals = baseline.groupBy(*known).agg(F.sum("count").alias("_base"))
-        rows = lookup_join(rows, baseline.withColumnRenamed("count", "_base_pop"), [*known, "pop"], "left")
-        rows = lookup_join(rows, base_totals, known, "left")
+        rows = rows.join(baseline.withColumnRenamed("count", "_base_pop"), [*known, "pop"], "left")
+        rows = rows.join(base_totals, known, "left")
         used = F.when(F.coalesce("_base", F.lit(0)) > 0, 1).otherwise(0)
         usual = F.when(used == 1, F.coalesce("_base_pop", F.lit(0)) / F.nullif(F.col("_base"), F.lit(0)))
     share = F.coalesce(usual, in_window)
@@ -410,7 +424,7 @@ def first_seen(rows: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """
     rows = rows.withColumn("us", F.coalesce("us", F.lit(NO_TIME)))
     earliest = stage(rows.groupBy(*by).agg(F.min("us").alias("us")), "earliest")
-    at_first = lookup_join(rows.select(*by, "us", "ord", *cols), earliest, [*by, "us"])
+    at_first = rows.select(*by, "us", "ord", *cols).join(earliest, [*by, "us"])
     return at_first.groupBy(*by, "us").agg(F.min("ord").alias("ord"), F.min_by(F.struct(*cols), F.struct("ord", *cols)).alias("f")).select(
         *by, "us", "ord", "f.*"
     )
@@ -674,35 +688,50 @@ MAXIMA = {"_maxCacheable", "_maxAll", "cloud"}
 
 
 def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One part from the same part of several sets of events."""
+    """One part from the same part of several sets of events, which ``batch_id`` puts in order of arrival."""
     by = [*keys, *PART_GROUPS[name]]
     if name == "firsts":
-        first = F.min_by(F.struct("us", "ord", "a", "b"), F.struct("us", "ord", "a", "b"))
+        first = F.min_by(F.struct("us", "ord", "a", "b"), F.struct("us", "batch_id", "ord", "a", "b"))
         return rows.groupBy(*by).agg(first.alias("f")).select(*by, "f.*")
     folds = []
     for c in rows.columns:
-        if c in by or c in ("ttl", "ttl_ord"):
+        if c in by or c in ("ttl", "ttl_ord", "batch_id"):
             continue
         fold = F.min if c in MINIMA else F.max if c in MAXIMA else F.sum
         folds.append(fold(c).alias(c))
     if name == "times":
-        folds += [F.max_by("ttl", "ttl_ord").alias("ttl"), F.max("ttl_ord").alias("ttl_ord")]
+        last = F.when(F.col("ttl_ord").isNotNull(), F.struct("batch_id", "ttl_ord"))
+        folds += [F.max_by("ttl", last).alias("ttl"), F.max("ttl_ord").alias("ttl_ord")]
     return rows.groupBy(*by).agg(*folds)
 
 
 REUSED_PARTS = ["url-pop", "values", "firsts", "times"]
 
 
+def metrics_from_slim(
+    slim: DataFrame,
+    baseline: DataFrame | None = None,
+    keys: list[str] = KEYS,
+    params: MetricParams = MetricParams(),
+) -> DataFrame:
+    """All metrics from a table of ``slim_events``; when this returns, the table isn't read any more."""
+    return metrics_from_parts(stage_all(partials(slim, keys, params)), baseline, keys, params)
+
+
 def cdn_metrics(
     events: DataFrame,
     baseline: DataFrame | None = None,
     keys: list[str] = KEYS,
     params: MetricParams = MetricParams(),
 ) -> DataFrame:
-    """All metrics of every service and tier (or other ``keys``): 89 scalars and 12 lists in one row."""
-    parts = partials(tag_events(events, params), keys, params)
-    parts.update(stage_all({name: parts[name] for name in REUSED_PARTS}))
-    return metrics_from_parts(parts, baseline, keys, params)
+    """All metrics of every service and tier (or other ``keys``): 89 scalars and 12 lists in one row.
+
+    The events are read once; the groupings read what was kept of them.
+    """
+    staging = Staging(events.sparkSession, "cdn")
+    metrics = metrics_from_slim(staging.write("events", slim_events(events, keys, params)), baseline, keys, params)
+    staging.drop("events")
+    return metrics
 
 
 def metrics_from_parts(

@@ -64,7 +64,7 @@ def capture_time(content: Column, now: Column | None = None) -> Column:
 
 
 def route(evidence: DataFrame, now: Column | None = None) -> DataFrame:
-    """Evidence rows with ``type`` and ``captured_at`` filled in from name and content."""
-    return evidence.withColumns(
-        {"type": evidence_type(F.col("name"), F.col("content")), "captured_at": capture_time(F.col("content"), now)}
-    )
+    """Evidence rows with ``type`` and ``captured_at``: a thread dump says when it was taken, the rest counts as taken now."""
+    now = now if now is not None else F.lit(datetime.now(timezone.utc)).cast("timestamp")
+    typed = evidence.withColumn("type", evidence_type(F.col("name"), F.col("content")))
+    return typed.withColumn("captured_at", F.when(F.col("type") == "thread-dump", capture_time(F.col("content"), now)).otherwise(now))

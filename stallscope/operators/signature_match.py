@@ -11,7 +11,6 @@ from stallscope.functions.frames import REQUEST_LINE
 from stallscope.functions.text import number_text
 from stallscope.operators.case_signals import NUMBER_SIGNALS, TEXT_SIGNALS
 from stallscope.operators.dump_signals import KEYS
-from stallscope.session import lookup_join
 
 UNKNOWN = "(unknown)"
 
@@ -79,7 +78,7 @@ def holds() -> Column:
 
 def evaluate_conditions(signals: DataFrame, signatures: DataFrame, order: Column | None = None) -> DataFrame:
     """Every condition of every signature on every case, with the observed value."""
-    joined = lookup_join(signal_rows(signals), condition_rows(signatures, order), ["signal"], salt_on=F.col("case_id"))
+    joined = signal_rows(signals).join(condition_rows(signatures, order), ["signal"])
     observed = F.when(F.col("signal") == UNKNOWN, "N/A").otherwise(F.coalesce("str", number_text(F.col("num"))))
     return joined.select(
         "case_id", "signature_id", "sig_ord", "cond_ord", "field", "description",
@@ -284,7 +283,7 @@ def findings(conditions: DataFrame, signatures: DataFrame) -> DataFrame:
         F.col("nextSteps").alias("next_steps"),
         F.col("relatedSignatures").alias("related_signatures"),
     )
-    return lookup_join(score_findings(conditions), about, ["signature_id"], salt_on=F.col("case_id")).select(
+    return score_findings(conditions).join(about, ["signature_id"]).select(
         "case_id", "rank", "signature_id", "signature_name", "confidence", "confidence_score",
         "matched_conditions", "unmatched_conditions", "next_steps", "related_signatures",
     )

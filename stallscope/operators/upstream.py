@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
-from stallscope.session import lookup_join
+from stallscope.session import Staging
 
 
 def known_provider(host: Column, suffixes: list[tuple[str, str]] = fixed.CDN_SUFFIXES) -> Column:
@@ -34,7 +36,7 @@ def match_suffixes(hosts: DataFrame, suffixes: DataFrame, host: str = "host") ->
     "Ends with a suffix" becomes equality with one of the few parent domains of the host.
     """
     pairs = hosts.select(host, F.explode(suffix_candidates(F.col(host))).alias("suffix"))
-    hit = lookup_join(pairs, suffixes, ["suffix"], salt_on=F.col(host))
+    hit = pairs.join(suffixes, ["suffix"])
     return hit.groupBy(host).agg(F.min_by("provider", "ord").alias("provider"))
 
 
@@ -42,24 +44,27 @@ def resolve_upstream(hosts: DataFrame, cnames: DataFrame, hops: int = fixed.MAX_
     """Walk the CNAME chain of every host: ``(hostname, chain, provider)`` for those that reach a known network.
 
     ``hosts(host)``, ``cnames(host, target, ord)``; the first target of a host is followed, at most
-    ``hops`` steps. Each step is one join over the hosts still under way.
+    ``hops`` steps. Each step is one join of the hosts still under way with the first targets, both tables;
+    the walk ends when no host is under way.
     """
-    first = cnames.groupBy("host").agg(F.min_by("target", "ord").alias("target"))
+    staging = Staging(hosts.sparkSession, "upstream")
+    least = cnames.groupBy("host").agg(F.min("ord").alias("ord"))
+    first = staging.write("first", cnames.join(least, ["host", "ord"]).groupBy("host").agg(F.min("target").alias("target")))
     walk = hosts.select(F.trim("host").alias("hostname")).where("hostname <> ''").distinct().select(
         "hostname",
         F.col("hostname").alias("current"),
         F.array().cast("array<string>").alias("chain"),
         known_provider(F.col("hostname")).alias("provider"),
     )
-    for _ in range(hops - 1):
-        step = first.select(F.col("host").alias("current"), "target")
-        moved = walk.join(step, "current", "left")
-        go = F.col("provider").isNull() & F.col("target").isNotNull()
-        walk = moved.select(
-            "hostname",
-            F.when(go, F.col("target")).otherwise(F.col("current")).alias("current"),
-            F.when(go, F.concat("chain", F.array("target"))).otherwise(F.col("chain")).alias("chain"),
-            F.when(go, known_provider(F.col("target"))).otherwise(F.col("provider")).alias("provider"),
-            # a host without a further record stays where it is and never matches
+    step = first.select(F.col("host").alias("current"), F.col("target").alias("next"))
+    steps = [staging.write("step-0", walk)]
+    for n in range(1, hops):
+        under_way = steps[-1].where("provider IS NULL")
+        moved = under_way.join(step, "current").select(  # a host without a further record never matches
+            "hostname", F.col("next").alias("current"), F.concat("chain", F.array("next")).alias("chain"), known_provider(F.col("next")).alias("provider")
         )
-    return walk.where(F.col("provider").isNotNull()).select("hostname", "chain", "provider")
+        steps.append(staging.write(f"step-{n}", moved))
+        if steps[-1].where("provider IS NULL").isEmpty():
+            break
+    found = [s.where("provider IS NOT NULL").select("hostname", "chain", "provider") for s in steps]
+    return reduce(DataFrame.unionByName, found)

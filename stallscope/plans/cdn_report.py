@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from stallscope.functions import cdn_texts as tx
 from stallscope.operators.cdn_findings import classify, fill
-from stallscope.operators.cdn_metrics import KEYS, MetricParams, cdn_metrics
+from stallscope.operators.cdn_metrics import KEYS, MetricParams, metrics_from_slim, slim_events
 from stallscope.operators.upstream import resolve_upstream
-from stallscope.session import lookup_join, stage
+from stallscope.session import Staging
 from stallscope.sources.cdn_scan import cap_events, truncation, truncation_warning
 
 
@@ -61,12 +61,14 @@ def analyse_events(
 
     Without baseline rows for a service its POP rarity is judged within the window, with a warning.
     """
-    capped = cap_events(events, max_events, keys)
-    metrics = stage(cdn_metrics(capped, baseline, keys, params), "metrics")
+    staging = Staging(events.sparkSession, "report")
+    slim = staging.write("events", slim_events(events, keys, params))  # the only read of the events
+    capped = staging.write("capped", cap_events(slim, max_events, keys)) if max_events > 0 else slim
+    metrics = staging.write("metrics", metrics_from_slim(capped, baseline, keys, params))
     notes = []
     if max_events > 0:
-        hit = truncation(events, max_events, keys).where("truncated").select(*keys, "truncated")
-        metrics = lookup_join(metrics, hit, keys, "left")
+        hit = truncation(slim, max_events, keys).where("truncated").select(*keys, "truncated")
+        metrics = metrics.join(hit, keys, "left")
         notes.append(F.when(F.col("truncated"), truncation_warning(max_events)))
     if with_baseline_warning or baseline is not None:
         notes.append(
@@ -76,7 +78,9 @@ def analyse_events(
         metrics = metrics.withColumn("warnings", F.concat(F.array_compact(F.array(*notes)), F.col("warnings")))
     if cnames is not None:
         metrics = with_upstream(metrics, cnames)
-    return stage(reports(metrics.drop("truncated")), "reports")
+    out = staging.write("reports", reports(metrics.drop("truncated")))
+    staging.drop("events", "capped", "metrics")
+    return out
 
 
 def empty_report(spark, service: str, tier: str = "publish") -> DataFrame:

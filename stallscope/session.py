@@ -1,4 +1,4 @@
-"""Session helpers: building a local session, cutting lineage, size-checked broadcasts."""
+"""Session helpers: building a local session, tables that cut the lineage of a job."""
 
 from __future__ import annotations
 
@@ -10,12 +10,9 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-BROADCAST_ROW_LIMIT = 200_000
-SALTS = 32
 
 
 def local_session(app: str = "stallscope", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -95,29 +92,3 @@ def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
         done = {label: pool.submit(stage, df, label) for label, df in frames.items()}
         return {label: f.result() for label, f in done.items()}
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROW_LIMIT,
-    salt_on: Column | None = None,
-) -> DataFrame:
-    """Equi-join a large frame to one expected to be small.
-
-    The small side is broadcast only after its size was checked. Beyond the limit the large side is
-    salted and the small side repeated once per salt, so that one hot key spreads over many tasks.
-    """
-    if is_small(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    spread = salt_on if salt_on is not None else F.xxhash64(*[F.col(c) for c in big.columns if c not in on])
-    salted = big.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

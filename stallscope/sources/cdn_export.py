@@ -21,6 +21,7 @@ EVENT = T.StructType(_text([*FIELDS, "_raw"]))
 LINE = T.StructType([*EVENT.fields, *_text(["lastrow", "preview", "_corrupt_record"]), T.StructField("result", EVENT)])
 WRAPPER = T.StructType([T.StructField("results", T.ArrayType(LINE)), T.StructField("result", T.ArrayType(LINE))])
 RAW_EVENT = T.StructType([*_text(FIELDS), T.StructField("xdata", T.StructType(_text(["request_via"])))])
+RAW_EVENT_OR_NOT = T.StructType([*RAW_EVENT.fields, *_text(["_corrupt_record"])])
 JSON_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -40,7 +41,6 @@ def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 # One line of a block: a key with a value that is no collapsed object, else anything.
 KV_KEY = r"[A-Za-z0-9_.-]+"
 KV_LINE = rf"(?md)^[^\S\n]*(?:({KV_KEY}):[^\S\n]*+(?!\{{)(.*?)[^\S\n]*|.*)$\n?"
-JSON_START = r'^\{\s*["}]'
 
 
 def has_kv_lines(text: Column) -> Column:
@@ -59,15 +59,18 @@ def kv_json(text: Column) -> Column:
 def _records(lines: DataFrame, rec: Column) -> DataFrame:
     """Unwrap ``result`` and fill absent fields from ``_raw``, JSON or key-value.
 
-    The one-row explode keeps the optimizer from repeating the parse for every field taken from it. Text
-    that cannot be a JSON object is not tried as one: a failed parse costs an exception per row.
+    The one-row explode keeps the optimizer from repeating the parse for every field taken from it. What is no
+    JSON object is read as a block; only text that starts with a brace is tried as JSON first, since nothing else
+    can be an object and a failed parse costs an exception.
     """
     keep = [c for c in lines.columns if not c.startswith("_")]
     wrapped = rec["result"].isNotNull()
     own = [F.when(wrapped, rec["result"][f]).otherwise(rec[f]).alias(f"own{i}") for i, f in enumerate([*FIELDS, "_raw"])]
     raw = strip(F.col(f"own{len(FIELDS)}"))
-    text = F.when(raw.rlike(JSON_START), raw).otherwise(kv_json(raw))
-    inner = F.from_json(text, RAW_EVENT, {"allowUnquotedControlChars": "true"})
+    options = {"allowUnquotedControlChars": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
+    tried = F.when(raw.startswith("{"), F.from_json(raw, RAW_EVENT_OR_NOT, options))
+    block = F.from_json(kv_json(raw), RAW_EVENT_OR_NOT, options)
+    inner = F.when(tried.isNotNull() & tried["_corrupt_record"].isNull(), tried).otherwise(block)
     base = lines.select(*keep, *own).withColumn("_j", F.explode(F.array(inner)))
 
     def merged(i: int, name: str) -> Column:

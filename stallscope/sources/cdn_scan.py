@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
-from stallscope.session import lookup_join, stage
+from stallscope.session import stage
 
 SERVICE_KEYS = ["aem_service", "aem_tier"]
 
@@ -19,7 +19,7 @@ UNITS = {
     "m": ("MINUTE", 1), "h": ("HOUR", 1), "d": ("DAY", 1), "w": ("DAY", 7), "mon": ("MONTH", 1), "q": ("MONTH", 3),
     "y": ("YEAR", 1),
 }
-SNAPS = {"s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week", "mon": "month", "q": "quarter", "y": "year"}
+SNAPS = {"s": "second", "m": "minute", "h": "hour", "d": "day", "mon": "month", "q": "quarter", "y": "year"}
 RELATIVE = re.compile(r"^([-+]?)(\d+)(mon|us|ms|cs|ds|s|m|h|d|w|q|y)(?:@([a-z0-9]+))?$")
 
 
@@ -29,8 +29,13 @@ def is_relative(value: str) -> bool:
 
 
 def _snapped(t: Column, unit: str | None) -> Column:
+    """The start of the unit ``t`` lies in. Weeks start on Sunday; ``w0`` to ``w6`` are the last Sunday to Saturday."""
     if not unit:
         return t
+    if re.fullmatch(r"w[0-6]?", unit):
+        day = F.date_trunc("day", t)
+        back = F.pmod(F.dayofweek(day) - 1 - F.lit(int(unit[1:] or 0)), F.lit(7))
+        return F.timestamp_seconds(F.unix_seconds(day) - back * 86400)
     if unit not in SNAPS:
         raise ValueError(f"unknown time unit after @: {unit}")
     return F.date_trunc(SNAPS[unit], t)
@@ -58,11 +63,9 @@ def time_bound(value: str | None, now: Column) -> Column:
     return F.date_trunc("second", F.to_timestamp(F.lit(re.sub("GMT$", "Z", v))))
 
 
-def baseline_days(days: int | None) -> int:
-    """Look-back of the baseline, one or two days."""
-    if not days or days < 1:
-        return fixed.MAX_BASELINE_DAYS
-    return min(days, fixed.MAX_BASELINE_DAYS)
+def baseline_days(days: int | None, most: int = fixed.MAX_BASELINE_DAYS) -> int:
+    """Look-back of the baseline: ``days``, at most ``most``, and ``most`` where none is given."""
+    return min(days, most) if days and days >= 1 else most
 
 
 def _now(now: datetime | Column | None) -> Column:
@@ -119,9 +122,10 @@ def pop_baseline(
     tier: str | None = None,
     days: int | None = None,
     now: datetime | Column | None = None,
+    most_days: int = fixed.MAX_BASELINE_DAYS,
 ) -> DataFrame:
-    """Requests per POP over the one or two days before the incident start, blank POPs left out."""
-    n = baseline_days(days)
+    """Requests per POP over the days before the incident start, blank POPs left out; ``most_days`` bounds the look-back."""
+    n = baseline_days(days, most_days)
     at = _now(now)
     upper = time_bound(start, at)
     lower = (at if is_relative(start) else upper) - F.expr(f"INTERVAL '{n}' DAY")
@@ -132,7 +136,7 @@ def pop_baseline(
     )
 
 
-def cap_events(events: DataFrame, max_events: int = fixed.MAX_EVENTS, keys: list[str] | None = None) -> DataFrame:
+def cap_events(events: DataFrame, max_events: int = 0, keys: list[str] | None = None) -> DataFrame:
     """The first ``max_events`` events of every service in time order (0 keeps all).
 
     Counts per second find the second in which the cap is reached; earlier seconds are kept as they
@@ -151,7 +155,7 @@ def cap_events(events: DataFrame, max_events: int = fixed.MAX_EVENTS, keys: list
         .where((F.col("_before") < max_events) & (F.col("_before") + F.col("n") >= max_events))
         .select(*keys, F.col("_sec").alias("_cut"), (F.lit(max_events) - F.col("_before")).alias("_left"))
     )
-    marked = lookup_join(rows, stage(cut, "cap"), keys, "left")
+    marked = rows.join(stage(cut, "cap"), keys, "left")
     early = marked.where(F.col("_cut").isNull() | (F.col("_sec") < F.col("_cut")))
     order = Window.partitionBy(*keys, "_sec").orderBy("time_start", "ord")
     last = marked.where(F.col("_sec") == F.col("_cut")).withColumn("_rn", F.row_number().over(order))
@@ -159,7 +163,7 @@ def cap_events(events: DataFrame, max_events: int = fixed.MAX_EVENTS, keys: list
     return kept.drop("_sec", "_cut", "_left")
 
 
-def truncation(events: DataFrame, max_events: int = fixed.MAX_EVENTS, keys: list[str] | None = None) -> DataFrame:
+def truncation(events: DataFrame, max_events: int = 0, keys: list[str] | None = None) -> DataFrame:
     """Events per service and whether the cap was reached (also when there are exactly as many)."""
     hit = (F.count("*") >= max_events) if max_events > 0 else F.lit(False)
     return events.groupBy(*(keys or SERVICE_KEYS)).agg(F.count("*").alias("events"), hit.alias("truncated"))

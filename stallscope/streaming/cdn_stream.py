@@ -7,6 +7,8 @@ events, and raw events are not read again. A batch that is run again replaces it
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -25,8 +27,6 @@ from stallscope.operators.cdn_metrics import (
 from stallscope.session import stage_all
 from stallscope.sources.cdn_export import parse_lines
 
-BATCH_ROWS = 2**40
-
 
 def export_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Typed events of export files that appear in a folder; ``ord`` is set per batch."""
@@ -42,14 +42,17 @@ def write_partials(
 ) -> DataStreamWriter:
     """Reduce every micro-batch and keep its parts under its batch id.
 
-    Order of arrival is batch id, then row number in the batch.
+    Order of arrival is batch id, then row number in the batch; a part carries the number, its folder the batch.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("ord", F.monotonically_increasing_id() % BATCH_ROWS + batch_id * BATCH_ROWS).persist()
+        numbered = batch.withColumn("ord", F.monotonically_increasing_id()).persist()
         try:
-            for name, part in partials(tag_events(numbered, params), keys, params).items():
-                part.write.mode("overwrite").parquet(f"{table}/{name}/batch_id={batch_id}")
+            parts = partials(tag_events(numbered, params), keys, params)
+            with ThreadPoolExecutor(len(parts)) as pool:  # side by side, so that their jobs share the cluster
+                jobs = [pool.submit(part.write.mode("overwrite").parquet, f"{table}/{name}/batch_id={batch_id}") for name, part in parts.items()]
+            for job in jobs:
+                job.result()
         finally:
             numbered.unpersist()
 
@@ -58,7 +61,7 @@ def write_partials(
 
 def arrived_parts(spark: SparkSession, table: str, keys: list[str] = KEYS) -> dict[str, DataFrame]:
     """The parts of all batches so far, merged."""
-    read = lambda name: spark.read.option("basePath", f"{table}/{name}").parquet(f"{table}/{name}").drop("batch_id")
+    read = lambda name: spark.read.option("basePath", f"{table}/{name}").parquet(f"{table}/{name}")
     return {name: merge_part(name, read(name), keys) for name in PART_GROUPS}
 
 

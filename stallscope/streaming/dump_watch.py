@@ -1,47 +1,81 @@
-"""Thread dumps that keep arriving: parse new files, keep their threads, run a query again."""
+"""Thread dumps that keep arriving: parse new and rewritten files, forget deleted ones, run a query again.
+
+A trigger lists the folder (addresses and modification times; no content) and compares the listing with the
+versions it has parsed. Only files of an unknown version are read. The threads that a query sees are those of the
+versions in the listing, so a rewritten file counts as it is now and a deleted one not at all.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from stallscope.operators.thread_query import ThreadQuery
 from stallscope.sources.dumps import parse_threads
 
+VERSION = ["dump_id", "dump_ord"]
+
+
+def _plain(address: Column) -> Column:
+    return F.regexp_replace(address, r"^(\w+):/+", "$1:/")
 
-def dump_stream(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """Dump files as they appear or change, content whole."""
-    reader = spark.readStream.format("text").option("wholetext", "true")
+
+def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
+    """dump_id (address), dump_ord (modification time) and path of every file; contents are not read."""
+    reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_path").alias("dump_id"),
-        F.unix_micros(F.col("_metadata.file_modification_time")).alias("dump_ord"),
-        F.col("value").alias("content"),
-    )
+    return reader.load(folder).select(_plain(F.col("path")).alias("dump_id"), F.unix_micros("modificationTime").alias("dump_ord"), "path")
+
+
+def _stored(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.parquet(table)
+    except AnalysisException:  # nothing parsed yet
+        return spark.createDataFrame([], schema)
+
+
+def read_versions(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The listed files as dumps, content whole. The driver passes their addresses on, as it does for every scan."""
+    paths = [r.path for r in files.select("path").toLocalIterator()]
+    dumps = spark.read.text(paths, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("dump_id"), F.col("value").alias("content"))
+    return dumps.join(files.select(*VERSION), "dump_id").withColumn("source_file", F.col("dump_id"))
+
+
+def refresh(spark: SparkSession, folder: str, table: str, batch_id: int, glob: str | None = None) -> DataFrame:
+    """Parse what is new, and return the threads of the files as they are now."""
+    now = listing(spark, folder, glob).cache()
+    try:
+        known = _stored(spark, f"{table}/versions", "dump_id string, dump_ord bigint")
+        changed = now.join(known, VERSION, "left_anti")
+        if not changed.isEmpty():
+            parse_threads(read_versions(spark, changed)).write.mode("overwrite").parquet(f"{table}/threads/batch_id={batch_id}")
+            changed.select(*VERSION).write.mode("overwrite").parquet(f"{table}/versions/batch_id={batch_id}")
+        current = spark.createDataFrame(now.select(*VERSION).toArrow(), "dump_id string, dump_ord bigint")
+    finally:
+        now.unpersist()
+    threads = _stored(spark, f"{table}/threads", "dump_id string, dump_ord bigint, source_file string")
+    return threads.join(current, VERSION, "left_semi")
 
 
-def latest_threads(spark: SparkSession, table: str) -> DataFrame:
-    """Threads of the newest version of every dump file."""
-    rows = spark.read.parquet(table)
-    newest = rows.groupBy("dump_id").agg(F.max("dump_ord").alias("dump_ord"))
-    return rows.join(newest, ["dump_id", "dump_ord"], "left_semi")
+def ticks(spark: SparkSession) -> DataFrame:
+    """A stream that only paces the triggers."""
+    return spark.readStream.format("rate").load()
 
 
 def watch(
-    stream: DataFrame, table: str, checkpoint: str, query: ThreadQuery, deliver: Callable[[DataFrame, int], None]
+    spark: SparkSession, folder: str, table: str, checkpoint: str, query: ThreadQuery, deliver: Callable[[DataFrame, int], None], glob: str | None = None
 ) -> DataStreamWriter:
-    """Add the threads of new files to the table, then run the query over all of them and hand over the result.
+    """At every trigger bring the threads up to date, run the query over them and hand over the result.
 
-    The processing-time trigger of the returned writer sets how long changes are gathered.
+    The processing-time trigger of the returned writer sets how often the folder is looked at.
     """
 
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        parse_threads(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        deliver(query.run(latest_threads(batch.sparkSession, table), order=("source_file", "ord")), batch_id)
+    def step(_: DataFrame, batch_id: int) -> None:
+        deliver(query.run(refresh(spark, folder, table, batch_id, glob), order=("source_file", "ord")), batch_id)
 
-    return stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    return ticks(spark).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

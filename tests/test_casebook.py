@@ -58,10 +58,19 @@ def test_change_rows(spark):
     got = {r.case_id: r for r in cb.current_cases(spark.createDataFrame(rows, CHANGE)).collect()}
     assert (got["a"].title, got["a"].status, got["a"].notes, got["a"].resolution) == ("First", "resolved", "n2", "done")
     assert got["a"].created_at == day(1) and got["a"].updated_at == day(4)
-    assert (got["b"].status, got["b"].resolution, got["b"].resolved_by) == ("open", None, None)
+    assert (got["b"].status, got["b"].resolution, got["b"].resolved_by) == ("open", "fix", "you")  # reopening keeps them
     assert (got["c"].title, got["c"].status) == ("late", "open")
 
 
+def test_only_thread_dumps_say_when_they_were_taken(spark):
+    line = "2024-02-03 10:11:12 something\n"
+    rows = [("a.log", line), ("b.tdump", line), ("shot.png", line), ("c.txt", line + "java.lang.Thread.State: x")]
+    got = ev.route(spark.createDataFrame(rows, "name string, content string"), F.lit("2030-01-01").cast("timestamp"))
+    assert {r.name: (r.type, r.captured_at.year) for r in got.collect()} == {
+        "a.log": ("log-export", 2030), "b.tdump": ("thread-dump", 2024), "shot.png": ("screenshot", 2030), "c.txt": ("thread-dump", 2024),
+    }
+
+
 def test_evidence_changes(spark):
     rows = [("a", "e1", day(1), 0, "add", "x"), ("a", "e2", day(1), 1, "add", "y"), ("a", "e1", day(2), 0, "remove", "x")]
     df = spark.createDataFrame(rows, "case_id string, evidence_id string, updated_at timestamp, seq int, action string, source string")

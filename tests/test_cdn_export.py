@@ -67,6 +67,13 @@ def test_raw_merge(spark):
     assert (rows[2].request_via, rows[2].client_ip) == ("2.0 explicit", "")
 
 
+def test_raw_that_only_looks_like_json_is_read_as_a_block(spark):
+    """Text that starts like an object and is none falls through to its key-value lines."""
+    broken = '{"cut off: here,\n   url: /from/block\n   cache_status: MISS\n   status: 404\n'
+    row = parsed(ce.parse_lines(lines(spark, json.dumps({"_raw": broken}), json.dumps({"_raw": '{"url": "/whole"}'}))))
+    assert (row[0].url, row[0].cache_status, row[0].status) == ("/from/block", "MISS", 404) and row[1].url == "/whole"
+
+
 def test_documents(spark):
     two = [ONE, {**ONE, "url": "/b"}]
     docs = [

@@ -176,9 +176,12 @@ def test_findings_with_evidence(spark, analysed):
     assert frequency["hot"] == 2 and frequency["lock"] == 1
 
 
-def test_large_signature_table_joins_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(sm, "lookup_join", lambda *a, **k: __import__("stallscope.session", fromlist=["x"]).lookup_join(*a, **{**k, "max_rows": 0}))
-    rows = matrix(spark, [sig("a", ("gcThreadCount", "gte", 1), ("nope", "gt", 1))], gcThreadCount=3.0).collect()
+def test_large_signature_table_joins_without_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = matrix(spark, [sig("a", ("gcThreadCount", "gte", 1), ("nope", "gt", 1))], gcThreadCount=3.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [(r.signature_id, r.confidence_score) for r in rows] == [("a", 0.5)]
 
 

@@ -1,8 +1,11 @@
 """Streams give the numbers of a batch."""
 
 import json
+import os
+import time
 
 import builders as b
+from pyspark.sql import functions as F
 from stallscope.operators import cdn_metrics as cm
 from stallscope.operators import thread_query as q
 from stallscope.sources import cdn_export as ce
@@ -44,23 +47,64 @@ def test_minute_counts(spark, tmp_path):
     assert spark.sql("SELECT sum(requests) AS n FROM minutes").collect()[0].n == 220
 
 
+BLOCK = '"{0}" #1\n   java.lang.Thread.State: {1}\n\tat com.acme.X.y(X.java:1)\n\n'
+
+
 def test_watched_dumps(spark, tmp_path):
+    """New, rewritten and deleted files: the answer is that of the folder as it is."""
     folder = tmp_path / "dumps"
     folder.mkdir()
-    block = '"{0}" #1\n   java.lang.Thread.State: {1}\n\tat com.acme.X.y(X.java:1)\n\n'
-    seen = []
+    table, batch = str(tmp_path / "t"), iter(range(10))
+
+    def counts():
+        threads = dw.refresh(spark, str(folder), table, next(batch), "*.tdump")
+        return {r.state: r["count"] for r in q.ThreadQuery().stats_count("state").run(threads, order=("source_file", "ord")).collect()}
+
+    (folder / "a.tdump").write_text(BLOCK.format("x", "BLOCKED") + BLOCK.format("y", "RUNNABLE"))
+    (folder / "skip.txt").write_text(BLOCK.format("z", "BLOCKED"))
+    assert counts() == {"BLOCKED": 1, "RUNNABLE": 1}
+    (folder / "b.tdump").write_text(BLOCK.format("z", "BLOCKED"))
+    assert counts() == {"BLOCKED": 2, "RUNNABLE": 1}
+    (folder / "a.tdump").write_text(BLOCK.format("x", "RUNNABLE") * 2)
+    os.utime(folder / "a.tdump", (2_000_000_000, 2_000_000_000))
+    assert counts() == {"BLOCKED": 1, "RUNNABLE": 2}
+    (folder / "a.tdump").write_text("no threads any more")
+    os.utime(folder / "a.tdump", (2_000_000_100, 2_000_000_100))
+    assert counts() == {"BLOCKED": 1}
+    (folder / "b.tdump").unlink()
+    assert counts() == {} and counts() == {}
 
-    def deliver(result, batch_id):
-        seen.append({r.state: r["count"] for r in result.collect()})
 
-    def run():
-        stream = dw.dump_stream(spark, str(folder), "*.tdump")
-        writer = dw.watch(stream, str(tmp_path / "t"), str(tmp_path / "c"), q.ThreadQuery().stats_count("state"), deliver)
-        writer.trigger(availableNow=True).start().awaitTermination()
+def test_a_watch_delivers_at_its_triggers(spark, tmp_path):
+    folder = tmp_path / "dumps"
+    folder.mkdir()
+    (folder / "a.tdump").write_text(BLOCK.format("x", "BLOCKED"))
+    seen = []
+    writer = dw.watch(spark, str(folder), str(tmp_path / "t"), str(tmp_path / "c"), q.ThreadQuery().stats_count("state"), lambda result, n: seen.append({r.state: r["count"] for r in result.collect()}))
+    running = writer.trigger(processingTime="100 milliseconds").start()
+    try:
+        for _ in range(600):
+            if seen:
+                break
+            time.sleep(0.1)
+    finally:
+        running.stop()
+    assert seen[0] == {"BLOCKED": 1}
+
 
-    (folder / "a.tdump").write_text(block.format("x", "BLOCKED") + block.format("y", "RUNNABLE"))
-    (folder / "skip.txt").write_text(block.format("z", "BLOCKED"))
-    run()
-    (folder / "b.tdump").write_text(block.format("z", "BLOCKED"))
-    run()
-    assert seen == [{"BLOCKED": 1, "RUNNABLE": 1}, {"BLOCKED": 2, "RUNNABLE": 1}]
+def test_order_of_arrival_over_many_partitions(spark):
+    """Ties in time go to the event that came first, also in a batch of more than 128 partitions."""
+    rows = [b.event(url="/u", pop="P", client_as_number="1", client_as_name=f"name {i}", cache_status="MISS", response_ttl=float(i + 1)) for i in range(400)]
+    events = b.events(spark, rows).drop("ord").coalesce(1).select("*", F.monotonically_increasing_id().alias("n")).repartitionByRange(200, "n")
+    numbered = events.withColumn("ord", F.monotonically_increasing_id())
+    assert numbered.agg(F.max("ord")).first()[0] >= 128 << 33
+    parts = cm.partials(cm.tag_events(numbered))
+    halves = [numbered.where("n < 200"), numbered.where("n >= 200")]
+    for name in ("firsts", "times"):
+        split = [cm.partials(cm.tag_events(h))[name].withColumn("batch_id", F.lit(i)) for i, h in enumerate(halves)]
+        merged = cm.merge_part(name, split[0].unionByName(split[1]))
+        columns = [c for c in merged.columns if c not in ("ord", "ttl_ord")]
+        assert merged.select(columns).collect() == parts[name].select(columns).collect()
+    # a later batch comes after an earlier one, whatever the numbers in it
+    late = [cm.partials(cm.tag_events(h))["firsts"].withColumn("batch_id", F.lit(i)) for i, h in enumerate(reversed(halves))]
+    assert cm.merge_part("firsts", late[0].unionByName(late[1])).where("dim = 'name'").first().a == "name 200"
