@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -508,6 +509,33 @@ def cdn_metrics(spark, sf):
     return _gap_digits(metrics(spark, sf).select("aem_service", "aem_tier", *cm.SCALARS))
 
 
+# Lists of the metrics: (name, field of an entry, value in SQL, rows in SQL).
+METRIC_LISTS = [
+    ("topMissUrls", "url", "url", "d = 'MISS'"), ("topPass200Urls", "url", "url", "d = 'PASS' AND status = 200"), ("popMissBreakdown", "pop", "trim(pop)", "d = 'MISS' AND pop <> ''"),
+    ("topBots", "bot", "trim(bot_name)", "d = 'MISS' AND bot"), ("topClientIps", "ip", "trim(client_ip)", "trim(client_ip) <> ''"),
+    ("topUserAgents", "userAgent", "trim(request_user_agent)", "trim(request_user_agent) <> ''"), ("topCountries", "country", "trim(geo_country_code)", "trim(geo_country_code) <> ''"),
+    ("passStatusTop", "status", "CAST(status AS VARCHAR)", "d = 'PASS'"), ("topMissVaryValues", "value", "trim(response_vary)", "d = 'MISS' AND trim(response_vary) <> ''"),
+    ("topSourceAsns", "asn", "trim(client_as_number)", "trim(client_as_number) <> ''"), ("topAsns", "asn", "trim(client_as_number)", "d = 'MISS' AND trim(client_as_number) <> ''"),
+]
+LISTS_SQL = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT {K}, '{name}' AS list, row_number() OVER (PARTITION BY {K} ORDER BY count(*) DESC, {value}) - 1 AS place, {value} AS value, count(*) AS n FROM e WHERE {rows} GROUP BY {K}, {value}) WHERE place < 10"
+    for name, _, value, rows in METRIC_LISTS
+)
+
+
+@check("cdn_metric_lists", f"{E} {LISTS_SQL}")
+def cdn_metric_lists(spark, sf):
+    """The assembled lists of the metric row, place by place."""
+    table = stage(metrics(spark, sf), "metrics")
+    parts = [
+        table.select("aem_service", "aem_tier", F.lit(name).alias("list"), F.posexplode(name).alias("place", "x")).select(
+            "aem_service", "aem_tier", "list", F.col("place").cast("bigint").alias("place"), F.col(f"x.{field}").cast("string").alias("value"), F.col("x.count").alias("n")
+        )
+        for name, field, _, _ in METRIC_LISTS
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @check(
     "cdn_metrics_by_day",
     f"""{E} SELECT {K}, CAST(day(time_start) AS INT) AS day, count(*) AS "totalRequests", count(*) FILTER (d = 'MISS') AS "missCount",
@@ -649,6 +677,30 @@ def suffix_provider(spark, sf):
     return hosts.join(found, "host").select("host", "provider")
 
 
+INCIDENT = ("2024-01-19T00:00:00Z", "2024-01-21T00:00:00Z")
+
+
+@check(
+    "cdn_incident",
+    f"""{E}, w AS (SELECT * FROM e WHERE aem_tier = 'publish' AND time_start >= TIMESTAMP '2024-01-19 00:00:00' AND time_start < TIMESTAMP '2024-01-21 00:00:00'),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY time_start, ord) AS rn FROM w) WHERE rn <= {CAP}),
+b AS (SELECT {K}, count(*) AS n FROM e WHERE trim(pop) <> '' AND time_start >= TIMESTAMP '2024-01-17 00:00:00' AND time_start < TIMESTAMP '2024-01-19 00:00:00' GROUP BY 1, 2),
+g AS (SELECT {K}, count(*) AS n, count(*) FILTER (d = 'MISS') AS miss, count(*) FILTER (d = 'HIT') AS hit, count(*) FILTER (d = 'PASS') AS pass,
+  count(DISTINCT url) FILTER (d = 'MISS') AS urls, count(*) FILTER (r429) AS r429 FROM c GROUP BY 1, 2), a AS (SELECT {K}, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT {K}, g.n AS "entryCount", miss AS "missCount", hit AS "hitCount", pass AS "passCount", urls AS "distinctMissUrlCount", r429 AS "error429Count",
+  concat_ws(' / ', CASE WHEN a.n >= {CAP} THEN 'Result hit the {CAP}-event cap — analysis may be truncated. Narrow the window/URLs or raise the cap.' END,
+    CASE WHEN b.n IS NULL THEN 'POP baseline query returned no data — using in-window rarity heuristic.' END,
+    CASE WHEN miss = 0 THEN 'No cache MISS events in the analysed window — nothing to attribute.' END) AS warnings
+FROM g JOIN a USING ({K}) LEFT JOIN b USING ({K})""",
+)
+def cdn_incident(spark, sf):
+    """From the scan to the report in one plan: window, cap, baseline, metrics, warnings."""
+    rep = cr.analyse_incident(_stamped(spark, sf), *INCIDENT, max_events=CAP)
+    return rep.select(
+        "aem_service", "aem_tier", "entryCount", "missCount", "hitCount", "passCount", "distinctMissUrlCount", "error429Count", F.array_join("warnings", " / ").alias("warnings")
+    )
+
+
 PCT = lambda x: f"concat(CAST(floor({x} * 100 + 0.5) AS BIGINT), '%')"
 
 

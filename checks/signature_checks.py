@@ -9,7 +9,7 @@ from checks.thread_checks import ADDR, DOM, SIGNALS_SQL, signals
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
-from stallscope.plans.incident import derive_signals, match_cases, rematch, signature_frequency
+from stallscope.plans.incident import analyse_evidence, derive_signals, match_cases, rematch, signature_frequency
 from stallscope.session import stage
 from stallscope.sources import signatures as sg
 
@@ -208,6 +208,26 @@ def evidence_blocked_info(spark, sf):
     return sm.blocked_info_lines(monitors).select("case_id", "field", "line_ord", "line")
 
 
+@check(
+    "evidence_plan",
+    f"""{v.WITH_THREADS}, d AS (SELECT case_id, count(DISTINCT concat(dump_id, '/', CAST(ord // {v.PIECE} AS VARCHAR))) AS dumps FROM t GROUP BY 1),
+o AS (SELECT source AS case_id, count(*) AS logs FROM documents GROUP BY 1)
+SELECT case_id, dumps AS thread_dumps, CAST(0 AS BIGINT) AS logs, CAST(0 AS BIGINT) AS parse_errors FROM d
+UNION ALL SELECT case_id, 1, logs, 1 FROM o""",
+)
+def evidence_plan(spark, sf):
+    """Evidence of two kinds of cases to findings: pieces of dumps, and documents beside a dump that can't be read."""
+    dumps = v.jstack_text(spark, sf).select(
+        "case_id", F.concat_ws("-", "dump_id", F.col("piece").cast("string")).alias("evidence_id"), (F.col("dump_ord") * 1000000 + F.col("piece")).alias("ord"),
+        F.lit("jvm.tdump").alias("name"), "content",
+    )
+    docs = v.table(spark, sf, "documents")
+    logs = docs.select(F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("evidence_id"), F.col("doc_id").alias("ord"), F.lit("a.log").alias("name"), F.col("text").alias("content"))
+    broken = docs.select("source").distinct().select(F.col("source").alias("case_id"), F.lit("broken").alias("evidence_id"), F.lit(-1).cast("bigint").alias("ord"), F.lit("b.tdump").alias("name"), F.lit("cut off").alias("content"))
+    plan = analyse_evidence(dumps.unionByName(logs).unionByName(broken), signature_set(spark))
+    return plan.inputs.select("case_id", "thread_dumps", "logs", "parse_errors")
+
+
 @check(
     "incident_findings",
     f"""{SCORES_SQL} SELECT f.case_id, f.rank, f.signature_id, round(f.score, 6) AS score,

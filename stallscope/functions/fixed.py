@@ -102,3 +102,8 @@ EVIDENCE_LABELS = {
     "screenshot": "Screenshot", "generic": "Evidence",
 }
 CLOSED_CASES_LIMIT = 30
+
+# Warnings of a report, as readers of reports match them.
+NO_MISS_WARNING = "No cache MISS events in the analysed window — nothing to attribute."
+NO_BASELINE_WARNING = "POP baseline query returned no data — using in-window rarity heuristic."
+FAILED_BASELINE_WARNING = "POP baseline query failed ({}) — using in-window rarity heuristic."

@@ -776,6 +776,24 @@ def metrics_from_parts(
     return finish(combine([volume(parts["volume"], keys), *frames], keys), keys, params)
 
 
+def empty_metrics(services: DataFrame, like: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Metrics of services without events, in the columns of ``like``: zeros, blank texts, empty lists."""
+    blank = {"string": F.lit("")}
+    columns = []
+    for f in like.schema:
+        kind = f.dataType.simpleString()
+        if f.name in keys:
+            value = F.col(f.name)
+        elif f.name == "warnings":
+            value = F.array(F.lit(fixed.NO_MISS_WARNING))
+        elif kind.startswith("array"):
+            value = F.array().cast(f.dataType)
+        else:
+            value = blank.get(kind, F.lit(0).cast(f.dataType))
+        columns.append(value.alias(f.name))
+    return services.select(*columns)
+
+
 def combine(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Frames with one row per key put side by side: stacked, then folded by key in one shuffle."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -794,7 +812,7 @@ def finish(joined: DataFrame, keys: list[str], params: MetricParams) -> DataFram
     swr = F.greatest(
         nice_ttl(F.col("p90PerPopGapSeconds"), params.ttl_steps), F.lit(params.swr_floor_seconds), count("observedSwrSeconds")
     )
-    no_miss = F.when(m == 0, F.lit("No cache MISS events in the analysed window — nothing to attribute."))
+    no_miss = F.when(m == 0, F.lit(fixed.NO_MISS_WARNING))
     derived = joined.withColumns(
         {
             "coldFetchBurstRatio": _ratio(count("_coldPeak"), count("_cold") / F.col("_burstWindow")),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallscope.functions import cdn_texts as tx
+from stallscope.functions import fixed
 from stallscope.operators.cdn_findings import classify, fill
-from stallscope.operators.cdn_metrics import KEYS, MetricParams, metrics_from_slim, slim_events
+from stallscope.operators.cdn_metrics import KEYS, MetricParams, empty_metrics, metrics_from_slim, slim_events
 from stallscope.operators.upstream import resolve_upstream
 from stallscope.session import Staging
-from stallscope.sources.cdn_scan import cap_events, truncation, truncation_warning
+from stallscope.sources.cdn_scan import cap_events, incident_events, pop_baseline, truncation, truncation_warning
 
 
 def with_upstream(metrics: DataFrame, cnames: DataFrame) -> DataFrame:
@@ -56,37 +61,71 @@ def analyse_events(
     keys: list[str] = KEYS,
     params: MetricParams = MetricParams(),
     with_baseline_warning: bool = False,
+    services: DataFrame | None = None,
+    baseline_failure: str | None = None,
 ) -> DataFrame:
     """Reports of every service: cap, metrics, upstream check, findings.
 
-    Without baseline rows for a service its POP rarity is judged within the window, with a warning.
+    Without baseline rows for a service its POP rarity is judged within the window, with a warning; the warning
+    names ``baseline_failure`` where the baseline could not be had at all. ``services`` (the ``keys``) adds reports
+    of services that have no event.
     """
     staging = Staging(events.sparkSession, "report")
     slim = staging.write("events", slim_events(events, keys, params))  # the only read of the events
     capped = staging.write("capped", cap_events(slim, max_events, keys)) if max_events > 0 else slim
-    metrics = staging.write("metrics", metrics_from_slim(capped, baseline, keys, params))
+    found = metrics_from_slim(capped, baseline, keys, params)
+    if services is not None:
+        found = staging.write("found", found)
+        found = found.unionByName(empty_metrics(services.join(found, keys, "left_anti"), found, keys))
+    metrics = staging.write("metrics", found)
     notes = []
     if max_events > 0:
         hit = truncation(slim, max_events, keys).where("truncated").select(*keys, "truncated")
         metrics = metrics.join(hit, keys, "left")
         notes.append(F.when(F.col("truncated"), truncation_warning(max_events)))
-    if with_baseline_warning or baseline is not None:
-        notes.append(
-            F.when(F.col("baselineUsed") == 0, "POP baseline query returned no data — using in-window rarity heuristic.")
-        )
+    if baseline_failure is not None:
+        notes.append(F.lit(fixed.FAILED_BASELINE_WARNING.format(baseline_failure)))
+    elif with_baseline_warning or baseline is not None:
+        notes.append(F.when(F.col("baselineUsed") == 0, fixed.NO_BASELINE_WARNING))
     if notes:
         metrics = metrics.withColumn("warnings", F.concat(F.array_compact(F.array(*notes)), F.col("warnings")))
     if cnames is not None:
         metrics = with_upstream(metrics, cnames)
     out = staging.write("reports", reports(metrics.drop("truncated")))
-    staging.drop("events", "capped", "metrics")
+    staging.drop("events", "capped", "found", "metrics")
     return out
 
 
-def empty_report(spark, service: str, tier: str = "publish") -> DataFrame:
-    """The report of a service whose scan found no event."""
-    row = spark.createDataFrame([(service, tier)], "aem_service string, aem_tier string")
-    return row.withColumn("entryCount", F.lit(0)).withColumn("summary", F.lit(tx.SUMMARY_EMPTY))
+def analyse_incident(
+    events: DataFrame,
+    start: str,
+    end: str,
+    service: str | None = None,
+    tier: str | None = None,
+    urls: list[str] | None = None,
+    max_events: int = 0,
+    days: int | None = None,
+    cnames: DataFrame | None = None,
+    now: datetime | Column | None = None,
+    history: Callable[[], DataFrame] | None = None,
+    params: MetricParams = MetricParams(),
+) -> DataFrame:
+    """The whole incident: scan window and addresses, cap, POP baseline, metrics, upstream check, reports.
+
+    ``history`` gives the events the baseline is counted on (``events`` unless given). If they can't be read, the
+    incident is still analysed, with a warning. A named service without events gets an empty report.
+    """
+    scanned = incident_events(events, start, end, service, tier, urls, now)
+    baseline, failure = None, None
+    try:
+        before = history() if history else events
+        baseline = Staging(events.sparkSession, "baseline").write("pops", pop_baseline(before, start, service, tier, days, now))
+    except PySparkException as e:
+        failure = str(e.getMessage() or e).splitlines()[0]
+    services = None
+    if service is not None and tier != "*":
+        services = events.sparkSession.createDataFrame([(service, tier or fixed.DEFAULT_TIER)], "aem_service string, aem_tier string")
+    return analyse_events(scanned, baseline, cnames, max_events, KEYS, params, True, services, failure)
 
 
 def report_lines(report: DataFrame, keys: list[str] = KEYS) -> DataFrame:

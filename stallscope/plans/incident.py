@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
-from stallscope.session import stage, stage_all
+from stallscope.operators.evidence import route
+from stallscope.session import Staging, stage, stage_all
 from stallscope.sources.dumps import parse_threads
 
 
@@ -49,6 +50,34 @@ def match_cases(frames: IncidentFrames, signatures: DataFrame) -> tuple[DataFram
     return sm.findings(conditions, signatures), sm.finding_evidence(conditions, lines)
 
 
+@dataclass
+class EvidenceFrames:
+    """What evidence leads to: its routing, the counts of each case, findings and their evidence rows."""
+
+    routed: DataFrame
+    inputs: DataFrame
+    findings: DataFrame
+    finding_evidence: DataFrame
+
+
+def analyse_evidence(evidence: DataFrame, signatures: DataFrame, now: Column | None = None) -> EvidenceFrames:
+    """Evidence rows ``(case_id, evidence_id, ord, name, content)`` to findings, for all cases in one job.
+
+    Type and capture time, dumps among them to threads and signals, matching per case. Dumps of a case are in the
+    order in which they were added. A thread dump without any thread counts as a parse error of its case.
+    """
+    staging = Staging(evidence.sparkSession, "evidence")
+    routed = staging.write("routed", route(evidence, now))
+    dumps = routed.where("type = 'thread-dump'").select(
+        "case_id", F.concat_ws("/", F.col("case_id").cast("string"), F.col("evidence_id").cast("string")).alias("dump_id"), F.col("ord").alias("dump_ord"), "content"
+    )
+    threads = staging.write("threads", parse_threads(dumps).drop("monitor_lines", "top_frame", "key_frame", "nid", "elapsed"))
+    frames = derive_signals(dumps, threads)
+    unread = dumps.select("case_id", "dump_id").join(threads.select("dump_id").distinct(), "dump_id", "left_anti")
+    found, lines = match_cases(frames, signatures)
+    return EvidenceFrames(routed, cs.input_counts(routed, unread), found, lines)
+
+
 def rematch(case_signals: DataFrame, signatures: DataFrame) -> DataFrame:
     """Scores of all stored cases against a changed signature set, without touching the dumps."""
     return sm.score_findings(sm.evaluate_conditions(case_signals, signatures))
