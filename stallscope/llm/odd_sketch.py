@@ -46,7 +46,7 @@ from stallscope.session import Staging
 BITS = 512
 LONGS = BITS // 64
 SKETCH = [f"s{i}" for i in range(LONGS)]
-BLOCK = 400_000  # shingles of each side of a block
+BLOCK = 150_000  # shingles of each side of a block
 CELLS = 8_000_000  # of a matrix
 
 
