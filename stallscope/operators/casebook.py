@@ -70,9 +70,9 @@ def current_cases(changes: DataFrame) -> DataFrame:
 
 def current_evidence(changes: DataFrame) -> DataFrame:
     """Evidence still attached: the last action per evidence id is no removal."""
-    item = F.struct(*[c for c in changes.columns if c not in ("case_id", "evidence_id")])
-    last = changes.groupBy("case_id", "evidence_id").agg(F.max_by(item, F.struct("updated_at", "seq")).alias("e"))
-    return last.select("case_id", "evidence_id", "e.*").where("action <> 'remove'")
+    latest = Window.partitionBy("case_id", "evidence_id").orderBy(F.desc("updated_at"), F.desc("seq"))
+    last = changes.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn")  # the rank limit applies before the shuffle
+    return last.where("action <> 'remove'")
 
 
 # Files ------------------------------------------------------------------------------------------------
@@ -96,12 +96,10 @@ def untracked_files(files: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def drop_missing(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """Leave out evidence whose file is gone and whose content is not stored."""
-    listed = files.select("file_path", F.lit(True).alias("_there")).distinct()
     has_text = F.coalesce(F.col("content") != "", F.lit(False))
     no_path = F.coalesce(F.col("file_path") == "", F.lit(True))
-    return evidence.join(listed, "file_path", "left").where(
-        no_path | has_text | F.col("_there").isNotNull()
-    ).drop("_there")
+    looked_up = evidence.where(~no_path & ~has_text).join(files.select("file_path"), "file_path", "left_semi")  # blank paths meet no join
+    return evidence.where(no_path | has_text).unionByName(looked_up)
 
 
 def referenced_files(notes: Column) -> Column:

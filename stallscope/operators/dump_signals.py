@@ -67,14 +67,17 @@ def _generic_frames(lines: Column) -> Column:
     return F.transform(framed, lambda l: F.regexp_replace(l, r"^at\s+", ""))
 
 
-def generic_dumps(dumps: DataFrame) -> DataFrame:
-    """Best-effort counts of dumps in no known format, read from the text alone."""
+def dump_facts(dumps: DataFrame) -> DataFrame:
+    """Format of every dump, and of those in no known format best-effort counts and frames, from one pass over the text.
+
+    Feeds several branches as a table: they then don't read the text again.
+    """
     lines = F.col("_lines")
     headers = F.filter(lines, lambda l: l.rlike('^"[^"]+"') | l.rlike(r"(?i)Thread-\d+"))
+    generic = F.col("format") == GENERIC
     base = (
         dumps.withColumn("format", detect_format(F.col("content")))
-        .where(F.col("format") == GENERIC)
-        .withColumn("_lines", _generic_lines())
+        .withColumn("_lines", F.when(generic, _generic_lines()).otherwise(F.array().cast("array<string>")))
         .withColumn("frames", _generic_frames(lines))
         .withColumn("total_thread_count", F.greatest(F.size(headers), F.lit(1)).cast("bigint"))
     )
@@ -94,13 +97,22 @@ def generic_dumps(dumps: DataFrame) -> DataFrame:
     )
 
 
+def _facts(dumps: DataFrame) -> DataFrame:
+    return dump_facts(dumps) if "content" in dumps.columns else dumps
+
+
+def generic_dumps(dumps: DataFrame) -> DataFrame:
+    """Counts and frames of the dumps in no known format; takes dumps or their ``dump_facts``."""
+    return _facts(dumps).where(F.col("format") == GENERIC)
+
+
 def dump_signals(dumps: DataFrame, threads: DataFrame) -> DataFrame:
-    """One row per dump; dumps without a single thread keep zeros."""
-    known = dumps.withColumn("format", detect_format(F.col("content"))).where(F.col("format") != GENERIC)
-    listed = known.select(*KEYS, "format")
+    """One row per dump (given as dumps or their ``dump_facts``); dumps without a single thread keep zeros."""
+    facts = _facts(dumps)
+    listed = facts.where(F.col("format") != GENERIC).select(*KEYS, "format")
     zeros = {c: 0 for c in COUNTS}
     parsed = listed.join(thread_counts(threads), KEYS, "left").fillna(zeros)
-    return parsed.unionByName(generic_dumps(dumps).drop("frames"))
+    return parsed.unionByName(generic_dumps(facts).drop("frames"))
 
 
 # Stack fingerprints -------------------------------------------------------------------------------

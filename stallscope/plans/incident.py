@@ -34,9 +34,10 @@ def analyse_dumps(dumps: DataFrame, cases: DataFrame | None = None) -> IncidentF
 
 def derive_signals(dumps: DataFrame, threads: DataFrame, cases: DataFrame | None = None) -> IncidentFrames:
     """Signals from thread rows that are already a table; fingerprints and monitors feed several branches."""
-    signals = ds.dump_signals(dumps, threads)
+    facts = stage(ds.dump_facts(dumps), "dumps")
+    signals = ds.dump_signals(facts, threads)
     members = ds.fingerprint_members(threads)
-    reduced = stage_all({"fingerprints": ds.fingerprints(threads, dumps), "monitors": ds.blocked_monitors(threads)})
+    reduced = stage_all({"fingerprints": ds.fingerprints(threads, facts), "monitors": ds.blocked_monitors(threads)})
     fps, monitors = reduced["fingerprints"], reduced["monitors"]
     return IncidentFrames(signals, fps, members, monitors, cs.case_signals(signals, fps, members, monitors, cases))
 

@@ -5,8 +5,6 @@ Every shape is turned into the same record struct and then into one typed event
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from stallscope.functions import fixed
 from stallscope.functions.convert import to_bool, to_number, to_time
 from stallscope.functions.text import strip
+from stallscope.session import stage
 
 FIELDS = [*fixed.CDN_FIELDS, "request_via"]
 _text = lambda names: [T.StructField(n, T.StringType()) for n in names]
@@ -22,6 +21,7 @@ LINE = T.StructType([*EVENT.fields, *_text(["lastrow", "preview", "_corrupt_reco
 WRAPPER = T.StructType([T.StructField("results", T.ArrayType(LINE)), T.StructField("result", T.ArrayType(LINE))])
 RAW_EVENT = T.StructType([*_text(FIELDS), T.StructField("xdata", T.StructType(_text(["request_via"])))])
 RAW_EVENT_OR_NOT = T.StructType([*RAW_EVENT.fields, *_text(["_corrupt_record"])])
+WHOLE_FILES = 1 << 60  # where the numbers of events from whole files start
 JSON_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -157,17 +157,18 @@ def parse_documents(docs: DataFrame) -> DataFrame:
 def read_export(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Events of export files of any shape.
 
-    Files are read line by line, split over many tasks. Only files that gave no event that way are read
-    again whole; their addresses come from the file index, which the driver holds for every scan.
+    Files are read line by line, split over many tasks, and parsed once. Only files that gave no event that way
+    are read again whole: a listing without contents is compared with the files of the events, and the driver
+    passes on the addresses of the rest. Events of whole files come after the others in ``ord``.
     """
-    lines = read_lines(spark, paths)
-    events = parse_lines(lines)
-    plain = lambda uri: re.sub(r"^(\w+):/+", r"\1:/", uri)
-    with_events = {plain(r[0]) for r in events.select("source_file").distinct().collect()}
-    rest = [f for f in spark.read.text(paths).inputFiles() if plain(f) not in with_events]
-    if not rest:
+    events = stage(parse_lines(read_lines(spark, paths)), "export")
+    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
+    listed = spark.read.format("binaryFile").load(paths).select("path", plain(F.col("path")).alias("file"))
+    rest = listed.join(events.select(plain(F.col("source_file")).alias("file")).distinct(), "file", "left_anti").select("path")
+    paths_left = [r.path for r in rest.toLocalIterator()]
+    if not paths_left:
         return events
-    whole = parse_documents(read_whole(spark, rest)).drop("pos")
+    whole = parse_documents(read_whole(spark, paths_left)).drop("pos").withColumn("ord", F.col("ord") + F.lit(WHOLE_FILES))
     return events.unionByName(whole.select(*events.columns))
 
 
