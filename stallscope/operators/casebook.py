@@ -187,6 +187,7 @@ def case_report_lines(
         )
 
     lit = F.lit
+    # Front matter, headings and link forms of a report.
     head = F.array(
         lit("---"), F.concat(lit("case_id: "), "case_id"), F.concat(lit('title: "'), "title", lit('"')),
         F.concat(lit("created: "), day), F.concat(lit("status: "), "status"), lit("tags: [incident]"), lit("---"), lit(""),

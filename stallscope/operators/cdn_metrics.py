@@ -635,6 +635,7 @@ def _network_frames(nets: DataFrame, keys: list[str], k: int) -> list[DataFrame]
     return [sums, sources, misses]
 
 
+# Names of the metrics and lists of a report.
 SCALARS = [
     "totalRequests", "missCount", "hitCount", "passCount", "otherCount", "missRatio", "passWith200Count",
     "passWith200Share", "passNon200Count", "pass429Count", "passNon200Non429Count", "passNon200Non429Share",
