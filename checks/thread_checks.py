@@ -331,12 +331,16 @@ def dominant_fingerprints(spark, sf):
 @check(
     "stuck_stacks",
     f"""{DOM}, s AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS place FROM dom
-  WHERE state IN ('BLOCKED', 'WAITING', 'TIMED_WAITING') AND key_frame NOT LIKE 'java.%' AND key_frame NOT LIKE 'jdk.%')
-SELECT case_id, place, key_frame AS display_frame, count, state FROM s WHERE place <= 8""",
+  WHERE state IN ('BLOCKED', 'WAITING', 'TIMED_WAITING') AND key_frame NOT LIKE 'java.%' AND key_frame NOT LIKE 'jdk.%'),
+nm AS (SELECT t.case_id, t.dump_id, t.signature, name, t.ord, row_number() OVER (PARTITION BY t.case_id, t.dump_id, t.signature ORDER BY t.ord) AS k FROM t WHERE t.signature IS NOT NULL),
+l AS (SELECT case_id, dump_id, signature, string_agg(name, ', ' ORDER BY k) AS names FROM nm WHERE k <= 10 GROUP BY 1, 2, 3)
+SELECT s.case_id, place, key_frame AS display_frame, count, state, names FROM s JOIN l ON l.case_id = s.case_id AND l.dump_id = s.dump_id AND l.signature = s.signature WHERE place <= 8""",
 )
 def stuck_stacks(spark, sf):
-    large = cs.largest_fingerprints(ds.fingerprints(v.threads(spark, sf)))
-    return cs.stuck_stacks(cs.dominant_fingerprints(large)).select("case_id", "place", "display_frame", "count", "state")
+    threads = stage_all({"threads": v.threads(spark, sf)})["threads"]
+    stuck = cs.stuck_stacks(cs.dominant_fingerprints(cs.largest_fingerprints(ds.fingerprints(threads))))
+    named = cs.with_thread_names(stuck, ds.fingerprint_members(threads))
+    return named.select("case_id", "place", "display_frame", "count", "state", F.array_join("thread_names", ", ").alias("names"))
 
 
 ADDR = f"""{MONS}, addr AS (SELECT case_id, monitor_address, count(*) AS dumps, max(waiting_thread_count) AS waiters,

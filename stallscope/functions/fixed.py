@@ -107,3 +107,6 @@ CLOSED_CASES_LIMIT = 30
 NO_MISS_WARNING = "No cache MISS events in the analysed window — nothing to attribute."
 NO_BASELINE_WARNING = "POP baseline query returned no data — using in-window rarity heuristic."
 FAILED_BASELINE_WARNING = "POP baseline query failed ({}) — using in-window rarity heuristic."
+
+# Fixed value: names shown with a stuck stack.
+STUCK_STACK_NAMES = 10

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
 from stallscope.functions.text import contains_any, starts_with_any
-from stallscope.operators.dump_signals import KEYS
+from stallscope.operators.dump_signals import KEYS, first_names
 
 NUMBER_SIGNALS = [
     "totalThreadCount", "avgThreadCount", "blockedThreadCount", "waitingThreadCount", "timedWaitingThreadCount",
@@ -84,6 +84,14 @@ def stuck_stacks(dominant: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
+def with_thread_names(stuck: DataFrame, members: DataFrame, n: int = fixed.STUCK_STACK_NAMES) -> DataFrame:
+    """Stuck stacks with the names of the first ``n`` threads in them, in the dump they were taken from."""
+    by = ["case_id", "dump_id", "signature"]
+    rows = members.join(stuck.select(*by), by, "left_semi")
+    named = first_names(rows, by, n, ["ord"]).withColumnRenamed("names", "thread_names")
+    return stuck.join(named, by, "left")
+
+
 def case_monitors(monitors: DataFrame) -> DataFrame:
     """Every monitor address of a case once, at the first dump where it has most waiters."""
     return (
