@@ -161,8 +161,9 @@ def key_runs(packed: DataFrame, bits: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                g = grams(_unpack_documents(row["documents"]).column("text"))
+            for n in range(batch.num_rows):  # one block at a time
+                row = {name: batch.column(name)[n].as_py() for name in ("block", "role")}
+                g = grams(_unpack_documents(batch.column("documents")[n].as_py()).column("text"))
                 at = (g.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(g.keys), np.int64)
                 first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 last = np.r_[first[1:], len(at)]
