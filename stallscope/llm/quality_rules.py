@@ -52,13 +52,13 @@ def _share(part: str, whole: str = "n_words") -> Column:
 NEVER = F.lit  # a rule that only objects says NEVER(False) for good
 
 RULES: tuple[Rule, ...] = (
-    Rule("length", lambda: F.col("n_words").between(50, 100_000), lambda: F.col("n_words") < 20),
+    Rule("length", lambda: F.col("n_words").between(50, 100_000), lambda: F.col("n_words") < 10),
     Rule("word length", lambda: NEVER(False), lambda: ~_share("word_chars").between(2.5, 14.0)),
     Rule("symbols", lambda: NEVER(False), lambda: _share("n_symbols") > 0.1),
     Rule("plain words", lambda: _share("n_plain_words") >= 0.9, lambda: _share("n_plain_words") < 0.6),
     Rule("repeated lines", lambda: NEVER(False), lambda: _share("n_dup_lines", "n_lines") > 0.2),
     Rule("repeated words", lambda: NEVER(False), lambda: _share("n_repeat_words") > 0.15),
-    Rule("stop words", lambda: _share("n_stop_words") >= 0.06, lambda: _share("n_stop_words") < 0.02),
+    Rule("stop words", lambda: _share("n_stop_words") >= 0.06, lambda: (_share("n_stop_words") < 0.02) & (F.col("n_words") >= 30)),
     Rule("capitals", lambda: NEVER(False), lambda: _share("n_capitals", "word_chars") > 0.3),
     Rule("exclamations", lambda: NEVER(False), lambda: _share("n_exclamations") > 0.1),
     Rule("sentences", lambda: _share("n_sentences").between(1 / 40, 1 / 3), lambda: (_share("n_sentences") < 1 / 100) & (F.col("n_words") >= 20)),
