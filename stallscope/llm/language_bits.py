@@ -37,6 +37,7 @@ from stallscope.session import Staging
 UNKNOWN = "und"
 SIZES = (1, 2, 3)
 BLANK = 0x20
+SLICE = 1 << 20  # bytes of texts handled at once; a character takes some sixty bytes meanwhile
 DENSE = 1 << 24  # n-gram numbers of a slice up to this many are counted in an array, others by sorting
 
 
@@ -120,7 +121,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all rows with a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             coded = part.column("lang").dictionary_encode()
             lang = coded.indices.to_numpy(zero_copy_only=False)
             rows, points = letter_runs(part.column("text").to_pylist())
@@ -205,7 +206,7 @@ def predict(docs: DataFrame, model: Model, filters: Filters = Filters(), keep: f
     shared = docs.sparkSession.sparkContext.broadcast(model)  # positions x languages bits
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             lang, score = decide(shared.value, part.column("text").to_pylist(), filters)
             if keep is not None:
                 yield part.filter(pa.array([x != UNKNOWN and s >= keep for x, s in zip(lang, score, strict=True)], pa.bool_()))
