@@ -568,14 +568,25 @@ def cdn_stream_metrics(spark, sf):
 # Findings and reports ---------------------------------------------------------------------------------
 
 
-def _hyp_sql() -> str:
-    from stallscope.functions.cdn_texts import HYPOTHESES
+# The hypotheses in order, with the tests that score them; thresholds stand here, apart from the code under test.
+HYPOTHESIS_TESTS = {
+    "cdn-uncacheable": ["missNoPositiveTtlShare >= 0.7", "missNoStoreShare >= 0.5"],
+    "cdn-unique-url-burst": ["uniqueMissUrlRatio >= 0.8", "singleRequestMissUrlShare >= 0.7", "distinctMissUrlCount >= 50"],
+    "cdn-stale-content": [
+        "repeatSamePopMissCount >= 10", "repeatSamePopShare >= 0.3", "shortTtlMissShare >= 0.5 OR staleEligibleMissShare >= 0.5 OR refetchWithinTtlCount >= 5",
+    ],
+    "cdn-pop-fragmentation": [
+        "repeatedUrlMultiPopShare >= 0.5", "avgPopsPerRepeatedMissUrl >= 2", "distinctPopCount >= 3", "repeatedMissUrlCount >= 5", "shieldingUsedMissShare < 0.5",
+    ],
+    "cdn-bot-cold-pop": ["botMissShare >= 0.5", "rarePopMissShare >= 0.4", "botOnRarePopMissShare >= 0.3", "topAsnMissShare >= 0.3"],
+}
 
+
+def _hyp_sql() -> str:
     parts = []
-    for i, h in enumerate(HYPOTHESES):
-        tests = [_quoted(c[2]) for c in h["conditions"] if c[4]]
-        score = " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in tests)
-        parts.append(f"SELECT {K}, {i} AS o, '{h['id']}' AS id, CAST(({score}) AS DOUBLE) / {len(tests)} AS score FROM mm WHERE {M} > 0")
+    for i, (name, conditions) in enumerate(HYPOTHESIS_TESTS.items()):
+        score = " + ".join(f"CASE WHEN {_quoted(c)} THEN 1 ELSE 0 END" for c in conditions)
+        parts.append(f"SELECT {K}, {i} AS o, '{name}' AS id, CAST(({score}) AS DOUBLE) / {len(conditions)} AS score FROM mm WHERE {M} > 0")
     return " UNION ALL ".join(parts)
 
 
