@@ -8,8 +8,12 @@ Control strings inside roles and texts are escaped reversibly: ``<`` followed by
 ``|`` gets one backslash more, so no ``<|`` remains; reading back takes one away. In roles, backslashes and line
 feeds are escaped too. ``read_back`` needs nothing but the formatted text and its mask.
 
-Null texts and roles are empty texts. A record must fit Spark's size limit of a variant (128 MiB). A record of an unknown layout, or one that is no JSON, keeps its row with
-null results. An empty turn list gives an empty text. Other columns are ignored.
+Null texts and roles are empty texts. A record that no variant holds (a string of over 20 million characters, or over
+128 MiB) takes its fingerprint from its outline, the record without what its strings say, and its texts from
+``from_json``; numbers in it are texts as the record writes them. A record must fit one value of Spark (2 GiB), and
+so must its formatted text. An outline that no variant holds, without its repeats, raises an error. A record of an
+unknown layout, or one that is no JSON, keeps its row with null results. An empty turn list gives an empty text.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,11 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 SCALAR = r": (?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID)(?=[,>])"
+# Possessive, so that Java's matcher needs no stack for a long string; what isn't a JSON string stays and fails to parse.
+_STRING = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+'
+SAID = rf'("{_STRING}"\s*+:)|(")' + _STRING + '(")'
+REPEATED = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
+LONG_OUTLINE = 32 << 20  # characters; a variant holds any shorter outline
 
 
 @dataclass(frozen=True)
@@ -86,12 +95,35 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(field_tree(record), 256)
 
 
+def outline(payload: Column) -> Column:
+    """JSON with empty strings for its string values and one object for a run of equal ones: it has the same field tree."""
+    return F.regexp_replace(F.regexp_replace(payload, F.lit(SAID), F.lit("$1$2$3")), F.lit(REPEATED), F.lit("$1"))
+
+
+def _outline_print(payload: Column) -> Column:
+    """The fingerprint of a record that no variant holds; null where it is no JSON."""
+    lost = lambda o, v: v.isNull() & (F.length(o) > LONG_OUTLINE) & F.get_json_object(o, "$").isNotNull()
+    error = F.raise_error(F.lit("the outline of a record is too long for a variant")).cast("string")
+    return bind(outline(payload), lambda o: bind(F.try_parse_json(o), lambda v: F.when(lost(o, v), error).otherwise(fingerprint(v))))
+
+
+def _read(payload: Column, path: str, kind: str) -> Column:
+    """What lies at a path of JSON of any length."""
+    names = path.split(".") if path else []
+    for name in reversed(names):
+        kind = f"struct<`{name}`:{kind}>"
+    value = F.from_json(payload, kind, {"maxStringLen": str(2**31 - 1)})
+    for name in names:
+        value = value[name]
+    return value
+
+
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _turns(record: Column, layout: Layout) -> Column:
-    get = lambda path, kind: F.try_variant_get(record, f"$.{path}" if path else "$", kind)
+def _turns(record: Column, payload: Column, layout: Layout) -> Column:
+    get = lambda path, kind: F.when(record.isNotNull(), F.try_variant_get(record, f"$.{path}" if path else "$", kind)).otherwise(_read(payload, path, kind))
     if layout.turns is not None:
         listed = get(layout.turns, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
         renamed = lambda r: F.coalesce(*[F.when(r == F.lit(a), F.lit(b)) for a, b in layout.roles.items()], r)
@@ -109,13 +141,14 @@ def _turns(record: Column, layout: Layout) -> Column:
 
 def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS, key: str = "conv_id", payload: str = "payload") -> DataFrame:
     """key, layout and turns of every record; layout and turns are null where no mapping has its fingerprint."""
-    parsed = records.select(F.col(key), F.try_parse_json(F.col(payload)).alias("_record"))
-    known = parsed.select(key, "_record", fingerprint(F.col("_record")).alias("_print"))
+    parsed = records.select(F.col(key), F.col(payload).alias("_payload"), F.try_parse_json(F.col(payload)).alias("_record"))
+    found = F.when(F.col("_record").isNotNull(), fingerprint(F.col("_record"))).otherwise(_outline_print(F.col("_payload")))
+    known = parsed.select(key, "_payload", "_record", found.alias("_print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(layouts):
         hit = F.col("_print") == x.fingerprint
         layout = F.when(hit, F.lit(x.name)).otherwise(layout)
-        turns = F.when(hit, _turns(F.col("_record"), x)).otherwise(turns)
+        turns = F.when(hit, _turns(F.col("_record"), F.col("_payload"), x)).otherwise(turns)
     return known.select(key, layout.alias("layout"), turns.cast(TURNS).alias("turns"))
 
 

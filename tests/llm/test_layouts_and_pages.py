@@ -88,6 +88,32 @@ def test_formatting_is_native_and_takes_empty_tables(spark):
     assert out.collect() == [] and "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_records_are_read(spark):
+    one = F.repeat(F.lit('a"\\é'), 5_500_000)  # a text of 22 million characters; and 15 texts of 10 million, 150 MB as a whole
+    rows = spark.range(1).select(F.lit(0).alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), one.alias("text"))
+    many = spark.range(15).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("0123456789"), 1_000_000).alias("text"))
+    records = chat_format.conversation_records(rows.unionByName(many))
+    canonical = chat_format.canonical_turns(records)
+    got = {r.conv_id: r for r in chat_format.chat_digest(chat_format.read_back(chat_format.format_chats(canonical))).collect()}
+    for c, turns in {0: [("user", 'a"\\é' * 5_500_000), ("assistant", 'a"\\é' * 5_500_000)], 1: [("assistant", "0123456789" * 1_000_000)] * 15}.items():
+        said, loss = "".join(f"{r}\n{t}\n" for r, t in turns), "".join(t for r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_outlines_have_the_fingerprint_and_texts_of_their_records(spark):
+    texts = [json.dumps(r) for r, _ in RECORDS] + ['{"messages": [{"role": "a", "content": "\\ud83d\\u00e9\\\\\\""} , {"content": "x", "role": "b"}]}']
+    broken = ["no json", '{"prompt": "p\n", "completion": "c"}', '{"prompt": "\\x", "completion": "c"}', '{"prompt": "p", "completion": "c', '{"prompt": "p\\" x \\" \t", "completion": ","}']
+    df = spark.createDataFrame([(t,) for t in texts + broken], "payload string")
+    both = df.select("payload", chat_format.fingerprint(F.try_parse_json("payload")).alias("a"), chat_format._outline_print(F.col("payload")).alias("b"))
+    for r in both.collect():
+        assert r.a == r.b and (r.a is None) == (r.payload in broken)
+    for x in chat_format.LAYOUTS:
+        of = [chat_format._turns(v, F.col("payload"), x) for v in (F.try_parse_json("payload"), F.lit(None).cast("variant"))]
+        mine = both.where(F.col("a") == x.fingerprint).select(of[0].alias("x"), of[1].alias("y"))
+        assert all(r.x == r.y for r in mine.collect())
+
+
 # Pages ----------------------------------------------------------------------------------------------------------
 
 LONG = "The first of the paragraphs is long enough to be decided by the words that are in it, and it is in the article for that."
