@@ -4,8 +4,9 @@
    is shared again by weight among the others, until none is above (``targets``).
 2. Blocks. A hash deals each source's documents into blocks of about ``block_size``. A source with a target above
    its size takes all blocks once for every whole pass, and a part of them once more. Blocks are taken in a
-   permuted order (by a hash of source, pass and block) as long as they fit; the gap that is left is filled with
-   those documents of the next few blocks that fit.
+   permuted order (by a hash of source, pass and block); one that doesn't fit is skipped. Where the small documents
+   of the skipped blocks can't fill the gap, skipped blocks with large ones are placed first. The gap that is left is
+   filled with documents of the skipped blocks, ``edge_blocks`` of a source at a time, until none of them fits.
 3. Splitting tree. The taken blocks of each source are an exact quota. A binary tree splits the quotas of all
    sources among the output shards: at each node the left half's share of every source is one multivariate
    hypergeometric draw, so each shard gets the blocks of a random partition without anybody drawing block by
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,9 @@ from stallscope.llm.common import WORD
 from stallscope.session import Staging
 
 
+SMALL = 0.001  # of a target: documents up to this size bring a source as near to it
+
+
 @dataclass(frozen=True)
 class Mix:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)  # by the place of the source in code-point order, repeating
@@ -43,7 +48,7 @@ class Mix:
     shard_size: int = 16_000_000  # of the mix; the number of shards is the next power of two
     block_size: int = 250_000  # of documents of one source ...
     least_blocks: int = 512  # ... of which it has this many at least, or one for each document
-    edge_blocks: int = 16  # blocks whose documents fill the last gap to the target
+    edge_blocks: int = 16  # blocks of a source whose documents fill the last gap to the target at once
     seed: int = 20
     max_sources: int = 100_000
 
@@ -92,27 +97,59 @@ def _same(*names: str) -> list[Column]:
     return [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
 
 
+def fitting(size: np.ndarray, order: np.ndarray, need: float) -> tuple[np.ndarray, float]:
+    """Of ``order``, what fits one after another into ``need``, going on past what doesn't; and what is left."""
+    taken, left = [order[:0]], need
+    while len(order := order[size[order] <= left]):
+        upto = np.cumsum(size[order])
+        n = np.searchsorted(upto, left, side="right")
+        taken.append(order[:n])
+        left -= float(upto[n - 1])
+        order = order[n:][size[order[n:]] > 0]
+    return np.concatenate(taken), left
+
+
+def choose(size: np.ndarray, small: np.ndarray, need: float) -> tuple[np.ndarray, float]:
+    """Blocks for ``need``, in order, and what is left: a part that the small documents of the other blocks (``small`` is
+    their size) fill, if any order with large blocks first leads there."""
+    every = np.arange(len(size))
+    best = fitting(size, every, need)
+    miss = lambda x: x[1] - (small.sum() - small[x[0]].sum())
+    front: list[int] = []
+    for block in np.setdiff1d(np.flatnonzero(size <= need), best[0]):
+        if miss(best) <= need * SMALL:
+            break
+        first = [*front, block]
+        if size[first].sum() <= need:
+            trial = fitting(size, np.r_[first, np.delete(every, first)], need)
+            if miss(trial) < miss(best):
+                best, front = trial, first
+    return best
+
+
+def _choose(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one source and pass by rank: those taken, then at the edge the others in permuted order."""
+    blocks = blocks.sort_values(["key", "block"], ignore_index=True)
+    taken, left = choose(blocks["size"].to_numpy(), blocks["small"].to_numpy(), float(blocks["need"].iloc[0]))
+    blocks = blocks.iloc[np.r_[taken, np.setdiff1d(np.arange(len(blocks)), taken)].astype(int)]
+    rank = np.arange(len(blocks))
+    return blocks.assign(rank=rank, at_edge=rank >= len(taken), opens=rank == len(taken), need=left)[["source", "block", "pass", "rank", "at_edge", "opens", "need", "least"]]
+
+
 def _fill(edge: pd.DataFrame) -> pd.DataFrame:
-    """Of the documents at one source's edge, in permuted order, those that still fit, and one more where that ends
-    nearer the target. Rows of one number go together."""
-    left, taken, beyond = float(edge["need"].iloc[0]), [], []
-    for _, rows in edge.sort_values(["key", "doc_id"]).groupby(["key", "doc_id"], sort=False, dropna=False):
-        size, row = int(rows["size"].sum()), rows.iloc[:1]
-        if size <= left:
-            left -= size
-            taken.append(row)
-        else:
-            beyond.append((size, row))
-    size, row = min(beyond, key=lambda x: x[0], default=(0, None))
-    if row is not None and size < 2 * left:
-        taken.append(row)
-    return (pd.concat(taken) if taken else edge.iloc[:0])[["source", "doc_id"]]
+    """Of the documents at one source's edge, in permuted order, those that still fit, and the smallest that doesn't.
+    Rows of one number go together."""
+    docs = edge.groupby(["key", "doc_id"], dropna=False, as_index=False)["size"].sum().sort_values(["key", "doc_id"], ignore_index=True)
+    taken, left = fitting(docs["size"].to_numpy(), np.arange(len(docs)), float(edge["need"].iloc[0]))
+    beyond = docs[docs["size"] > 0].drop(index=taken, errors="ignore").sort_values(["size", "key"]).iloc[:1]
+    out = pd.concat([docs.loc[taken].assign(fits=True), beyond.assign(fits=False)])
+    return out.assign(source=edge["source"].iloc[0], need=left, rank=edge["rank"].max())[["source", "doc_id", "size", "fits", "need", "rank"]]
 
 
 def plan_mix(sized: DataFrame, mix: Mix, staging: Staging) -> DataFrame:
     """Per row of ``sized`` (doc_id, source, size): source_size, target, and copies as an array of shards.
 
-    ``sized`` should be a staged table: it is read three times.
+    ``sized`` should be a staged table: it is read three times, and once more for every further turn of the edge.
     """
     spark = sized.sparkSession
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(mix.max_sources + 1).collect()
@@ -130,21 +167,14 @@ def plan_mix(sized: DataFrame, mix: Mix, staging: Staging) -> DataFrame:
     known = sized.alias("l").join(F.broadcast(sources.alias("r")), _same("source")).select("l.*", "r.source_size", "r.target", "r.blocks")
     dealt = known.withColumn("block", F.pmod(_hash(mix.seed, F.col("source"), F.col("doc_id")), F.col("blocks"))).drop("blocks")
 
-    # Blocks in permuted order, one row for each pass; the first that goes beyond the target opens the edge.
-    by_block = dealt.groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("size"))
+    # Blocks in permuted order, one row for each pass; those that are not taken are the edge.
+    small, some = F.when(F.col("size") <= F.col("target") * SMALL, F.col("size")).otherwise(0), F.when(F.col("size") > 0, F.col("size"))
+    by_block = dealt.groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("size"), F.sum(small).alias("small"), F.min(some).alias("least"))
     last_pass = F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))) - 1)
     passes = by_block.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last_pass))).withColumn("need", F.col("target") - F.col("pass") * F.col("source_size"))
-    in_pass = Window.partitionBy("source", "pass")
-    order = in_pass.orderBy(_hash(mix.seed + 1, F.col("source"), F.col("block"), F.col("pass")), "block")
-    ranked = (
-        passes.where("need > 0").withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-        .withColumn("edge", F.min(F.when(F.col("upto") > F.col("need"), F.col("rank"))).over(in_pass)).withColumn("rest", F.col("need") - F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).over(in_pass))
-    )
-    at_edge = F.coalesce(F.col("rank") >= F.col("edge"), F.lit(False))
-    taken = ranked.where(~at_edge | (F.col("rank") < F.col("edge") + mix.edge_blocks)).select(
-        "source", "block", "pass", "rank", at_edge.alias("at_edge"), (F.col("rank") == F.col("edge")).alias("opens"), F.coalesce("rest", "need").alias("need")
-    )
-    taken = staging.write("taken", taken)
+    ordered = passes.where("need > 0").withColumn("key", _hash(mix.seed + 1, F.col("source"), F.col("block"), F.col("pass")))
+    ranks = "source string, block long, pass long, rank long, at_edge boolean, opens boolean, need double, least long"
+    taken = staging.write("taken", ordered.groupBy("source", "pass").applyInPandas(_choose, ranks))
 
     # Exact quotas (the edge counts as one block), the splitting tree, and each shard's run of each source's blocks.
     placed_blocks = taken.where(~F.col("at_edge") | F.col("opens"))
@@ -160,11 +190,27 @@ def plan_mix(sized: DataFrame, mix: Mix, staging: Staging) -> DataFrame:
     placed = placed_blocks.alias("l").join(runs.alias("r"), _same("source", "pass", "rank")).select("l.source", "l.block", "l.pass", "l.at_edge", "r.shard")
     whole = placed.where("not at_edge").groupBy("source", "block").agg(F.array_sort(F.collect_list("shard")).alias("copies"))
 
-    # The edge: what still fits of the documents of a few blocks; a source has one edge at most.
-    near = taken.where("at_edge").select("source", "block", "need")
-    edge = dealt.alias("l").join(near.alias("r"), _same("source", "block")).select("l.doc_id", "l.source", "l.size", "r.need", _hash(mix.seed + 2, F.col("l.source"), F.col("l.doc_id")).alias("key"))
-    fits = edge.groupBy("source").applyInPandas(_fill, "source string, doc_id long")
-    some = fits.alias("l").join(F.broadcast(placed.where("at_edge").limit(mix.max_sources)).alias("r"), _same("source")).select("l.source", "l.doc_id", "r.shard")
+    # The edge, a source has one at most: what still fits of the documents of a few blocks, then of the next that hold one
+    # that fits, until there is none; and one more document where that ends nearer the target.
+    at_edge, filled = taken.where("at_edge and least is not null"), []
+    near = at_edge
+    while True:
+        turn = F.row_number().over(Window.partitionBy("source").orderBy("rank"))
+        near = near.select("source", "block", "need", "rank").withColumn("turn", turn).where(F.col("turn") <= mix.edge_blocks)
+        edge = dealt.alias("l").join(near.alias("r"), _same("source", "block"))
+        edge = edge.select(F.col("l.doc_id").cast("string"), "l.source", "l.size", "r.need", "r.rank", _hash(mix.seed + 2, F.col("l.source"), F.col("l.doc_id")).alias("key"))
+        fits = edge.groupBy("source").applyInPandas(_fill, "source string, doc_id string, size long, fits boolean, need double, rank long")
+        filled.append(staging.write(f"filled{len(filled)}", fits))
+        state = filled[-1].groupBy("source").agg(F.min("need").alias("need"), F.max("rank").alias("rank"))
+        near = at_edge.alias("l").join(state.alias("r"), [*_same("source"), F.col("l.rank") > F.col("r.rank"), F.col("l.least") <= F.col("r.need")])
+        near = near.select("l.source", "l.block", "r.need", "l.rank")
+        if near.isEmpty():
+            break
+    fits = reduce(DataFrame.unionByName, filled)
+    last = fits.groupBy("source").agg(F.min("need").alias("need"), F.min_by(F.struct("doc_id", "size"), F.when(~F.col("fits"), F.struct("size", "doc_id"))).alias("more"))
+    more = last.where(F.col("more.size") < 2 * F.col("need")).select("source", "more.doc_id")
+    some = fits.where("fits").select("source", "doc_id").unionByName(more).withColumn("doc_id", F.col("doc_id").cast("long"))
+    some = some.alias("l").join(F.broadcast(placed.where("at_edge").limit(mix.max_sources)).alias("r"), _same("source")).select("l.source", "l.doc_id", "r.shard")
 
     full = dealt.alias("l").join(whole.alias("r"), _same("source", "block"), "left").select("l.*", F.coalesce("r.copies", F.array().cast("array<int>")).alias("copies"))
     both = full.alias("l").join(some.alias("r"), _same("source", "doc_id"), "left")

@@ -248,6 +248,27 @@ def test_sources_come_near_their_targets_and_reruns_agree(spark):
     assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in got}
 
 
+@pytest.mark.parametrize("seed", [1, 5, 20])
+def test_one_long_document_costs_no_source_its_target(spark, seed):
+    rng = np.random.default_rng(3)
+    size = [30_000, *rng.integers(20, 180, 600).tolist()]  # a third of its source; the others are blocks of two documents
+    size += rng.integers(20, 180, 2000).tolist()
+    rows = [(i, "a" if i <= 600 else "b", n) for i, n in enumerate(size)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(4)
+    for total in (0.75, 1.5):
+        mix = mixing.Mix(weights=(float(sum(size[:601])), float(sum(size[601:]))), total=total, seed=seed, least_blocks=100)
+        planned = mixing.plan_mix(sized, mix, Staging(spark, "test")).collect()
+        for s in "ab":
+            of = [r for r in planned if r.source == s]
+            assert len(of) == sum(r[1] == s for r in rows) and abs(sum(r["size"] * len(r.copies) for r in of) - of[0].target) <= 0.005 * of[0].target
+
+
+def test_blocks_that_do_not_fit_are_skipped():
+    size = np.array([5, 90, 5, 80, 5, 0])
+    assert [(x.tolist(), left) for x, left in (mixing.fitting(size, np.arange(6), 16.0), mixing.fitting(size, np.arange(6), 98.0))] == [([0, 2, 4, 5], 1.0), ([0, 1], 3.0)]
+    assert mixing.choose(size, np.zeros(6), 90.0)[1] == 0
+
+
 def test_documents_are_drawn_into_shards(spark):
     rows, docs = mixed_rows(spark, 600)
     mix = mixing.Mix(shard_size=8000)
