@@ -6,9 +6,10 @@ compressor primed with the corpus's own identifier parts. The bytes that the run
 novelty: identifiers and words shared with the dictionary or the surroundings cost little, random strings cost
 nearly their entropy.
 
-The identifier dictionary covers all documents: the letter runs of all candidates, by the number of distinct
-candidates that hold them (so copies of a document don't raise a run), and of these the ``DICTIONARY_PARTS`` most
-frequent. That is a bounded report; candidates themselves are never cut.
+The identifier dictionary covers the whole text of all documents: identifiers and their parts (words of camel, snake and
+kebab case), by the number of documents that hold them outside candidates, plus the distinct candidates that hold a
+part (so a secret in copies of a document raises nothing), and of these the ``DICTIONARY_PARTS`` most frequent. That is
+a bounded report; candidates themselves are never cut. A string is an identifier if it is nearly all words.
 
 Null texts count as empty. Rows stay as they are; other columns are ignored. Positions are code points, end
 exclusive; spans are ordered by start, then kind.
@@ -17,7 +18,9 @@ exclusive; spans are ordered by start, then kind.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +42,12 @@ AROUND = 400  # characters on each side that prime the measure
 LEVEL = 6
 NOVELTY = 0.72  # bytes added per character
 DICTIONARY_PARTS = 4000
-PART = r"[A-Za-z]{4,}"
+PART = r"[A-Z][a-z]{3,63}|[a-z]{4,64}|[A-Z]{4,64}(?![a-z])"
+PARTS = re.compile(PART)
+IDENTIFIER = re.compile(r"[A-Za-z0-9_-]{6,}")
+IN_PARTS = 0.8  # of an identifier's letters and digits, at least
+LONGEST = 128  # characters; a longer identifier counts by its parts only
+COUNTED = 100_000  # parts counted in a task before they are handed on
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -83,21 +91,52 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, str]]:
     return sorted(found + [(s, 3, e) for s, e in free if novelty(text, s, e) >= NOVELTY])
 
 
+@lru_cache(1 << 16)
+def _known_as(run: str) -> tuple[str, ...]:
+    parts = PARTS.findall(run)
+    if len(parts) < 2 and len(run) < 16 or sum(map(len, parts)) < IN_PARTS * (len(run) - run.count("_") - run.count("-")):
+        return ()
+    return (*parts, run.strip("_-")) if len(run) <= LONGEST else tuple(parts)
+
+
+def identifiers(text: str) -> set[str]:
+    """The identifiers of a text and their parts."""
+    out: set[str] = set()
+    for run in set(IDENTIFIER.findall(text)):
+        out.update(_known_as(run) if len(run) <= LONGEST else _known_as.__wrapped__(run))
+    return out
+
+
 def identifier_parts(docs: DataFrame) -> DataFrame:
-    """part, n: letter runs of all candidates in all documents, by the distinct candidates they occur in."""
+    """part, n: identifiers and their parts, by the documents that hold them outside candidates and the distinct candidates that hold them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        seen: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            values = [pa.array([*found, *seen], pa.string()), pa.array([True] * len(found) + [False] * len(seen)), pa.array([1] * len(found) + list(seen.values()), pa.int64())]
+            found.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays(values, ["value", "candidate", "n"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = {t[s:e] for t in part.column("text").to_pylist() if t for s, e in candidates(t)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["candidate"])
+            for text in part.column("text").to_pylist():
+                at = candidates(text or "")
+                found.update(text[s:e] for s, e in at)
+                seen.update(identifiers(masked(text or "", at, " ")))
+            if len(seen) > COUNTED:
+                yield rows()
+        yield rows()
 
-    distinct = docs.select("text").mapInArrow(runs, "candidate string").distinct()
-    parts = distinct.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(candidate), '{PART}', 0)"))).alias("part"))
-    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    once = docs.select("text").mapInArrow(count, "value string, candidate boolean, n long").groupBy("candidate", "value").agg(F.sum("n").alias("n"))
+    held = F.when(F.col("candidate"), F.array_distinct(F.regexp_extract_all("value", F.lit(PART), F.lit(0)))).otherwise(F.array("value"))
+    parts = once.select(F.explode(held).alias("part"), F.when(F.col("candidate"), 1).otherwise(F.col("n")).alias("n"))
+    return parts.groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_PARTS) -> list[str]:
-    """The ``size`` most frequent identifier parts that occur in two candidates at least, most frequent first."""
+    """The ``size`` most frequent identifiers and parts that occur twice at least, most frequent first."""
     top = identifier_parts(docs).where("n >= 2").orderBy(F.desc("n"), "part").limit(size)
     return [r.part for r in top.collect()]
 
