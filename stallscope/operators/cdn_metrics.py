@@ -688,20 +688,23 @@ MINIMA = {"first_miss_us", "_minCacheable", "_minAll"}
 MAXIMA = {"_maxCacheable", "_maxAll", "cloud"}
 
 
-def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One part from the same part of several sets of events, which ``batch_id`` puts in order of arrival."""
-    by = [*keys, *PART_GROUPS[name]]
+def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS, batch: str | None = None) -> DataFrame:
+    """One part from the same part of several sets of events.
+
+    Events arrive in the order of the column ``batch``, then of ``ord``; without ``batch``, ``ord`` orders the sets too.
+    """
+    by, arrival = [*keys, *PART_GROUPS[name]], [batch] if batch else []
     if name == "firsts":
-        first = F.min_by(F.struct("us", "ord", "a", "b"), F.struct("us", "batch_id", "ord", "a", "b"))
+        first = F.min_by(F.struct("us", "ord", "a", "b"), F.struct("us", *arrival, "ord", "a", "b"))
         return rows.groupBy(*by).agg(first.alias("f")).select(*by, "f.*")
     folds = []
     for c in rows.columns:
-        if c in by or c in ("ttl", "ttl_ord", "batch_id"):
+        if c in by or c in ("ttl", "ttl_ord", batch):
             continue
         fold = F.min if c in MINIMA else F.max if c in MAXIMA else F.sum
         folds.append(fold(c).alias(c))
     if name == "times":
-        last = F.when(F.col("ttl_ord").isNotNull(), F.struct("batch_id", "ttl_ord"))
+        last = F.when(F.col("ttl_ord").isNotNull(), F.struct(*arrival, "ttl_ord"))
         folds += [F.max_by("ttl", last).alias("ttl"), F.max("ttl_ord").alias("ttl_ord")]
     return rows.groupBy(*by).agg(*folds)
 

@@ -62,7 +62,7 @@ def write_partials(
 def arrived_parts(spark: SparkSession, table: str, keys: list[str] = KEYS) -> dict[str, DataFrame]:
     """The parts of all batches so far, merged."""
     read = lambda name: spark.read.option("basePath", f"{table}/{name}").parquet(f"{table}/{name}")
-    return {name: merge_part(name, read(name), keys) for name in PART_GROUPS}
+    return {name: merge_part(name, read(name), keys, "batch_id") for name in PART_GROUPS}
 
 
 def stream_metrics(

@@ -102,9 +102,9 @@ def test_order_of_arrival_over_many_partitions(spark):
     halves = [numbered.where("n < 200"), numbered.where("n >= 200")]
     for name in ("firsts", "times"):
         split = [cm.partials(cm.tag_events(h))[name].withColumn("batch_id", F.lit(i)) for i, h in enumerate(halves)]
-        merged = cm.merge_part(name, split[0].unionByName(split[1]))
+        merged = cm.merge_part(name, split[0].unionByName(split[1]), batch="batch_id")
         columns = [c for c in merged.columns if c not in ("ord", "ttl_ord")]
         assert merged.select(columns).collect() == parts[name].select(columns).collect()
     # a later batch comes after an earlier one, whatever the numbers in it
     late = [cm.partials(cm.tag_events(h))["firsts"].withColumn("batch_id", F.lit(i)) for i, h in enumerate(reversed(halves))]
-    assert cm.merge_part("firsts", late[0].unionByName(late[1])).where("dim = 'name'").first().a == "name 200"
+    assert cm.merge_part("firsts", late[0].unionByName(late[1]), batch="batch_id").where("dim = 'name'").first().a == "name 200"
