@@ -12,7 +12,7 @@ A document's set is its distinct word shingles (as 64-bit hashes); documents wit
    Pairs whose sketches can't reach ``percent`` are dropped (``slack`` standard deviations are left). The others are
    confirmed on their full sets; confirmed links give components, and all close pairs together give clusters.
 4. Buckets that hold several clusters: members outside the bucket's largest cluster are compared with those of
-   other clusters by sketch, inside the join, so only close pairs leave it. They are confirmed and join clusters.
+   other clusters by sketch, inside the join. One close pair joins two clusters; the others add nothing to step 5.
 5. Clusters that hold several components (near copies a little under the threshold): members outside the largest
    component are compared with all members on full sets, block by block as matrix products; only links leave a
    block. Components are joined up.
@@ -276,10 +276,9 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     rest = staging.write("rest", placed.hint("merge").join(main, "band").hint("merge").join(known, "rep"))
     across = (F.col("l.band") == F.col("r.band")) & (F.col("l.cluster") != F.col("r.cluster")) & ((F.col("r.cluster") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
     more = rest.where("cluster <> main").alias("l").hint("merge").join(rest.alias("r"), across & may_reach(near, "l", "r"))
-    more = staging.write("more", more.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct())
+    more = staging.write("more", more.select(F.least("l.cluster", "r.cluster").alias("a"), F.greatest("l.cluster", "r.cluster").alias("b")).distinct())
     staging.drop("shared", "placed", "rest")
     if not more.isEmpty():
-        links = staging.write("more-links", links.union(confirm(more, sets, near)))
         clusters = components(close.union(more), staging, "all-clusters")
 
     # Clusters that hold several components: compared whole, block by block.
