@@ -1,7 +1,7 @@
 """The corpus pipeline: from raw documents to a mixed, clean corpus, one operator of ``stallscope.llm`` for each stage.
 
 Every stage works on all that the one before kept, written as Parquet and read again. All but the last return the
-columns of ``documents``; the last adds ``mix_copy`` and ``mix_shard``.
+columns of ``documents``; the last adds ``mix_copy`` and ``mix_shard``, in place of columns of these names.
 
 1. ``language``: learns the languages from the rows that have one, and rejects documents without a letter or with
    too few n-grams of any learned language.
@@ -11,7 +11,7 @@ columns of ``documents``; the last adds ``mix_copy`` and ``mix_shard``.
 5. ``mix``: sources are taken to their target weights and shuffled into shards.
 
 Null texts are rejected by the first stage. Repeated rows are near duplicates of each other. A null document number
-is no reason to reject. An empty table gives an empty corpus. Extra columns are carried along.
+is no reason to reject. An empty table gives an empty corpus. Extra columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +39,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # A document without a number goes by a negative one made of its text.
     own = F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - 1)
     found = odd_sketch.near_duplicates(docs.select(own.alias("doc_id"), "text"), odd_sketch.Near())
-    first = found.where("kept").select(F.col("doc_id").alias("_own")).distinct()
-    kept = docs.withColumn("_own", own).join(first, "_own", "left_semi")
+    number, place = free_name(docs, "number"), free_name(docs, "place")
+    first = found.where("kept").select(F.col("doc_id").alias(number)).distinct()
+    kept = docs.withColumn(number, own).join(first, number, "left_semi")
     # Of repeated rows one stays; the join has them side by side already.
-    place = F.row_number().over(Window.partitionBy("_own", F.xxhash64("text")).orderBy(F.lit(0)))
-    return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    among = F.row_number().over(Window.partitionBy(number, F.xxhash64("text")).orderBy(F.lit(0)))
+    return kept.withColumn(place, among).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer where the documents have such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +62,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     masked = secret_scan.mask_secrets(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
