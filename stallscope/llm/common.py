@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -51,6 +52,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             stop = max(int(np.searchsorted(ends, before + most, side="right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine: Python workers outlive their task and would keep it beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:

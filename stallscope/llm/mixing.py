@@ -46,6 +46,7 @@ class Mix:
     total: float = 1.5  # size of the mix as a share of all sizes
     repeats: float = 2.0  # most a source, and a document, is taken
     shard_size: int = 16_000_000  # of the mix; the number of shards is the next power of two
+    shard_parts: int = 16  # partitions of a shard
     block_size: int = 250_000  # of documents of one source ...
     least_blocks: int = 512  # ... of which it has this many at least, or one for each document
     edge_blocks: int = 16  # blocks of a source whose documents fill the last gap to the target at once
@@ -232,14 +233,17 @@ def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed corpus: a row for each copy of each document taken, with its shard, in shuffled order in each shard.
 
-    A shard lies in one partition, sorted by a hash of document and copy; ``mix_copy`` and ``mix_shard`` follow
-    the columns of ``docs`` (which must not have columns of these names).
+    A shard is ordered by a hash of document and copy. Its rows lie in ``shard_parts`` partitions, each an equal range of
+    that hash, so a task sorts a part of a shard only. ``mix_copy`` and ``mix_shard`` follow the columns of ``docs``
+    and take the place of columns of these names.
     """
     staging = Staging(docs.sparkSession, "mix")
     planned = plan_mix(staging.write("sized", sized_documents(docs)), mix, staging)
     # Rows of one number and source share their copies; repeated rows must not multiply each other.
     copies = planned.where(F.size("copies") > 0).groupBy("doc_id", "source").agg(F.first("copies").alias("_copies"))
     joined = docs.alias("l").join(copies.alias("r"), _same("doc_id", "source"))
-    rows = joined.select(*[F.col(f"l.{c}") for c in docs.columns], F.posexplode("r._copies").alias("mix_copy", "mix_shard"))
+    own = [F.col(f"l.`{c}`") for c in docs.columns if c.lower() not in ("mix_copy", "mix_shard")]
+    rows = joined.select(*own, F.posexplode("r._copies").alias("mix_copy", "mix_shard"))
     place = _hash(mix.seed + 3, F.col("doc_id"), F.col("mix_copy"))
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", place)
+    part = F.floor((F.shiftright(place, 32) + (1 << 31)) * mix.shard_parts / (1 << 32)).cast("int")
+    return rows.repartition("mix_shard", part).sortWithinPartitions("mix_shard", place)
