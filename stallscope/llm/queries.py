@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallscope.llm import chat_format, decontaminate, html_text, interpolated_lm, language_bits, mixing, odd_sketch, quality_rules, secret_scan, token_counts
+from stallscope.llm import (
+    chat_format, decontaminate, divergence, html_text, importance, interpolated_lm, language_bits, mixing, odd_sketch, quality_rules, secret_scan, token_counts, warc,
+)
 from stallscope.llm.common import table
 
 
@@ -92,6 +94,95 @@ def op10_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+texts AS (SELECT 0 AS target, doc_id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 1, NULL, -row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT target, doc_id, row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+features AS (
+  SELECT target, row, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS (SELECT target, row, f, count(*) AS n FROM features GROUP BY ALL),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)),
+    lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc),
+buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM buckets),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(big_s AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(big_t AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM buckets, totals),
+sums AS (SELECT row, sum(n) AS n, sum(n * gain) AS g FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY row),
+weighed AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(CAST(n AS BIGINT), 0) AS n_features,
+    coalesce(CAST(g // n - CASE WHEN g < 0 AND g % n <> 0 THEN 1 ELSE 0 END AS BIGINT), 0) AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM words LEFT JOIN sums USING (row) WHERE target = 0),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = r"""
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, upper(sha1(payload)) AS h FROM payloads),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || h[1 + 5 * (k // 4) : 5 + 5 * (k // 4)] AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31)]), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+def op13_pattern_tree_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+terms AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS whole FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(whole) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(s.n, 0) AS lang_n, coalesce((SELECT sum(c) FROM counts x WHERE x.lang = g.lang AND x.source = g.source), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes s USING (lang)),
+shares AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + CAST(1000000000 * (coalesce(c, 0) + 5) AS HUGEINT) // (n + 5 * v) AS p,
+    1 + CAST(1000000000 * (whole + 5) AS HUGEINT) // (lang_n + 5 * v) AS q
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((
+    SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM shares WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 CHECKS = {
     "op1_language_bits": (op1_language_bits, None),
     "op2_quality_votes": (op2_quality_votes, None),
@@ -103,4 +194,7 @@ CHECKS = {
     "op8_html_blocks": (op8_html_blocks, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_mixing_tree": (op10_mixing_tree, None),
+    "op11_bit_sliced_resampling": (op11_bit_sliced_resampling, OP11_SQL),
+    "op12_warc_bundles": (op12_warc_bundles, OP12_SQL),
+    "op13_pattern_tree_audit": (op13_pattern_tree_audit, OP13_SQL),
 }
