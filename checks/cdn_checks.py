@@ -15,6 +15,7 @@ from stallscope.operators import upstream as up
 from stallscope.operators.quantile import exact_quantiles
 from stallscope.plans import cdn_report as cr
 from stallscope.session import checkpoint_dir, stage
+from stallscope.session import Staging
 from stallscope.sources import cdn_export as ce
 from stallscope.sources import cdn_scan as scan
 from stallscope.streaming import cdn_stream as st
@@ -80,11 +81,23 @@ def rounded(df, keep=()):
 
 # Exports and scans ------------------------------------------------------------------------------------
 
+# Columns that the view lacks, made from others.
+EXPORT_MORE = {
+    "server_region": "concat('region ', pop)", "server_hostname": "concat('cache-', lower(pop), '-1')",
+    "cache_location": "CASE WHEN cache_status = 'HIT' THEN 'EDGE' ELSE 'ORIGIN_FETCH' END", "response_age": "response_ttl / 4",
+}
 EXPORT_COLUMNS = [
-    "url", "cache_status", "status", "origin_status", "pop", "client_as_name", "response_ttl", "is_cacheable", "shielding_used",
-    "fetch_cache_control", "request_via", "aem_service",
-]
-EXPORT_SQL = f"""{v.WITH_CDN} SELECT {', '.join(EXPORT_COLUMNS)}, epoch_us(time_start) // 1000000 AS second FROM cdn_logs"""
+    "url", "request_user_agent", "fetch_surrogate_control", "fetch_cache_control", "cache_status", "fastly_info_state", "response_x_cache", "pop",
+    "server_region", "server_hostname", "bot_name", "client_ip", "client_as_number", "client_as_name", "fetch_action", "cache_location", "content_type",
+    "ddos_action", "ddos_rule", "malicious_flags", "deny_reason", "geo_country_code", "aem_service", "aem_tier", "origin_host", "original_x_forwarded_for",
+    "response_vary", "status", "origin_status", "response_age", "response_ttl", "is_cacheable", "shielding_used", "request_via",
+]
+WITH_EXPORT = f"{v.WITH_CDN}, exported AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in EXPORT_MORE.items())} FROM cdn_logs)"
+EXPORT_SQL = f"""{WITH_EXPORT} SELECT {', '.join(EXPORT_COLUMNS)}, epoch_us(time_start) // 1000000 AS second FROM exported"""
+
+
+def exported(spark, sf):
+    return events(spark, sf).withColumns({c: F.expr(x) for c, x in EXPORT_MORE.items()})
 
 
 def _raw_columns(df):
@@ -101,7 +114,7 @@ def _export(parsed):
 @check("export_lines", EXPORT_SQL)
 def export_lines(spark, sf):
     """Event lines, some wrapped, some with a trailing comma, between markers and broken lines."""
-    e = events(spark, sf)
+    e = exported(spark, sf)
     one = F.struct(*[c.alias(n) for n, c in _raw_columns(e).items()])
     wrapped = F.to_json(F.struct(F.lit("false").alias("preview"), one.alias("result")))
     line = F.when(F.col("ord") % 3 == 0, wrapped).when(F.col("ord") % 3 == 1, F.concat(F.to_json(one), F.lit(",  "))).otherwise(F.to_json(one))
@@ -113,7 +126,7 @@ def export_lines(spark, sf):
 @check("export_raw_json", EXPORT_SQL)
 def export_raw_json(spark, sf):
     """Events inside ``_raw`` as JSON; the explicit address wins over the one inside."""
-    e = events(spark, sf)
+    e = exported(spark, sf)
     cols = {n: c for n, c in _raw_columns(e).items() if n not in ("url", "xdata.request_via")}
     inner = F.struct(
         F.lit("/shadowed").alias("url"), F.struct(F.col("request_via")).alias("xdata"), *[c.alias(n) for n, c in cols.items()]
@@ -129,20 +142,20 @@ def _kv(e):
 
 @check("export_raw_kv", EXPORT_SQL)
 def export_raw_kv(spark, sf):
-    e = events(spark, sf)
+    e = exported(spark, sf)
     return _export(ce.parse_lines(e.select("ord", F.to_json(F.struct(_kv(e).alias("_raw"))).alias("value"))))
 
 
 @check("export_kv_blocks", EXPORT_SQL)
 def export_kv_blocks(spark, sf):
-    e = events(spark, sf)
+    e = exported(spark, sf)
     return _export(ce.parse_documents(e.select("ord", _kv(e).alias("value"))))
 
 
 @check("export_documents", EXPORT_SQL)
 def export_documents(spark, sf):
     """Documents of at most 50 events: arrays, wrappers of two kinds, single objects, event lines."""
-    e = events(spark, sf)
+    e = exported(spark, sf)
     one = F.struct(*[c.alias(n) for n, c in _raw_columns(e).items()])
     kind = F.floor(F.col("ord") / 50) % 5
     docs = e.select(F.floor(F.col("ord") / 50).alias("doc"), kind.alias("kind"), "ord", F.to_json(one).alias("j"))
@@ -161,6 +174,69 @@ def export_documents(spark, sf):
     return _export(ce.parse_documents(many.select("doc", text.alias("value")).unionByName(single)))
 
 
+NOTE = "{note: [not json"
+RAW_MAP_SQL = f"""{WITH_EXPORT}, kept AS (SELECT *, CAST(ord AS VARCHAR) AS id FROM exported)
+SELECT ord, 'url' AS key, url AS value FROM kept UNION ALL SELECT ord, 'status', CAST(status AS VARCHAR) FROM kept
+UNION ALL SELECT ord, 'edge.pop.name', pop FROM kept UNION ALL SELECT ord, 'edge.pop.load', concat(id, ',1.5,x') FROM kept
+UNION ALL SELECT ord, 'edge.live', CASE WHEN is_cacheable THEN 'true' ELSE 'false' END FROM kept
+UNION ALL SELECT ord, 'edge.a.b.c.d.e.f', id FROM kept UNION ALL SELECT ord, 'xdata.request_via', request_via FROM kept
+UNION ALL SELECT ord, 'note', '{NOTE}' FROM kept UNION ALL SELECT ord, concat('k', client_as_number), client_ip FROM kept
+UNION ALL SELECT ord, 'seen', 'explicit' FROM kept UNION ALL SELECT ord, 'bot', bot_name FROM kept WHERE bot_name <> ''"""
+
+
+@check("export_raw_map", RAW_MAP_SQL)
+def export_raw_map(spark, sf):
+    """The untyped record of every event: nested members of any name and depth under ``_raw``, numbers, flags, lists, nulls, keys
+    that differ from event to event, and explicit members that win."""
+    e = exported(spark, sf)
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
+    inner = F.concat(
+        F.lit('{"url": "/shadowed", "gone": null, "none": {}, "seen": "in raw", "edge": {"pop": {"name": '), text("pop"), F.lit(', "load": ['), F.col("ord").cast("string"),
+        F.lit(', 1.50, "x"]}, "live": '), F.col("is_cacheable").cast("string"), F.lit(', "a": {"b": {"c": {"d": {"e": {"f": '), F.col("ord").cast("string"),
+        F.lit('}}}}}}, "xdata": {"request_via": '), text("request_via"), F.lit(f'}}, "note": "{NOTE}", "k'), F.col("client_as_number"), F.lit('": '), text("client_ip"), F.lit("}"),
+    )
+    one = F.struct("url", "status", F.lit("explicit").alias("seen"), F.nullif("bot_name", F.lit("")).alias("bot"), inner.alias("_raw"))
+    lines = e.select("ord", F.when(F.col("ord") % 2 == 0, F.to_json(F.struct(one.alias("result")))).otherwise(F.to_json(one)).alias("value"))
+    return ce.parse_lines(lines, keep_raw=True).select("ord", F.explode("raw"))
+
+
+def _single_line(e, size, opening, closing):
+    """Documents of ``size`` events on one line: doc and the pieces to be written one after another."""
+    one = F.to_json(F.struct(*[c.alias(n) for n, c in _raw_columns(e).items()]))
+    rows = e.select(F.floor(F.col("ord") / size).alias("doc"), "ord", one.alias("j"))
+    ends = rows.groupBy("doc").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    head, tail = F.when(F.col("ord") == F.col("first"), opening).otherwise(""), F.when(F.col("ord") == F.col("last"), closing).otherwise(",")
+    return rows.join(ends, "doc").select("doc", "ord", F.concat(head, "j", tail).alias("value"))
+
+
+def _write(rows, folder, kind, separator):
+    near = rows.repartition("doc").sortWithinPartitions("doc", "ord").select(F.lit(kind).alias("kind"), "doc", "value")
+    near.write.mode("append").option("lineSep", separator).partitionBy("kind", "doc").text(folder)
+
+
+@check("export_split_documents", EXPORT_SQL)
+def export_split_documents(spark, sf):
+    """Files of one line each that hold up to 5,000 events, as arrays and as wrappers, read as records."""
+    e, staging = exported(spark, sf), Staging(spark, "export-documents")
+    folder = f"{staging.root}/documents"
+    _write(_single_line(e.where("ord % 2 = 0"), 10_000, "[", "]"), folder, "array", " ")
+    _write(_single_line(e.where("ord % 2 = 1"), 10_000, '{"preview": false, "results": [', "]}"), folder, "wrapper", " ")
+    return _export(ce.read_documents(spark, folder))
+
+
+@check("export_files", EXPORT_SQL)
+def export_files(spark, sf):
+    """A folder of event lines, arrays of one line and key-value blocks: every file is read in the shape that it has."""
+    e, staging = exported(spark, sf), Staging(spark, "export-files")
+    folder = f"{staging.root}/files"
+    block = F.col("ord") % 500 == 7
+    _write(e.where(block).select(F.col("ord").alias("doc"), "ord", _kv(e).alias("value")), folder, "block", "\n")
+    _write(_single_line(e.where(~block & (F.col("ord") % 2 == 0)), 10_000, "[", "]"), folder, "array", " ")
+    one = F.to_json(F.struct(*[c.alias(n) for n, c in _raw_columns(e).items()]))
+    _write(e.where(~block & (F.col("ord") % 2 == 1)).select((F.col("ord") % 3).alias("doc"), "ord", one.alias("value")), folder, "line", "\n")
+    return _export(ce.read_export(spark, folder))
+
+
 WINDOW = ("2024-01-10T00:00:00Z", "2024-01-12T12:00:00Z")
 IN_WINDOW = "time_start >= TIMESTAMP '2024-01-10 00:00:00' AND time_start < TIMESTAMP '2024-01-12 12:00:00'"
 

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from stallscope.functions import fixed
 from stallscope.functions.convert import to_bool, to_number, to_time
 from stallscope.functions.text import strip
-from stallscope.session import stage
+from stallscope.session import Staging
+from stallscope.sources.raw_record import with_raw
+from stallscope.sources.split_json import read_records
 
 FIELDS = [*fixed.CDN_FIELDS, "request_via"]
 _text = lambda names: [T.StructField(n, T.StringType()) for n in names]
@@ -22,6 +24,7 @@ WRAPPER = T.StructType([T.StructField("results", T.ArrayType(LINE)), T.StructFie
 RAW_EVENT = T.StructType([*_text(FIELDS), T.StructField("xdata", T.StructType(_text(["request_via"])))])
 RAW_EVENT_OR_NOT = T.StructType([*RAW_EVENT.fields, *_text(["_corrupt_record"])])
 WHOLE_FILES = 1 << 60  # where the numbers of events from whole files start
+BLOCK_BYTES = 64 << 20  # a key-value block is one event; a larger file is none
 JSON_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -105,12 +108,16 @@ def typed_events(records: DataFrame) -> DataFrame:
     )
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Typed events of one-event-per-line text; blank, bracket, broken and marker lines are dropped."""
-    cleaned = lines.withColumn("_t", F.regexp_replace(strip(F.col("value")), r",\s*$", "")).where(
+def parse_lines(lines: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """Typed events of one-event-per-line text; blank, bracket, broken and marker lines are dropped.
+
+    With ``keep_raw``, ``raw`` holds the whole untyped record (see ``with_raw``).
+    """
+    # one-row explodes: filters on the text or the record would otherwise be pushed below what makes them, and repeat it
+    cleaned = lines.withColumn("_t", F.explode(F.array(F.regexp_replace(strip(F.col("value")), r",\s*$", "")))).where(
         F.col("_t").startswith("{") & ~F.col("_t").rlike(r"^\{\s*\}$")
     )
-    # one-row explode: filters on the record would otherwise be pushed below the parse and repeat it
+    cleaned = with_raw(cleaned, "_t") if keep_raw else cleaned
     parsed = cleaned.withColumn("_r", F.explode(F.array(F.from_json("_t", LINE, JSON_OPTIONS)))).where(
         F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull()
     )
@@ -122,14 +129,17 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return typed_events(events.drop("value"))
 
 
-def parse_documents(docs: DataFrame) -> DataFrame:
-    """Typed events of whole texts: JSON array, wrapper object, single object, event lines, key-value block."""
+def parse_documents(docs: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """Typed events of whole texts: JSON array, wrapper object, single object, event lines, key-value block.
+
+    With ``keep_raw``, ``raw`` holds the whole untyped record (see ``with_raw``).
+    """
     text = strip(F.col("value"))
     pieces = F.filter(F.transform(F.split("_t", "\n", -1), strip), lambda l: l != "")
     line_like = lambda l: l.startswith("{") & l.endswith("}")
     by_line = (F.size("_l") > 1) & F.forall("_l", line_like)
     cut = (
-        docs.withColumn("_t", text)
+        docs.withColumn("_t", F.explode(F.array(text)))
         .where(F.col("_t") != "")
         .withColumn("_l", pieces)
         .withColumn("_p", F.explode(F.when(by_line, F.col("_l")).otherwise(F.array("_t"))))
@@ -150,26 +160,67 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     has_pairs = has_kv_lines(p)
     rows = F.coalesce(F.col("_a"), F.col("_w.results"), F.col("_w.result"), single, F.when(has_pairs, F.array(block)))
     keep = [c for c in docs.columns if c != "value"]
-    events = parsed.select(*keep, F.posexplode(rows).alias("pos", "_r")).where(F.col("_r").isNotNull())
-    return typed_events(_records(events, F.col("_r")))
-
-
-def read_export(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Events of export files of any shape.
-
-    Files are read line by line, split over many tasks, and parsed once. Only files that gave no event that way
-    are read again whole: a listing without contents is compared with the files of the events, and the driver
-    passes on the addresses of the rest. Events of whole files come after the others in ``ord``.
+    if not keep_raw:
+        events = parsed.select(*keep, F.posexplode(rows).alias("pos", "_r")).where(F.col("_r").isNotNull())
+        return typed_events(_records(events, F.col("_r")))
+    # The texts of the same rows (a list of texts keeps its elements as they are written), then their records, then the parse.
+    listed = F.from_json(F.when(p.startswith("{"), p), "struct<results array<string>, result array<string>>")
+    texts = F.coalesce(F.from_json(F.when(p.startswith("["), p), "array<string>"), listed["results"], listed["result"])
+    found = cut.withColumn("_x", texts).select(*keep, "_p", F.col("_x").isNull().alias("_own"), F.posexplode(F.coalesce("_x", F.array("_p"))).alias("pos", "_x"))
+    found = with_raw(found.where(F.col("_x").isNotNull()), "_x").withColumn("_o", F.explode(F.array(F.when(F.col("_x").startswith("{"), F.from_json("_x", LINE, JSON_OPTIONS)))))
+    one = F.when(F.col("_o").isNotNull() & F.col("_o._corrupt_record").isNull(), F.col("_o")).when(F.col("_own") & has_pairs, block)
+    found = found.withColumn("_r", F.explode(F.array(one))).where(F.col("_r").isNotNull())
+    return typed_events(_records(found, F.col("_r")))
+
+
+def _file(path: Column) -> Column:
+    """An address in the one form of its spellings."""
+    return F.regexp_replace(path, r"^(\w+):/+", "$1:/")
+
+
+def read_export(spark: SparkSession, paths: str | list[str], keep_raw: bool = False) -> DataFrame:
+    """Events of export files of any shape and size.
+
+    Files are read line by line, split over many tasks, and parsed once. Only files that gave no event that way are
+    read again: as records of a document that may lie on one line (``read_records``, split over many tasks too), and what is
+    left of at most ``BLOCK_BYTES`` as key-value blocks. The files are found by joins of a listing without contents with the
+    files of the events; the driver sees the first and last address of a rest, to skip files, and no listing. Events of later
+    readings come after the others in ``ord``.
     """
-    events = stage(parse_lines(read_lines(spark, paths)), "export")
-    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
-    listed = spark.read.format("binaryFile").load(paths).select("path", plain(F.col("path")).alias("file"))
-    rest = listed.join(events.select(plain(F.col("source_file")).alias("file")).distinct(), "file", "left_anti").select("path")
-    paths_left = [r.path for r in rest.toLocalIterator()]
-    if not paths_left:
+    staging = Staging(spark, "export")
+    events = staging.write("lines", parse_lines(read_lines(spark, paths), keep_raw))
+    listing = staging.write("listing", spark.read.format("binaryFile").load(paths).select(_file(F.col("_metadata.file_path")).alias("file")))
+
+    def rest(name: str, *known: DataFrame) -> DataFrame | None:
+        """Files without an event so far, staged; None if there are none."""
+        left = listing
+        for k in known:
+            left = left.join(k.select(_file(F.col("source_file")).alias("file")).distinct(), "file", "left_anti")
+        left = staging.write(name, left)
+        return None if left.isEmpty() else left
+
+    def only(rows: DataFrame, files: DataFrame) -> DataFrame:
+        return rows.withColumn("file", _file(F.col("source_file"))).join(files.select("file"), "file", "left_semi").drop("file")
+
+    left = rest("no-lines", events)
+    if left is None:
         return events
-    whole = parse_documents(read_whole(spark, paths_left)).drop("pos").withColumn("ord", F.col("ord") + F.lit(WHOLE_FILES))
-    return events.unionByName(whole.select(*events.columns))
+    first, last = left.agg(F.min("file"), F.max("file")).first()
+    between = _file(F.col("_metadata.file_path")).between(first, last)
+    found = parse_lines(only(read_records(spark, paths, between), left), keep_raw)
+    found = staging.write("documents", found.withColumn("ord", F.col("ord") + F.lit(WHOLE_FILES)).select(*events.columns))
+    left = rest("no-records", events, found)
+    if left is None:
+        return events.unionByName(found)
+    small = spark.read.text(paths, wholetext=True).where(between & (F.col("_metadata.file_size") <= BLOCK_BYTES))
+    small = small.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("ord"), "value")
+    blocks = parse_documents(only(small, left), keep_raw).drop("pos").withColumn("ord", F.col("ord") + F.lit(2 * WHOLE_FILES))
+    return events.unionByName(found).unionByName(blocks.select(*events.columns))
+
+
+def read_documents(spark: SparkSession, paths: str | list[str], keep_raw: bool = False) -> DataFrame:
+    """Events of files known to hold JSON documents, also of one line beyond what a row can hold."""
+    return parse_lines(read_records(spark, paths), keep_raw)
 
 
 def save_raw(lines: DataFrame, path: str) -> None:

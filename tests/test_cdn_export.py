@@ -170,3 +170,39 @@ def test_cap(spark):
     assert scan.cap_events(df, 0).count() == 115
     flags = {r.aem_service: r.truncated for r in scan.truncation(df, 10).collect()}
     assert flags == {"a": True, "b": True}
+
+
+def test_raw_record_of_any_shape(spark):
+    from stallscope.sources.raw_record import with_raw
+
+    inner = {"a": {"b": {"c": 1.5, "d": [1, None, "x"]}}, "e": "{no", "f": None, "g": True, "h": {}, "url": "/shadow", "x y": {"z.w": {"q": {"r": {"s": "deep"}}}}}
+    cases = {
+        json.dumps({"url": "/u", "n": 5, "_raw": json.dumps(inner)}): {"a.b.c": "1.5", "a.b.d": "1,,x", "e": "{no", "g": "true", "x y.z.w.q.r.s": "deep", "n": "5", "url": "/u"},
+        '{"a":1,"a":2,"o":{"p":1}}': {"a": "2", "o": '{"p":1}'},
+        "nope: 1\n k2:  v2 \n{ [-]\n col: { [+]\n}\nk2: last": {"nope": "1", "k2": "last", "col": ""},
+        json.dumps({"preview": False, "result": {"k": "v", "_raw": "{ [-]\n q: 1\n}"}}): {"k": "v", "q": "1"},
+        '{"_raw":5,"l":[1,[2,3],{"z":1}],"o":{"p":null}}': {"l": '1,[2,3],{"z":1}', "o": '{"p":null}'},
+        None: {}, "": {}, "{}": {}, '{"broken': {}, "[1]": {},
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, value string")
+    assert [r.raw for r in with_raw(df).orderBy("i").collect()] == list(cases.values())
+    kept = ce.parse_documents(spark.createDataFrame([('[{"url":"/a","n":1},7,{"url":"/b","o":{"p":2}}]',), ('{"result":[{"url":"/c"}]}',), (KV,)], "value string"), keep_raw=True)
+    got = {r.url: r.raw for r in kept.collect()}
+    assert got["/a"] == {"url": "/a", "n": "1"} and got["/b"] == {"url": "/b", "o": '{"p":2}'} and got["/c"] == {"url": "/c"} and got["/kv/last"]["url"] == "/kv/last"
+
+
+def test_files_are_found_without_their_addresses_on_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    (tmp_path / "lines.json").write_text(json.dumps({**ONE, "url": "/l"}))
+    for i in range(3):
+        (tmp_path / f"one line {i}.json").write_text(json.dumps([{**ONE, "url": f"/x{i}{k}"} for k in "ab"]))
+        (tmp_path / f"block{i}.txt").write_text(KV)
+    whole, most = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (most.append(len(rows := whole(df))), rows)[1])
+    for name in ("toLocalIterator", "toArrow", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: 1 / 0)
+    df = ce.read_export(spark, str(tmp_path), keep_raw=True)
+    assert max(most) <= 1
+    rows = df.collect()
+    assert sorted(r.url for r in rows) == ["/kv/last"] * 3 + ["/l"] + [f"/x{i}{k}" for i in range(3) for k in "ab"] and all(r.raw["url"] == r.url for r in rows)
