@@ -10,8 +10,9 @@ from stallscope.functions.text import number_text
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import thread_query as q
-from stallscope.session import stage_all
+from stallscope.session import Staging, remove_path, stage_all
 from stallscope.sources.dumps import file_counts, parse_threads
+from stallscope.streaming import dump_watch as dw
 
 CHECKS: dict[str, tuple] = {}
 T = v.WITH_THREADS
@@ -414,3 +415,31 @@ def case_signals(spark, sf):
     return signals(spark, sf).select(
         "case_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in cs.NUMBER_SIGNALS], *cs.TEXT_SIGNALS
     )
+
+
+@check(
+    "dump_watch",
+    f"""{T}, days AS (SELECT *, CAST(substr(dump_id, 9, 2) AS INT) AS d FROM t)
+SELECT dump_id AS dump, state, count(*) AS n, sum(CAST(substr(nid, 3) AS BIGINT)) AS nids FROM days
+WHERE d % 5 <> 0 AND (d % 2 = 1 OR ord % 2 = 0) GROUP BY 1, 2""",
+)
+def dump_watch(spark, sf):
+    """Dump files with half of the threads, then rewritten whole on odd days and deleted on every fifth: the folder as it is."""
+    staging = Staging(spark, "watched")
+    folder, table = f"{staging.root}/dumps", f"{staging.root}/parsed"
+    days = v.thread_rows(spark, sf).select("dump_id").distinct()
+
+    def write(pieces, mode):
+        rows = pieces.select("dump_id", "piece", "content").repartition("dump_id").sortWithinPartitions("dump_id", "piece")
+        rows = rows.select(F.col("dump_id").alias("dump"), "content")
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("lineSep", "\n\n").partitionBy("dump").text(folder)
+
+    write(v.jstack_text(spark, sf, F.col("ord") % 2 == 0), "append")
+    dw.refresh(spark, folder, table, 0)
+    write(v.jstack_text(spark, sf).where("dump_ord % 2 = 1"), "overwrite")
+    dw.refresh(spark, folder, table, 1)
+    for (day,) in days.where("CAST(substr(dump_id, 9, 2) AS INT) % 5 = 0").collect():  # days of a month
+        remove_path(spark, f"{folder}/dump={day}")
+    threads = dw.refresh(spark, folder, table, 2)
+    dump = F.regexp_extract("source_file", "dump=([0-9-]+)", 1).alias("dump")
+    return threads.groupBy(dump, "state").agg(F.count("*").alias("n"), F.sum(F.substring("nid", 3, 20).cast("bigint")).alias("nids"))

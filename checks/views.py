@@ -119,8 +119,8 @@ def _pieces(rows: DataFrame, block: Column) -> DataFrame:
     )
 
 
-def jstack_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = thread_rows(spark, sf)
+def jstack_text(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+    rows = thread_rows(spark, sf) if keep is None else thread_rows(spark, sf).where(keep)
     wait = F.when(F.col("state") == "BLOCKED", "\t- waiting to lock <").otherwise("\t- parking to wait for  <")
     monitor = F.concat(wait, "waiting_on", F.lit("> (a "), "waiting_class", F.lit(")"))
     head = F.concat(

@@ -75,6 +75,28 @@ def test_watched_dumps(spark, tmp_path):
     assert counts() == {} and counts() == {}
 
 
+def test_a_refresh_passes_no_addresses_through_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    folder, table = tmp_path / "dumps", str(tmp_path / "t")
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i} a.tdump").write_text(BLOCK.format("é", "BLOCKED"))
+        os.utime(folder / f"{i} a.tdump", (1_000_000_000 + i, 1_000_000_000 + i))
+    whole, most = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (most.append(len(rows := whole(df))), rows)[1])
+    for name in ("toLocalIterator", "toArrow", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: 1 / 0)
+    first = dw.refresh(spark, str(folder), table, 0)
+    (folder / "3 a.tdump").write_text(BLOCK.format("x", "RUNNABLE"))
+    os.utime(folder / "3 a.tdump", (1_500_000_000, 1_500_000_000))
+    again = dw.refresh(spark, str(folder), table, 1)
+    assert max(most) <= 1
+    plan = dw.read_versions(spark, str(folder), dw.listing(spark, str(folder)))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(modificationTime" in plan
+    assert sorted((r.name, r.state) for r in again.collect()) == [("x", "RUNNABLE")] + [("é", "BLOCKED")] * 5 and len(first.columns) > 5
+
+
 def test_a_watch_delivers_at_its_triggers(spark, tmp_path):
     folder = tmp_path / "dumps"
     folder.mkdir()
