@@ -641,6 +641,21 @@ def cdn_stream_metrics(spark, sf):
     return _gap_digits(st.stream_metrics(spark, f"{folder}/parts", baseline(spark, sf)).select("aem_service", "aem_tier", *cm.SCALARS))
 
 
+@check("cdn_stream_compacted", f"{ALL_SQL} SELECT {K}, {', '.join(chr(34) + c + chr(34) for c in cm.SCALARS)} FROM mm")
+def cdn_stream_compacted(spark, sf):
+    """The same from a stream of five batches on three days, of which two are compacted, one after the other."""
+    e = events(spark, sf)
+    folder = Staging(spark, "stream-compacted").root
+    e.withColumn("time_start", F.col("time_start").cast("timestamp")).repartitionByRange(5, "ord").sortWithinPartitions("ord").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    days = ("2024-01-01", "2024-01-01", "2024-01-02", "2024-01-02", "2024-01-03")
+    day = lambda batch: days[min(batch, 4)]
+    st.write_partials(stream, f"{folder}/parts", f"{folder}/cp", day=day).trigger(availableNow=True).start().awaitTermination()
+    st.compact(spark, f"{folder}/parts", "2024-01-02")
+    st.compact(spark, f"{folder}/parts", "2024-01-03")
+    return _gap_digits(st.stream_metrics(spark, f"{folder}/parts", baseline(spark, sf)).select("aem_service", "aem_tier", *cm.SCALARS))
+
+
 # Findings and reports ---------------------------------------------------------------------------------
 
 

@@ -688,14 +688,16 @@ MINIMA = {"first_miss_us", "_minCacheable", "_minAll"}
 MAXIMA = {"_maxCacheable", "_maxAll", "cloud"}
 
 
-def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS, batch: str | None = None) -> DataFrame:
+def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS, batch: str | None = None, keep_batch: bool = False) -> DataFrame:
     """One part from the same part of several sets of events.
 
     Events arrive in the order of the column ``batch``, then of ``ord``; without ``batch``, ``ord`` orders the sets too.
+    With ``keep_batch`` the column stays, so that the result can be merged again with parts of other batches.
     """
     by, arrival = [*keys, *PART_GROUPS[name]], [batch] if batch else []
+    kept = arrival if keep_batch else []
     if name == "firsts":
-        first = F.min_by(F.struct("us", "ord", "a", "b"), F.struct("us", *arrival, "ord", "a", "b"))
+        first = F.min_by(F.struct("us", *kept, "ord", "a", "b"), F.struct("us", *arrival, "ord", "a", "b"))
         return rows.groupBy(*by).agg(first.alias("f")).select(*by, "f.*")
     folds = []
     for c in rows.columns:
@@ -705,7 +707,10 @@ def merge_part(name: str, rows: DataFrame, keys: list[str] = KEYS, batch: str |
         folds.append(fold(c).alias(c))
     if name == "times":
         last = F.when(F.col("ttl_ord").isNotNull(), F.struct(*arrival, "ttl_ord"))
-        folds += [F.max_by("ttl", last).alias("ttl"), F.max("ttl_ord").alias("ttl_ord")]
+        # Of the batch that gave the lifetime; without one, any batch will do.
+        folds += [F.max_by(c, last).alias(c) for c in ("ttl", "ttl_ord")] + [F.coalesce(F.max_by(c, last), F.max(c)).alias(c) for c in kept]
+    else:
+        folds += [F.max(c).alias(c) for c in kept]
     return rows.groupBy(*by).agg(*folds)
 
 

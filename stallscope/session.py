@@ -53,6 +53,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables in a folder whose write was committed; none if there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    under = [f.getPath() for f in store.listStatus(where) if f.isDirectory()]
+    return sorted(p.getName() for p in under if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 class Staging:
     """Tables of one job in the shared folder: written once, read by several branches, removed after use.
 

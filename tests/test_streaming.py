@@ -37,6 +37,39 @@ def test_metrics_of_a_stream_equal_the_batch(spark, tmp_path):
     assert streamed == batch and streamed["two"].baselineUsed == 1
 
 
+def test_compacted_days_give_the_same_metrics(spark, tmp_path):
+    """One part a day is read after compaction; a batch that runs again, and a compaction that broke off, change nothing."""
+    rows = b.service(b.across_pops(20), "one") + b.service(b.bots_on_cold_pop(15) + b.ttl_pairs(fetch_cache_control="max-age=60"), "two")
+    source, table = tmp_path / "in", str(tmp_path / "parts")
+    source.mkdir()
+    for i in range(6):
+        part = rows[i * len(rows) // 6 : (i + 1) * len(rows) // 6]
+        (source / f"part-{i}.json").write_text("\n".join(json.dumps({"result": raw(r)}) for r in part))
+        os.utime(source / f"part-{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    day = lambda batch: f"2026-07-0{1 + batch // 2}"
+    stream = lambda: st.write_partials(st.export_stream(spark, str(source), 1), table, str(tmp_path / "check"), day=day)
+    stream().trigger(availableNow=True).start().awaitTermination()
+    base = b.cold_pop_baseline(spark, service="two")
+    want = {r.aem_service: r for r in cm.cdn_metrics(ce.read_export(spark, str(source)), base).collect()}
+    got = lambda: {r.aem_service: r for r in st.stream_metrics(spark, table, base).collect()}
+    assert got() == want and st.compact(spark, table, "2026-07-01") == 0
+    assert st.compact(spark, table, "2026-07-03") == 2 and [(r.day, r.first, r.last) for r in st.runs(spark, table)] == [("2026-07-01", 0, 1), ("2026-07-02", 2, 3)]
+    assert got() == want
+    files = {f.split("/parts/")[1].rsplit("/", 1)[0] for f in st.arrived_parts(spark, table)["volume"].inputFiles()}
+    assert len(files) == 4 and sum(f.startswith("runs/") for f in files) == 2
+    for name in cm.PART_GROUPS:  # batch 1 runs again, and its parts are written anew
+        again = spark.read.parquet(f"{table}/{name}/batch_id=1").collect()
+        if again:
+            spark.createDataFrame(again * 2, spark.read.parquet(f"{table}/{name}/batch_id=1").schema).write.mode("overwrite").parquet(f"{table}/{name}/batch_id=1")
+    broken = tmp_path / "parts" / "manifest" / "v=2"  # a compaction that didn't come to its end
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("")
+    assert got() == want
+    assert st.compact(spark, table, "2026-07-04") == 1 and len(st.runs(spark, table)) == 3 and got() == want
+    assert not list((tmp_path / "parts" / "volume").glob("batch_id=[0-3]")) and len(list((tmp_path / "parts" / "volume").glob("batch_id=*"))) == 2
+    assert st.compact(spark, table, "2026-07-05") == 0 and got() == want
+
+
 def test_minute_counts(spark, tmp_path):
     path = str(tmp_path / "events")
     b.events(spark, b.cloud_burst()).write.parquet(path)
