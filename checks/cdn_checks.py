@@ -519,19 +519,28 @@ def times(spark, sf, slice_seconds=600):
     return stage(cm.request_times(tagged(spark, sf), slice_seconds=slice_seconds), "times")
 
 
-@check(
-    "metrics_gaps",
-    f"""{GAP_SQL} SELECT gm.aem_service, gm.aem_tier, round(p50, 4) AS p50, round(p90, 4) AS p90, round(pp90, 4) AS pp90, gaps, refetch FROM gm
-  JOIN rf ON rf.aem_service = gm.aem_service AND rf.aem_tier = gm.aem_tier""",
-)
-def metrics_gaps(spark, sf):
-    m = cm.gap_metrics(times(spark, sf, 86400))
+GAPS = f"""{GAP_SQL} SELECT gm.aem_service, gm.aem_tier, round(p50, 4) AS p50, round(p90, 4) AS p90, round(pp90, 4) AS pp90, gaps, refetch FROM gm
+  JOIN rf ON rf.aem_service = gm.aem_service AND rf.aem_tier = gm.aem_tier"""
+
+
+def _gaps(m):
     return m.select(
         "aem_service", "aem_tier", F.round("p50AggGapSeconds", 4).alias("p50"), F.round("p90AggGapSeconds", 4).alias("p90"),
         F.round("p90PerPopGapSeconds", 4).alias("pp90"), F.col("_gaps").alias("gaps"), F.col("refetchWithinTtlCount").alias("refetch"),
     )
 
 
+@check("metrics_gaps", GAPS)
+def metrics_gaps(spark, sf):
+    return _gaps(cm.gap_metrics(times(spark, sf, 86400)))
+
+
+@check("metrics_gaps_cut", GAPS)
+def metrics_gaps_cut(spark, sf):
+    """The same with every slice of more than 50 rows of a URL cut at its quantiles."""
+    return _gaps(cm.gap_metrics(times(spark, sf, 86400), most=50))
+
+
 @check(
     "exact_quantiles",
     "SELECT event_type, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.9), 4) AS p90, round(quantile_cont(x, 0.99), 4) AS p99, count(*) AS n FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS x FROM events) GROUP BY 1",

@@ -10,7 +10,7 @@ The events are reduced along a few groupings, each pre-aggregated before its shu
 * distinct request times per URL and POP           ``request_times`` -> ``gap_metrics``
 
 No grouping gathers the rows of one service or one URL in a task: windows run over counts, or over
-one time slice of one URL.
+one part of a time slice of one URL, cut so that no part holds more than a given number of rows.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ class MetricParams:
     cloud_words: list[str] = field(default_factory=lambda: list(fixed.CLOUD_WORDS))
     top_k: int = fixed.TOP_K
     time_slice_seconds: int = 600
+    slice_rows: int = 1_000_000  # of one URL in one slice; a slice with more is cut into parts of equal depth
 
 
 def disposition(cache_status: Column, state: Column, x_cache: Column) -> Column:
@@ -480,22 +481,40 @@ def request_times(tagged: DataFrame, keys: list[str] = KEYS, slice_seconds: int
     )
 
 
-def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def sliced_times(times: DataFrame, keys: list[str] = KEYS, most: int = MetricParams.slice_rows) -> DataFrame:
+    """``times`` with ``part``: where a URL has more than ``most`` rows in a time slice, the slice is cut at quantiles.
+
+    Rows are counted per millisecond, and a part begins whenever another ``most`` rows have gone by; so a part holds
+    at most ``most`` rows and those of one millisecond. A slice has a bounded number of milliseconds, whatever the traffic,
+    and rows find their part by their millisecond, which is no hot key.
+    """
+    by_slice = [*keys, "url", "slice"]
+    hot = times.groupBy(*by_slice).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most).select(*by_slice)
+    fine = times.withColumn("ms", F.floor(F.col("us") / 1000))
+    bins = fine.join(hot, by_slice, "left_semi").groupBy(*by_slice, "ms").agg(F.count(F.lit(1)).alias("rows"))
+    gone = F.sum("rows").over(Window.partitionBy(*by_slice).orderBy("ms")) - F.col("rows")
+    parts = bins.select(*by_slice, "ms", F.floor(gone / most).alias("part"))
+    return fine.join(parts, [*by_slice, "ms"], "left").drop("ms").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+
+
+def request_gaps(times: DataFrame, keys: list[str] = KEYS, most: int = MetricParams.slice_rows) -> DataFrame:
     """Gaps between consecutive requests of a URL (kind ``agg``) and of a URL at one POP (``pop``), counted.
 
     Kind ``refetch`` counts MISSes within the TTL of the previous MISS of the same URL and POP.
 
-    Gaps inside a time slice come from windows over that slice; gaps across slices from the edges of
-    each slice, of which there is one row per URL (and POP) and slice.
+    Gaps inside a part of a time slice come from windows over that part; gaps across parts from the edges of
+    each, of which there is one row per URL (and POP) and part.
     """
-    rows = times.repartition(*[F.col(c) for c in (*keys, "url", "slice")])
+    cut = ["slice", "part"]
+    times = sliced_times(times, keys, most)
+    rows = times.repartition(*[F.col(c) for c in (*keys, "url", *cut)])
     by_url, by_pop = [*keys, "url"], [*keys, "url", "pop"]
-    in_url = Window.partitionBy(*by_url, "slice").orderBy("us", "pop")
-    in_pop = Window.partitionBy(*by_pop, "slice").orderBy("us")
+    in_url = Window.partitionBy(*by_url, *cut).orderBy("us", "pop")
+    in_pop = Window.partitionBy(*by_pop, *cut).orderBy("us")
     before = in_pop.rowsBetween(Window.unboundedPreceding, -1)
     miss_us, miss_ttl = F.when(F.col("n_miss") > 0, F.col("us")), F.when(F.col("n_miss") > 0, F.col("ttl"))
     inside = rows.select(
-        *by_pop, "slice", "us", "n", "n_miss", "n_ttl", "ttl",
+        *by_pop, *cut, "us", "n", "n_miss", "n_ttl", "ttl",
         (F.col("us") - F.lag("us").over(in_url)).alias("gap_agg"),
         (F.col("us") - F.lag("us").over(in_pop)).alias("gap_pop"),
         F.last(miss_us, ignorenulls=True).over(before).alias("prev_miss"),
@@ -521,7 +540,7 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     ]
     inner.append(F.when(refetch > 0, gap("refetch", zero, refetch)))
 
-    pop_edges = times.groupBy(*by_pop, "slice").agg(
+    pop_edges = times.groupBy(*by_pop, *cut).agg(
         F.min("us").alias("lo"),
         F.max("us").alias("hi"),
         F.min(miss_us).alias("miss_lo"),
@@ -529,7 +548,7 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.max_by(miss_ttl, miss_us).alias("miss_ttl"),
     )
     pop_edges = stage(pop_edges, "edges")
-    over_pop = Window.partitionBy(*by_pop).orderBy("slice")
+    over_pop = Window.partitionBy(*by_pop).orderBy(*cut)
     earlier = over_pop.rowsBetween(Window.unboundedPreceding, -1)
     pop_steps = pop_edges.select(
         *keys,
@@ -538,9 +557,9 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.last("miss_hi", ignorenulls=True).over(earlier).alias("prev_miss"),
         F.last(F.when(F.col("miss_hi").isNotNull(), F.col("miss_ttl")), ignorenulls=True).over(earlier).alias("prev_ttl"),
     )
-    url_edges = pop_edges.groupBy(*by_url, "slice").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    url_edges = pop_edges.groupBy(*by_url, *cut).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     url_steps = url_edges.select(
-        *keys, (F.col("lo") - F.lag("hi").over(Window.partitionBy(*by_url).orderBy("slice"))).alias("gap_us")
+        *keys, (F.col("lo") - F.lag("hi").over(Window.partitionBy(*by_url).orderBy(*cut))).alias("gap_us")
     )
 
     steps = lambda rows, kind: rows.where(F.col("gap_us").isNotNull()).select(
@@ -556,9 +575,9 @@ def request_gaps(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return rows.groupBy(*keys, "kind", "gap_us").agg(F.sum("n").alias("n"))
 
 
-def gap_metrics(times: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def gap_metrics(times: DataFrame, keys: list[str] = KEYS, most: int = MetricParams.slice_rows) -> DataFrame:
     """Median and P90 gaps per URL, P90 per URL and POP, their number, and re-fetches within the TTL."""
-    counted = stage(request_gaps(times, keys), "gaps")
+    counted = stage(request_gaps(times, keys, most), "gaps")
     refetches = counted.where("kind = 'refetch'").groupBy(*keys).agg(F.sum("n").alias("refetchWithinTtlCount"))
     gaps = counted.where("kind <> 'refetch'")
     q = exact_quantiles(gaps, [*keys, "kind"], "gap_us", "n", {"p50": 0.5, "p90": 0.9}, counted=True)
@@ -773,7 +792,7 @@ def metrics_from_parts(
         value_metrics(values, keys),
         _listed_values(top_values(values, keys, params.top_k), keys),
         *_network_frames(nets, keys, params.top_k),
-        gap_metrics(parts["times"], keys),
+        gap_metrics(parts["times"], keys, params.slice_rows),
         top_urls.groupBy(*keys).agg(_listed(top_urls, keys, "topMissUrls", F.struct("url", "count", "pops"))),
         top_pass.groupBy(*keys).agg(_listed(top_pass, keys, "topPass200Urls", F.struct("url", "count"))),
         top_pops.groupBy(*keys).agg(_listed(top_pops, keys, "_popList", F.struct("pop", "count", "rare"))),

@@ -172,8 +172,9 @@ def test_shield_and_content(m):
     assert (x.dominantMissContentType, x.dominantMissContentTypeShare) == ("text/html", pytest.approx(2 / 3))
 
 
-def test_gaps_of_a_hot_url_against_numpy(spark):
-    """A third of the requests hit one URL; slices cut its history in many places."""
+@pytest.mark.parametrize("most", [cm.MetricParams.slice_rows, 7, 1])
+def test_gaps_of_a_hot_url_against_numpy(spark, most):
+    """A third of the requests hit one URL; slices, and parts of them, cut its history in many places."""
     rnd = random.Random(3)
     rows = []
     for _ in range(1500):
@@ -185,7 +186,13 @@ def test_gaps_of_a_hot_url_against_numpy(spark):
             )
         )
     df = cm.tag_events(events(spark, rows))
-    got = cm.gap_metrics(cm.request_times(df, slice_seconds=60)).collect()[0]
+    times = cm.request_times(df, slice_seconds=60 if most > 7 else 600)
+    got = cm.gap_metrics(times, most=most).collect()[0]
+    parts = cm.sliced_times(times, most=most).groupBy("url", "slice", "part").agg(F.count("*").alias("rows"), F.min("us").alias("lo"), F.max("us").alias("hi")).collect()
+    assert sum(p.rows for p in parts) == times.count()
+    assert all(p.rows <= most + 2 or p.lo // 1000 == p.hi // 1000 for p in parts)  # two POPs share a millisecond at most
+    if most == 7:
+        assert sum(p.url == "/hot" for p in parts) > 40 and max(p.part for p in parts) >= 5
     agg, pop, refetch, last, last_pop, last_miss = [], [], 0, {}, {}, {}
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["time_start"], i))
     for i in order:
