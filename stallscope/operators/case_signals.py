@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
+from stallscope.functions.firsts import first_rows, packed, unpacked
 from stallscope.functions.text import contains_any, starts_with_any
 from stallscope.operators.dump_signals import KEYS, first_names
 
@@ -47,18 +48,18 @@ def count_signals(dump_signals: DataFrame) -> DataFrame:
 
 def largest_fingerprints(fps: DataFrame) -> DataFrame:
     """Every stack of a case once: its largest instance (later dump on a tie) and in how many dumps it is."""
-    return (
-        fps.groupBy("case_id", "signature")
-        .agg(
-            F.count("*").alias("dumps"),
-            F.max_by(
-                F.struct("dump_id", "dump_ord", "count", "state", "top_frame", "key_frame", "frames", "first_ord"),
-                F.struct("count", "dump_ord"),
-            ).alias("f"),
-            F.min(seen_first()).alias("seen_first"),
-        )
-        .select("case_id", "signature", "dumps", "seen_first", "f.*")
-    )
+    by = ["case_id", "signature"]
+    slim = fps.select(*by, "dump_id", "dump_ord", "count", "state", "top_frame", "key_frame", "frames", "first_ord")
+    largest = first_rows(slim, by, packed(-F.col("count"), -F.col("dump_ord")), F.count("*").alias("dumps"), tie="dump_id").alias("l")
+    seen = first_rows(fps.select(*by, "dump_ord", "count", "first_ord"), by, packed(F.col("dump_ord"), -F.col("count")), tie="first_ord")
+    seen = seen.select(*by, seen_first().alias("seen_first")).alias("s")
+    both = largest.join(seen, [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+    return both.select(*[f"l.{c}" for c in by], "dumps", "seen_first", *slim.columns[2:])
+
+
+def _seen_first() -> Column:
+    seen = unpacked(F.col("seen"))
+    return F.struct(seen["first"].alias("dump_ord"), seen["second"].alias("first_ord")).alias("seen_first")
 
 
 def dominant_fingerprints(largest: DataFrame) -> DataFrame:
@@ -94,17 +95,11 @@ def with_thread_names(stuck: DataFrame, members: DataFrame, n: int = fixed.STUCK
 
 def case_monitors(monitors: DataFrame) -> DataFrame:
     """Every monitor address of a case once, at the first dump where it has most waiters."""
-    return (
-        monitors.groupBy("case_id", "monitor_address")
-        .agg(
-            F.count("*").alias("dumps"),
-            F.max_by(
-                F.struct("dump_id", "waiting_thread_count", "monitor_class", "lock_holder_thread", "waiting_thread_names"),
-                F.struct("waiting_thread_count", -F.col("dump_ord")),
-            ).alias("m"),
-            F.min(F.struct("dump_ord", "first_ord")).alias("seen_first"),
-        )
-        .select("case_id", "monitor_address", "dumps", "seen_first", "m.*")
+    slim = monitors.select("case_id", "monitor_address", "dump_id", "dump_ord", "waiting_thread_count", "monitor_class", "lock_holder_thread", "waiting_thread_names", "first_ord")
+    seen = [F.count("*").alias("dumps"), F.min(packed(F.col("dump_ord"), F.col("first_ord"))).alias("seen")]
+    most = first_rows(slim, ["case_id", "monitor_address"], packed(-F.col("waiting_thread_count"), F.col("dump_ord")), *seen, tie="dump_id")
+    return most.select(
+        "case_id", "monitor_address", "dumps", _seen_first(), "dump_id", "waiting_thread_count", "monitor_class", "lock_holder_thread", "waiting_thread_names"
     )
 
 

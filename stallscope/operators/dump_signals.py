@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
+from stallscope.functions.firsts import first_rows
 from stallscope.functions.frames import is_request, url_pattern
 from stallscope.functions.text import any_of, contains_any, starts_with_any, strip
 from stallscope.sources.dumps import GENERIC, J9, JSTACK, detect_format
@@ -132,21 +133,19 @@ def fingerprints(threads: DataFrame, dumps: DataFrame | None = None) -> DataFram
 
     With ``dumps`` given, the single fingerprint of each generic dump is added.
     """
-    first = F.struct(
-        "ord",
-        F.col("state").alias("state"),
+    sized = threads.where(F.size("raw_frames") > 0).withColumn("signature", signature())
+    first = first_rows(sized.select(*KEYS, "signature", "ord", "state", "raw_frames", "raw_key_frame", "format"), [*KEYS, "signature"], F.col("ord"), F.count("*").alias("count"))
+    grouped = first.select(
+        *KEYS,
+        "signature",
+        "count",
+        F.col("ord").alias("first_ord"),
+        "state",
         F.get("raw_frames", F.lit(0)).alias("top_frame"),
         F.col("raw_key_frame").alias("key_frame"),
         F.slice("raw_frames", 1, fixed.STORED_FRAMES).alias("frames"),
         F.when(F.col("format") == JSTACK, F.nullif(url_pattern(F.col("raw_frames")), F.lit(""))).alias("url_pattern"),
     )
-    grouped = (
-        threads.where(F.size("raw_frames") > 0)
-        .groupBy(*KEYS, signature().alias("signature"))
-        .agg(F.count("*").alias("count"), F.min_by(first, F.col("ord")).alias("f"))
-        .select(*KEYS, "signature", "count", F.col("f.ord").alias("first_ord"), "f.state", "f.top_frame",
-                "f.key_frame", "f.frames", "f.url_pattern")
-    )
     if dumps is None:
         return grouped
     text_only = generic_dumps(dumps).where(F.size("frames") > 0)
@@ -189,12 +188,11 @@ def monitor_waiters(threads: DataFrame) -> DataFrame:
 
 def lock_holders(threads: DataFrame) -> DataFrame:
     """First thread of a dump that holds each address."""
-    held = threads.select(
-        *KEYS, "ord", "name", "frames", F.explode(F.array_distinct("locked_monitors")).alias("monitor_address")
-    )
-    first = F.min_by(F.struct("name", "frames"), F.col("ord"))
-    return held.groupBy(*KEYS, "monitor_address").agg(first.alias("h")).select(
-        *KEYS, "monitor_address", F.col("h.name").alias("lock_holder_thread"), F.col("h.frames").alias("lock_holder_stack")
+    held = threads.select(*KEYS, "ord", F.explode(F.array_distinct("locked_monitors")).alias("monitor_address"))
+    first = held.groupBy(*KEYS, "monitor_address").agg(F.min("ord").alias("ord")).alias("h")
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*KEYS, "ord")]
+    return first.join(threads.select(*KEYS, "ord", "name", "frames").alias("t"), same).select(
+        *[f"h.{c}" for c in KEYS], "monitor_address", F.col("name").alias("lock_holder_thread"), F.col("frames").alias("lock_holder_stack")
     )
 
 
@@ -202,10 +200,7 @@ def blocked_monitors(threads: DataFrame) -> DataFrame:
     """Monitors with waiters: how many, the class the first waiter names, the holder, the first waiters."""
     by = [*KEYS, "monitor_address"]
     waiters = monitor_waiters(threads)
-    counted = waiters.groupBy(*by).agg(
-        F.count("*").alias("waiting_thread_count"),
-        F.min_by("monitor_class", "ord").alias("monitor_class"),
-        F.min("ord").alias("first_ord"),
-    )
+    counted = first_rows(waiters.drop("name"), by, F.col("ord"), F.count("*").alias("waiting_thread_count"))
+    counted = counted.select(*by, "waiting_thread_count", "monitor_class", F.col("ord").alias("first_ord"))
     names = first_names(waiters, by, fixed.STORED_WAITERS, ["ord"]).withColumnRenamed("names", "waiting_thread_names")
     return counted.join(names, by).join(lock_holders(threads), by, "left")

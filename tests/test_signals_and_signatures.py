@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallscope.operators import case_signals as cs
+from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
 from stallscope.plans.incident import analyse_dumps, match_cases, rematch, signature_frequency
 from stallscope.sources import signatures as sg
+from stallscope.sources.dumps import parse_threads
 
 
 def block(name, state, frames=(), lock=None, park=None, held=None):
@@ -194,3 +196,26 @@ def test_signature_folder(spark, tmp_path):
     assert set(back) == {"gc-pressure", "servlet-pool-saturation", "thread-lock-contention", "mine"}
     assert back["gc-pressure"].conditions[0].value.num == 15.0 and back["mine"].conditions[0].value.str == "x"
     assert sg.read_signatures(spark, folder).where(F.size("nextSteps") == 0).count() == 0
+
+
+def test_firsts_are_hash_aggregates(spark):
+    """Groups aggregate numbers only; the rows that are chosen are looked up, ties and extreme ranks included."""
+    import random
+
+    from pyspark.sql import functions as F
+    from stallscope.functions.firsts import first_rows, packed, unpacked
+
+    rnd = random.Random(2)
+    edge = [0, 1, -1, 2**62, -(2**62)]
+    rows = [(rnd.choice([None, "a", "b", "c"]), rnd.choice(edge), rnd.choice([*edge, 2**63 - 1, -(2**63)]), f"t{rnd.randrange(9)}") for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, x bigint, y bigint, t string")
+    both = df.select("x", "y", unpacked(packed(F.col("x"), F.col("y"))).alias("u")).collect()
+    assert all((r.u.first, r.u.second) == (r.x, r.y) for r in both)
+    got = first_rows(df, ["k"], packed(F.col("x"), F.col("y")), F.count("*").alias("n"), tie="t")
+    want = {k: min((r[1:] for r in rows if r[0] == k)) for k in {r[0] for r in rows}}
+    assert {r.k: (r.x, r.y, r.t) for r in got.collect()} == want and sum(r.n for r in got.collect()) == 300
+    threads = parse_threads(spark.createDataFrame([("c", "d", 1, "x")], "case_id string, dump_id string, dump_ord bigint, content string"))
+    fps, monitors = ds.fingerprints(threads), ds.blocked_monitors(threads)
+    for frame in (fps, cs.largest_fingerprints(fps), ds.lock_holders(threads), cs.case_monitors(monitors)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
