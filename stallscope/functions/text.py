@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\f\x0b\u00a0\ufeff"
@@ -65,3 +65,27 @@ def provider_in_name(name: Column, provider: Column) -> Column:
     """The provider keyword occurs in the network name as a whole word, in any case."""
     quoted = F.concat(F.lit(r"(?i)\b\Q"), provider, F.lit(r"\E\b"))
     return F.coalesce((name != "") & (provider != "") & F.regexp_like(name, quoted), F.lit(False))
+
+
+def _sums_before(numbers: Column) -> Column:
+    """Sum of the numbers before each; its cost is quadratic in their count."""
+    state = lambda out, total: F.struct(out.alias("out"), total.alias("total"))
+    none = state(F.array().cast("array<bigint>"), F.lit(0).cast("bigint"))
+    return F.aggregate(numbers, none, lambda s, n: state(F.concat(s["out"], F.array(s["total"])), s["total"] + n))["out"]
+
+
+def with_sums_before(rows: DataFrame, numbers: str, name: str, chunk: int = 256, levels: int = 2) -> DataFrame:
+    """``rows`` with an array of the sums before each element of an array column, inside the row.
+
+    The array is cut into chunks, and the sums of chunks are treated alike, ``levels`` times; so the cost is linear up to
+    ``chunk`` ^ (``levels`` + 1) elements.
+    """
+    cut, whole, start = (f"{name}__{part}{levels}" for part in ("cut", "whole", "start"))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(numbers) / chunk).cast("int") - 1), lambda i: F.slice(numbers, i * chunk + 1, F.lit(chunk)))
+    pieces = F.when(F.size(numbers) > 0, pieces).otherwise(F.array().cast("array<array<bigint>>"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    # one-row explodes, so that every step is computed once
+    df = rows.withColumn(cut, F.explode(F.array(pieces))).withColumn(whole, F.explode(F.array(F.transform(cut, add))))
+    df = with_sums_before(df, whole, start, chunk, levels - 1) if levels > 1 else df.withColumn(start, F.explode(F.array(_sums_before(F.col(whole)))))
+    sums = F.flatten(F.zip_with(cut, start, lambda c, s: F.transform(_sums_before(c), lambda x: x + s)))
+    return df.withColumn(name, F.explode(F.array(sums))).drop(cut, whole, start)

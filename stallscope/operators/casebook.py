@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallscope.functions import fixed
+from stallscope.functions.text import with_sums_before
 from stallscope.operators.evidence import discovered_type
 
 CASE_FIELDS = ["title", "status", "notes", "resolution", "resolved_by"]
@@ -117,18 +118,12 @@ def search(evidence: DataFrame, query: str, text: str = "content") -> DataFrame:
     if not q:
         raise ValueError("search needs a text")
     parts = F.split(F.lower(F.col(text)), re.escape(q), -1)
-    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    zero = F.array().cast("array<int>")
-    # offset of hit k = lengths of the parts before it + k query lengths
-    running = F.aggregate(
-        lengths,
-        F.struct(zero.alias("at"), F.lit(0).alias("pos")),
-        lambda a, n: F.struct(
-            F.concat(a["at"], F.array(a["pos"] + n)).alias("at"), (a["pos"] + n + F.lit(len(q))).alias("pos")
-        ),
-    )
-    rows = evidence.where(F.lower(F.col(text)).contains(q)).withColumn("_hit", running["at"])
-    return rows.withColumn("hits", F.size("_hit").cast("bigint")).withColumnRenamed("_hit", "offsets")
+    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: (F.length(p) + len(q)).cast("bigint"))
+    rows = evidence.where(F.lower(F.col(text)).contains(q)).withColumn("_steps", F.explode(F.array(lengths)))
+    # a hit begins where the steps before it end, and the text before it: its own step less the query
+    rows = with_sums_before(rows, "_steps", "_before")
+    offsets = F.zip_with("_before", "_steps", lambda before, step: (before + step - len(q)).cast("int"))
+    return rows.withColumn("offsets", offsets).drop("_steps", "_before").withColumn("hits", F.size("offsets").cast("bigint")).select(*evidence.columns, "hits", "offsets")
 
 
 def hit_counts(evidence: DataFrame, query: str, text: str = "content") -> DataFrame:
@@ -223,7 +218,7 @@ def case_report_lines(
         block(found, 4, F.array("_h", "_s", lit(""), lit("**Evidence:**")), rank, zero),
         lines.select(
             "case_id", lit(4).alias("section"), rank.alias("a"), lit(1).cast("bigint").alias("b"),
-            (F.col("pos.part") * 10**9 + F.col("pos.cond_ord") * 10**6).cast("int").alias("c"),
+            lit(0).alias("c"),  # these lines are in order by their pos
             F.concat(lit("- "), "line").alias("line"), "pos",
         ),
         block(found, 4, F.col("_n"), rank, lit(2).cast("bigint")),

@@ -41,6 +41,19 @@ def test_search_offsets(spark):
         cb.search(df, "")
 
 
+def test_a_million_hits(spark):
+    """Offsets cost in proportion to the hits, at and around the sizes of chunks."""
+    counts = [1, 255, 256, 257, 65_536, 65_537, 1_000_000]
+    texts = [(n, "".join("ab" + "x" * (i % 3) for i in range(n))) for n in counts]
+    df = spark.createDataFrame(texts, "n int, content string")
+    for r in cb.search(df, "AB").select("n", "hits", "offsets").collect():
+        at, want = 0, []
+        for i in range(r.n):
+            want.append(at)
+            at += 2 + i % 3
+        assert r.hits == r.n and r.offsets == want
+
+
 def day(n):
     return datetime(2024, 1, n)
 
