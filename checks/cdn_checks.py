@@ -237,6 +237,15 @@ def export_files(spark, sf):
     return _export(ce.read_export(spark, folder))
 
 
+@check("export_saved", EXPORT_SQL)
+def export_saved(spark, sf):
+    """Raw lines that were saved give the same events when they are read again."""
+    e, folder = exported(spark, sf), f"{Staging(spark, 'export-saved').root}/lines"
+    one = F.to_json(F.struct(*[c.alias(n) for n, c in _raw_columns(e).items()]))
+    ce.save_raw(e.select("ord", one.alias("value")), folder)
+    return _export(ce.read_export(spark, folder))
+
+
 WINDOW = ("2024-01-10T00:00:00Z", "2024-01-12T12:00:00Z")
 IN_WINDOW = "time_start >= TIMESTAMP '2024-01-10 00:00:00' AND time_start < TIMESTAMP '2024-01-12 12:00:00'"
 

@@ -11,7 +11,7 @@ from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import thread_query as q
 from stallscope.session import Staging, remove_path, stage_all
-from stallscope.sources.dumps import file_counts, parse_threads
+from stallscope.sources.dumps import file_counts, parse_threads, read_dump_files
 from stallscope.streaming import dump_watch as dw
 
 CHECKS: dict[str, tuple] = {}
@@ -443,3 +443,42 @@ def dump_watch(spark, sf):
     threads = dw.refresh(spark, folder, table, 2)
     dump = F.regexp_extract("source_file", "dump=([0-9-]+)", 1).alias("dump")
     return threads.groupBy(dump, "state").agg(F.count("*").alias("n"), F.sum(F.substring("nid", 3, 20).cast("bigint")).alias("nids"))
+
+
+@check("query_rows_kept", f"{T} SELECT dump_id, name AS thread, depth, frame1, frame3, locked FROM t WHERE state = 'BLOCKED' AND NOT gc")
+def query_rows_kept(spark, sf):
+    """Frames and monitor lines that a query carries along."""
+    rows = q.ThreadQuery().where(q.equals("state", "blocked"), q.differs("thread", "GC task*")).run(v.threads(spark, sf), keep=("dump_id", "frames", "locked_monitors"))
+    return rows.select(
+        "dump_id", "thread", F.size("frames").alias("depth"), F.col("frames")[0].alias("frame1"), F.col("frames")[2].alias("frame3"),
+        F.get("locked_monitors", F.lit(0)).alias("locked"),
+    )
+
+
+@check("dump_files_of_paths", f"{T} SELECT dump_id AS dump, state, count(*) AS n FROM t WHERE ord % 3 = 0 OR CAST(substr(dump_id, 9, 2) AS INT) % 2 = 1 GROUP BY 1, 2")
+def dump_files_of_paths(spark, sf):
+    """Dump files in two folders, one with files that the pattern leaves out, read together."""
+    root = Staging(spark, "dump-paths").root
+    odd = F.col("dump_ord") % 2 == 1
+    for name, pieces in (("odd", v.jstack_text(spark, sf).where(odd)), ("even", v.jstack_text(spark, sf, F.col("ord") % 3 == 0).where(~odd))):
+        rows = pieces.repartition("dump_id").sortWithinPartitions("dump_id", "piece").select(F.col("dump_id").alias("dump"), "content")
+        rows.write.option("lineSep", "\n\n").partitionBy("dump").text(f"{root}/{name}")
+    rows.select("content").write.option("compression", "gzip").mode("append").text(f"{root}/even/dump=2000-01-01")
+    files = read_dump_files(spark, [f"{root}/odd/*", f"{root}/even/*"], "*.txt")
+    threads = parse_threads(files.withColumn("dump_ord", F.lit(0)))
+    return threads.groupBy(F.regexp_extract("source_file", "dump=([0-9-]+)", 1).alias("dump"), "state").agg(F.count("*").alias("n"))
+
+
+@check(
+    "case_signals_of_all_cases",
+    f"""{SIGNALS_SQL}, every AS (SELECT DISTINCT concat('case-', CAST(n_nationkey AS VARCHAR(10))) AS case_id FROM nation)
+SELECT e.case_id, {', '.join(f'coalesce(round("{c}", 6), 0) AS "{c}"' for c in cs.NUMBER_SIGNALS)}, {', '.join(f'coalesce("{c}", {chr(39) * 2}) AS "{c}"' for c in cs.TEXT_SIGNALS)}
+FROM every e LEFT JOIN sig USING (case_id)""",
+)
+def case_signals_of_all_cases(spark, sf):
+    """Cases without a dump have signals of zero."""
+    parsed = stage_all({"threads": v.threads(spark, sf)})["threads"]
+    reduced = stage_all({"fps": ds.fingerprints(parsed), "monitors": ds.blocked_monitors(parsed)})
+    cases = v.table(spark, sf, "nation").select(F.concat(F.lit("case-"), F.col("n_nationkey").cast("string")).alias("case_id")).distinct()
+    out = cs.case_signals(ds.thread_counts(parsed), reduced["fps"], ds.fingerprint_members(parsed), reduced["monitors"], cases)
+    return out.select("case_id", *[F.round(c, 6).alias(c) for c in cs.NUMBER_SIGNALS], *cs.TEXT_SIGNALS)
