@@ -755,14 +755,14 @@ PROVIDER = "CASE " + " ".join(
 ) + " END"
 
 
-@check(
-    "upstream_chain",
-    f"""WITH RECURSIVE {HOSTS_SQL}, walk AS (SELECT host AS hostname, host AS cur, CAST('' AS VARCHAR) AS chain, 0 AS hop, CAST(NULL AS VARCHAR) AS provider FROM hosts
+UPSTREAM_SQL = f"""WITH RECURSIVE {HOSTS_SQL}, walk AS (SELECT host AS hostname, host AS cur, CAST('' AS VARCHAR) AS chain, 0 AS hop, CAST(NULL AS VARCHAR) AS provider FROM hosts
   UNION ALL SELECT hostname, target, concat(chain, CASE WHEN chain = '' THEN '' ELSE ' ' END, target), hop + 1,
     (SELECT {PROVIDER} FROM (SELECT rtrim(lower(target), '.') AS h)) FROM walk JOIN cn ON cn.host = walk.cur WHERE provider IS NULL AND hop < 9)
-SELECT hostname, chain, provider FROM walk WHERE provider IS NOT NULL""",
-)
-def upstream_chain(spark, sf):
+SELECT hostname, chain, provider FROM walk WHERE provider IS NOT NULL"""
+
+
+def page_hosts(spark, sf):
+    """Hosts of the pages table and their records."""
     pages = v.table(spark, sf, "pages")
     p = F.col("page_id")
     s = lambda *x: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in x])
@@ -775,8 +775,17 @@ def upstream_chain(spark, sf):
         s("n", t, ".corp.example").alias("host"), F.when(p % 2 == 0, "X.FASTLY.net").otherwise("end.corp.example").alias("target"), F.lit(0).cast("bigint").alias("ord")
     )
     loop = hosts.limit(1).select(F.lit("loop.example").alias("host"), F.lit("loop.example").alias("target"), F.lit(0).cast("bigint").alias("ord"))
-    found = up.resolve_upstream(hosts.select("host"), direct.unionByName(second).unionByName(loop))
-    return found.select("hostname", F.array_join("chain", " ").alias("chain"), "provider")
+    return hosts.select("host"), direct.unionByName(second).unionByName(loop)
+
+
+@check("upstream_chain", UPSTREAM_SQL)
+def upstream_chain(spark, sf):
+    return up.resolve_upstream(*page_hosts(spark, sf)).select("hostname", F.array_join("chain", " ").alias("chain"), "provider")
+
+
+@check("upstream_chain_all", UPSTREAM_SQL)
+def upstream_chain_all(spark, sf):
+    return up.resolve_upstream_all(*page_hosts(spark, sf)).select("hostname", F.array_join("chain", " ").alias("chain"), "provider")
 
 
 @check(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import builders as b
 from builders import at, event, events, service
 from stallscope.operators.cdn_findings import decimals, duration, percent
-from stallscope.operators.upstream import match_suffixes, resolve_upstream
+from stallscope.operators.upstream import first_targets, jump_tables, match_suffixes, resolve_upstream, resolve_upstream_all
 from stallscope.plans import cdn_report as cr
 from stallscope.session import stage
 
@@ -220,3 +220,34 @@ def test_chains(spark):
     suffixes = spark.createDataFrame([("fastly.net", "f", 1), ("x.fastly.net", "first", 0)], "suffix string, provider string, ord int")
     pairs = spark.createDataFrame([("a.x.fastly.net.",), ("fastly.net",), ("notfastly.net",)], "host string")
     assert {r.host: r.provider for r in match_suffixes(stage(pairs, "p"), suffixes).collect()} == {"a.x.fastly.net.": "first", "fastly.net": "f"}
+
+
+def test_all_chains_by_doubling(spark):
+    """Random records with cycles, dead ends and shared targets: walk, doubling and plain Python agree; 4 rounds, hot targets dealt."""
+    import random
+
+    from stallscope.session import Staging
+
+    rnd = random.Random(5)
+    names = [f"n{i}.x" for i in range(300)]
+    first = {n: rnd.choice(["hub.x", "hub.x", rnd.choice(names), rnd.choice(names), "e.fastly.net", "nowhere.x"]) for n in names}
+    first |= {f"line{i}.x": f"line{i + 1}.x" for i in range(12)} | {"line12.x": "L.Akamaiedge.net.", "hub.x": "hub2.x", "hub2.x": "c.cloudfront.net"}
+    first |= {"ring0.x": "ring1.x", "ring1.x": "ring2.x", "ring2.x": "ring0.x", "self.x": "self.x", "www.cdn77.net": "n1.x"}
+    cnames = spark.createDataFrame([(h, t, 0) for h, t in first.items()] + [("hub.x", "a.x", 1), ("void.x", None, 0)], "host string, target string, ord bigint")
+    hosts = spark.createDataFrame([(h,) for h in [*first, *names[:9], "", "nope", None, "void.x"]], "host string")
+    known = {"e.fastly.net": "fastly", "c.cloudfront.net": "amazon", "L.Akamaiedge.net.": "akamai", "www.cdn77.net": "cdn77"}
+    want = {}
+    for host in first:
+        chain, at = [], host
+        while at not in known and at in first and len(chain) < 9:
+            at = first[at]
+            chain.append(at)
+        if at in known:
+            want[host] = (chain, known[at])
+    assert {len(c) for c, _ in want.values()} >= {0, 1, 2, 3, 8, 9} and "line3.x" not in want
+    for found in (resolve_upstream(hosts, cnames), resolve_upstream_all(hosts, cnames, hot_rows=5)):
+        rows = found.collect()
+        assert len(rows) == len(want) and {r.hostname: (r.chain, r.provider) for r in rows} == want
+    assert len(jump_tables(first_targets(cnames), Staging(spark, "t"), 10, 5)) == 5
+    assert resolve_upstream_all(hosts.limit(0), cnames).count() == 0
+    assert {r.hostname for r in resolve_upstream_all(hosts, cnames.limit(0)).collect()} == {"www.cdn77.net"}
