@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallscope.functions.frames import REQUEST_LINE
 from stallscope.functions.text import number_text
 from stallscope.operators.case_signals import NUMBER_SIGNALS, TEXT_SIGNALS
+from stallscope.operators.containment import contained_either_way
 from stallscope.operators.dump_signals import KEYS
 
 UNKNOWN = "(unknown)"
@@ -76,13 +77,17 @@ def holds() -> Column:
     return F.coalesce(test & (F.col("signal") != UNKNOWN), F.lit(False))
 
 
+def observed() -> Column:
+    """The signal as evidence shows it."""
+    return F.when(F.col("signal") == UNKNOWN, "N/A").otherwise(F.coalesce("str", number_text(F.col("num"))))
+
+
 def evaluate_conditions(signals: DataFrame, signatures: DataFrame, order: Column | None = None) -> DataFrame:
     """Every condition of every signature on every case, with the observed value."""
     joined = signal_rows(signals).join(condition_rows(signatures, order), ["signal"])
-    observed = F.when(F.col("signal") == UNKNOWN, "N/A").otherwise(F.coalesce("str", number_text(F.col("num"))))
     return joined.select(
         "case_id", "signature_id", "sig_ord", "cond_ord", "field", "description",
-        holds().alias("matched"), observed.alias("observed_value"),
+        holds().alias("matched"), observed().alias("observed_value"),
     )
 
 
@@ -134,14 +139,12 @@ def _names_line(n_raw: Column, names: Column) -> Column:
 def stuck_frame_lines(signals: DataFrame, fps: DataFrame, members: DataFrame) -> DataFrame:
     """Names of threads whose key frame contains, or is contained in, the stuck frame of the case."""
     wanted = signals.where(F.col("suspiciousTimedWaitingKeyFrame") != "").select(
-        "case_id", F.col("suspiciousTimedWaitingKeyFrame").alias("kf")
+        "case_id", F.col("suspiciousTimedWaitingKeyFrame").alias("pattern")
     )
     frame = F.when(F.col("key_frame") != "", F.col("key_frame")).otherwise(F.col("top_frame"))
-    alike = (
-        fps.join(wanted, "case_id")
-        .where(F.contains(frame, F.col("kf")) | F.contains(F.col("kf"), frame))
-        .select(*KEYS, "signature", "count", "first_ord")
-    )
+    framed = fps.select(*KEYS, "signature", "count", "first_ord", frame.alias("text"))
+    fitting = contained_either_way(framed, wanted, ["case_id"]).select("case_id", "text")
+    alike = framed.join(fitting, ["case_id", "text"], "left_semi").select(*KEYS, "signature", "count", "first_ord")
     by_name = (
         members.join(alike, [*KEYS, "signature"])
         .groupBy("case_id", "name")
@@ -182,12 +185,12 @@ def hot_path_lines(dominant: DataFrame, members: DataFrame) -> DataFrame:
 def monitor_class_lines(signals: DataFrame, monitors: DataFrame) -> DataFrame:
     """Per dump, the first monitor whose class fits the busiest class of the case: holder and waiters."""
     wanted = signals.where(F.col("topBlockedMonitorClass") != "").select(
-        "case_id", F.col("topBlockedMonitorClass").alias("cls")
+        "case_id", F.col("topBlockedMonitorClass").alias("pattern")
     )
     item = F.struct("lock_holder_thread", "waiting_thread_count", "waiting_thread_names")
+    fitting = contained_either_way(monitors.select("case_id", F.col("monitor_class").alias("text")), wanted, ["case_id"])
     per_dump = (
-        monitors.join(wanted, "case_id")
-        .where(F.contains("monitor_class", F.col("cls")) | F.contains(F.col("cls"), F.col("monitor_class")))
+        monitors.join(fitting.select("case_id", F.col("text").alias("monitor_class")), ["case_id", "monitor_class"], "left_semi")
         .groupBy(*KEYS)
         .agg(F.min_by(item, F.col("first_ord")).alias("m"))
     )

@@ -219,3 +219,54 @@ def test_firsts_are_hash_aggregates(spark):
     for frame in (fps, cs.largest_fingerprints(fps), ds.lock_holders(threads), cs.case_monitors(monitors)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_containment_both_ways(spark):
+    """The gram index against plain Python: empty, short, equal, repeated, null and long strings, a hot group."""
+    import random
+
+    from stallscope.operators.containment import contained_either_way
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("ab.é") for _ in range(n))
+    long = [word(rnd.choice([0, 3, 7, 8, 9, 20, 60])) for _ in range(60)]
+    texts = [(rnd.choice(["hot", "hot", "a", None]), t) for t in [*long, *long, *[t[2:-3] for t in long], None]]
+    patterns = [(g, p) for g in ("hot", "a", "alone", None) for p in [*long[:20], *[t[1:-1] for t in long[20:40]], long[50] + "x", None]]
+    got = contained_either_way(
+        spark.createDataFrame(texts, "g string, text string"), spark.createDataFrame(patterns, "g string, pattern string"), ["g"]
+    ).collect()
+    pairs = {(g, t, p) for g, t in texts for h, p in patterns if g == h and None not in (g, t, p) and (t in p or p in t)}
+    assert len(got) == len(pairs) > 100 and {tuple(r) for r in got} == pairs
+
+
+def test_condition_store(spark, tmp_path):
+    """Runs with changed, removed and returning conditions and cases: findings as if all was evaluated, and only new work done."""
+    from stallscope.operators.condition_store import ConditionStore
+
+    def cases(**gc):
+        names = [*cs.NUMBER_SIGNALS, *cs.TEXT_SIGNALS]
+        rows = [(c, *[float(n) if s == "gcThreadCount" else 0.0 for s in cs.NUMBER_SIGNALS], "", "a.Lock") for c, n in gc.items()]
+        return spark.createDataFrame(rows, ", ".join(["case_id string", *[f"{n} {'double' if n in cs.NUMBER_SIGNALS else 'string'}" for n in names]]))
+
+    one, two, lock = ("gcThreadCount", "gte", 1), ("gcThreadCount", "gte", 2), ("topBlockedMonitorClass", "contains", "Lock")
+    steps = [  # cases, signatures, rows to evaluate
+        (cases(x=1, y=2), [sig("s", one, lock), sig("t", one, ("nope", "gt", 1))], 2 * 3),
+        (cases(x=1, y=2), [sig("s", two, lock), sig("t", one, ("nope", "gt", 1))], 2 * 1),  # one condition changed
+        (cases(x=1, y=2), [sig("renamed", lock, two), sig("t", one)], 0),  # known conditions, other signatures
+        (cases(x=1, y=2, z=3), [sig("s", lock)], 1),  # a new case; two conditions leave
+        (cases(x=5, y=2, z=3), [sig("s", lock, two)], 2 + 2),  # x changed: both; y, z: the one that came back
+        (cases(y=2), [sig("s", lock, two), sig("again", lock, lock)], 0),
+        (cases(x=5, y=2), [sig("s", lock, two)], 2),  # x came back
+        (cases(), [sig("s", lock)], 0),
+        (cases(x=5), [], 0),
+    ]
+    store = ConditionStore(spark, str(tmp_path / "store"))
+    for n, (signals, signatures, evaluated) in enumerate(steps):
+        sigs = spark.createDataFrame(signatures, sg.SIGNATURE)
+        if n == 4:  # a run that was lost before it counted
+            cases(x=9).selectExpr("case_id", "'k' AS condition_key", "true AS matched", "'' AS observed_value", "4 AS run").write.parquet(str(tmp_path / "store/results/part=4"))
+        run = store.rematch(signals, sigs)
+        assert (run.number, run.evaluated.count()) == (n, evaluated)
+        seen = lambda df: sorted(map(str, df.select("case_id", "rank", "signature_id", "confidence_score", "matched_conditions", "unmatched_conditions").collect()))
+        assert seen(run.findings) == seen(rematch(signals, sigs))
+    assert len(store.runs()) == 2
