@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -9,9 +10,11 @@ from checks.thread_checks import ADDR, DOM, SIGNALS_SQL, signals
 from stallscope.operators import case_signals as cs
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
+from stallscope.operators.condition_store import ConditionStore
 from stallscope.plans.incident import analyse_evidence, derive_signals, match_cases, rematch, signature_frequency
-from stallscope.session import stage
+from stallscope.session import Staging, stage
 from stallscope.sources import signatures as sg
+from stallscope.sources.dumps import parse_threads
 
 CHECKS: dict[str, tuple] = {}
 
@@ -66,6 +69,10 @@ BUNDLED = {
     "gc-pressure": [("gcThreadCount", "gte", 15.0, None, '"gcThreadCount" >= 15', WHOLE)],
     "servlet-pool-saturation": [("activeRequestThreadCount", "gte", 50.0, None, '"activeRequestThreadCount" >= 50', WHOLE)],
 }
+DESCRIBED = {
+    "gc-pressure": "JVM GC-related threads active in the dump (workers + infrastructure)",
+    "servlet-pool-saturation": "Active HTTP request threads (thread name contains HTTP method + path)",
+}
 ALL = {**BUNDLED, **CUSTOM}
 CONDITIONS_SQL = f"{SIGNALS_SQL}, cond AS (" + " UNION ALL ".join(
     f"SELECT case_id, '{sid}' AS signature_id, {i} AS cond_ord, '{c[0]}' AS field, ({c[4]}) AS matched, {c[5].format(c[0])} AS observed_value FROM sig"
@@ -228,18 +235,88 @@ def evidence_plan(spark, sf):
     return plan.inputs.select("case_id", "thread_dumps", "logs", "parse_errors")
 
 
+NAMED = {
+    "gc-pressure": ("High Garbage Collection Pressure", [
+        "Read the GC logs for full collections, long pauses and old-generation occupancy", "Check heap size and whether the old generation stays near its limit",
+        "Profile allocation on hot request paths", "Look for caches that grow without a bound"]),
+    "servlet-pool-saturation": ("Servlet Thread Pool Saturation", [
+        "Find the most frequent method and path among the thread names in the evidence", "Check whether one page or endpoint dominates",
+        "Check the cache hit rate for the hot path", "Compare with the pool limit and with downstream latency"]),
+}
+NAMED_SQL = " UNION ALL ".join(
+    f"SELECT '{sid}' AS signature_id, '{name}' AS signature_name, '{' | '.join(steps)}' AS next_steps"
+    for sid, (name, steps) in {**{sid: (sid.title(), ["look"]) for sid in CUSTOM}, **NAMED}.items()
+)
+
+
+def incident(spark, sf):
+    """Findings and evidence rows, from dump text on: pieces of dumps to threads, the first piece of a dump tells its format."""
+    text = stage(v.jstack_text(spark, sf), "text")
+    heads = text.join(text.groupBy("dump_id").agg(F.min("piece").alias("piece")), ["dump_id", "piece"], "left_semi").select("case_id", "dump_id", "dump_ord", "content")
+    frames = derive_signals(heads, stage(v.in_order(parse_threads(text)), "threads"))
+    return match_cases(frames, signature_set(spark))
+
+
 @check(
     "incident_findings",
-    f"""{SCORES_SQL} SELECT f.case_id, f.rank, f.signature_id, round(f.score, 6) AS score,
-  (SELECT count(*) FROM cond c WHERE c.case_id = f.case_id AND c.signature_id = f.signature_id AND c.matched) AS condition_lines FROM f""",
+    f"""{SCORES_SQL}, named AS ({NAMED_SQL}) SELECT case_id, rank, signature_id, signature_name, next_steps, round(score, 6) AS score, matched, unmatched,
+  CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM f JOIN named USING (signature_id)""",
 )
 def incident_findings(spark, sf):
-    """The whole plan: staged threads, signals, matching, evidence rows."""
-    threads = stage(v.threads(spark, sf), "threads")
-    dumps = threads.select("case_id", "dump_id", "dump_ord").distinct().withColumn("content", F.lit('"a" #1\n"b" #2'))
-    frames = derive_signals(dumps, threads)
-    found, evidence = match_cases(frames, signature_set(spark))
-    lines = evidence.where("pos.part = 0").groupBy("case_id", "signature_id").agg(F.count("*").alias("condition_lines"))
-    return found.join(lines, ["case_id", "signature_id"], "left").select(
-        "case_id", "rank", "signature_id", F.round("confidence_score", 6).alias("score"), "condition_lines"
+    found, _ = incident(spark, sf)
+    fields = lambda c: F.array_join(F.transform(c, lambda x: x["field"]), ",")
+    return found.select(
+        "case_id", "rank", "signature_id", "signature_name", "confidence", F.round("confidence_score", 6).alias("score"),
+        fields("matched_conditions").alias("matched"), fields("unmatched_conditions").alias("unmatched"), F.array_join("next_steps", " | ").alias("next_steps"),
     )
+
+
+LINES = {  # the queries above that give the lines of a field: their name, the field, line group and place in the group
+    "evidence_stuck_frame": ("'suspiciousTimedWaitingKeyFrame'", "0", "0"),
+    "evidence_hot_path": ("'dominantActiveFingerprintCount'", "0", "line_ord"),
+    "evidence_monitor_class": ("'topBlockedMonitorClass'", "line_group", "CASE WHEN line LIKE 'Lock holder: %' THEN 0 ELSE 1 END"),
+    "evidence_top_urls": ("'activeRequestThreadCount'", "0", "line_ord"),
+    "evidence_blocked_info": ("field", "0", "line_ord"),
+}
+LINES_SQL = " UNION ALL ".join(
+    f"SELECT case_id, {field} AS field, CAST({group} AS BIGINT) AS line_group, {place} AS line_ord, line FROM ({CHECKS[name][1]})"
+    for name, (field, group, place) in LINES.items()
+)
+WORDED_SQL = " UNION ALL ".join(
+    f"SELECT '{sid}' AS signature_id, {i} AS cond_ord, '{DESCRIBED.get(sid, c[0] + ' holds')}' AS description" for sid, conds in ALL.items() for i, c in enumerate(conds)
+)
+
+
+@check(
+    "finding_evidence",
+    f"""{CONDITIONS_SQL}, worded AS ({WORDED_SQL}), lines AS ({LINES_SQL}),
+hit AS (SELECT * FROM cond JOIN worded USING (signature_id, cond_ord) WHERE matched),
+placed AS (SELECT case_id, signature_id, 0 AS part, cond_ord, 0 AS line_group, 0 AS line_ord, concat(description, ': ', observed_value) AS line FROM hit
+  UNION ALL SELECT hit.case_id, signature_id, 1, cond_ord, line_group, line_ord, line FROM hit JOIN lines ON lines.case_id = hit.case_id AND lines.field = hit.field)
+SELECT case_id, signature_id, row_number() OVER (PARTITION BY case_id, signature_id ORDER BY part, cond_ord, line_group, line_ord) AS place, line FROM placed""",
+)
+def finding_evidence(spark, sf):
+    """Every evidence line of every finding in reading order, from dump text to lines."""
+    _, evidence = incident(spark, sf)
+    w = Window.partitionBy("case_id", "signature_id").orderBy("pos")
+    return evidence.select("case_id", "signature_id", F.row_number().over(w).cast("bigint").alias("place"), "line")
+
+
+@check(
+    "signature_rematch",
+    f"""{SCORES_SQL.replace('"blockedThreadCount" > 5', '"blockedThreadCount" > 7')}
+SELECT case_id, rank, signature_id, round(score, 6) AS score, matched, (SELECT count(*) FROM sig) AS evaluated FROM f""",
+)
+def signature_rematch(spark, sf):
+    """Stored results, one condition of one signature changed: only that condition is evaluated, once for every case."""
+    cases, before = stage(signals(spark, sf), "signals"), signature_set(spark)
+    edit = F.transform("conditions", lambda c: F.when(
+        (c["field"] == "blockedThreadCount") & (c["operator"] == "gt"),
+        F.struct(c["field"].alias("field"), c["operator"].alias("operator"), F.struct(F.lit(7.0).alias("num"), F.lit(None).cast("string").alias("str")).alias("value"), c["description"].alias("description")),
+    ).otherwise(c))
+    staging = Staging(spark, "results")
+    store = ConditionStore(spark, f"{staging.root}/store")
+    store.rematch(cases, before)
+    run = store.rematch(cases, before.withColumn("conditions", edit))
+    fields = F.array_join(F.transform("matched_conditions", lambda x: x["field"]), ",")
+    return run.findings.select("case_id", "rank", "signature_id", F.round("confidence_score", 6).alias("score"), fields.alias("matched")).withColumn("evaluated", F.lit(run.evaluated.count()).cast("bigint"))
