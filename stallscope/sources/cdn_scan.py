@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from stallscope.functions import fixed
 from stallscope.session import stage
 
 SERVICE_KEYS = ["aem_service", "aem_tier"]
+ORD_RANGE_BITS = 16  # rows of one instant are counted by ranges of this many bits of their order
 
 # Unit of a relative time and the interval unit it stands for.
 UNITS = {
@@ -137,30 +139,39 @@ def pop_baseline(
 
 
 def cap_events(events: DataFrame, max_events: int = 0, keys: list[str] | None = None) -> DataFrame:
-    """The first ``max_events`` events of every service in time order (0 keeps all).
+    """The first ``max_events`` events of every service in time order (0 keeps all); events without a time come last.
 
-    Counts per second find the second in which the cap is reached; earlier seconds are kept as they
-    are, so only the rows of that one second are ranked.
+    Counts per second find the second in which the cap is reached; earlier seconds are kept as they are. The rows of that one
+    second, or all those without a time, are a table, and counted once more by instant and by range of ``ord``; only the
+    rows of one such range are ranked.
     """
     keys = keys or SERVICE_KEYS
     if max_events <= 0:
         return events
-    latest = F.lit(2**62)
-    second = F.coalesce(F.floor(F.unix_micros(F.col("time_start").cast("timestamp")) / 1000000), latest)
-    rows = events.withColumn("_sec", second.cast("bigint"))
-    per_second = rows.groupBy(*keys, "_sec").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("_sec").rowsBetween(Window.unboundedPreceding, -1))
+    micros = F.coalesce(F.unix_micros(F.col("time_start").cast("timestamp")), F.lit(2**62))
+    second = F.floor(micros / 1000000).cast("bigint")
+    place = F.struct(micros.alias("at"), F.shiftright(F.coalesce(F.col("ord").cast("bigint"), F.lit(-(2**62))), ORD_RANGE_BITS).alias("range"))
+    before, last = _split_at_cap(events.withColumn("_left", F.lit(max_events).cast("bigint")), keys, second)
+    early, rest = _split_at_cap(stage(last, "cap-second"), keys, place)
+    order = Window.partitionBy(*keys).orderBy("time_start", "ord")
+    ranked = rest.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= F.col("_left"))
+    return reduce(DataFrame.unionByName, [df.select(*events.columns) for df in (before, early, ranked)])
+
+
+def _split_at_cap(rows: DataFrame, keys: list[str], slot: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows before the slot in which the ``_left`` rows of a service end, and the rows of that slot with what is left for them."""
+    rows = rows.withColumn("_slot", slot)
+    counts = rows.groupBy(*keys, "_left", "_slot").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
     cut = (
-        per_second.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where((F.col("_before") < max_events) & (F.col("_before") + F.col("n") >= max_events))
-        .select(*keys, F.col("_sec").alias("_cut"), (F.lit(max_events) - F.col("_before")).alias("_left"))
+        counts.withColumn("_before", F.coalesce(earlier, F.lit(0)))
+        .where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("n") >= F.col("_left")))
+        .select(*keys, F.col("_slot").alias("_cut"), (F.col("_left") - F.col("_before")).alias("_rest"))
     )
     marked = rows.join(stage(cut, "cap"), keys, "left")
-    early = marked.where(F.col("_cut").isNull() | (F.col("_sec") < F.col("_cut")))
-    order = Window.partitionBy(*keys, "_sec").orderBy("time_start", "ord")
-    last = marked.where(F.col("_sec") == F.col("_cut")).withColumn("_rn", F.row_number().over(order))
-    kept = early.unionByName(last.where(F.col("_rn") <= F.col("_left")).drop("_rn"))
-    return kept.drop("_sec", "_cut", "_left")
+    before = marked.where(F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut")))
+    last = marked.where(F.col("_slot") == F.col("_cut")).withColumn("_left", F.col("_rest"))
+    return before.drop("_slot", "_cut", "_rest", "_left"), last.drop("_slot", "_cut", "_rest")
 
 
 def truncation(events: DataFrame, max_events: int = 0, keys: list[str] | None = None) -> DataFrame:

@@ -157,6 +157,20 @@ def test_scan_reaches_the_file_filters(spark, tmp_path):
     assert "client_ip" not in plan.split("ReadSchema")[1]
 
 
+def test_cap_ranks_one_range_only(spark, monkeypatch):
+    """A mass without a time, or in one instant, is cut by ranges of its order: the same rows, few of them ranked."""
+    import random
+
+    monkeypatch.setattr(scan, "ORD_RANGE_BITS", 3)
+    rnd = random.Random(3)
+    rows = [(s, "publish", rnd.choice([None, None, at(0), at(1)]), o) for s in ("a", "b") for o in rnd.sample(range(-500, 500), 300)]
+    df = spark.createDataFrame(rows, "aem_service string, aem_tier string, time_start timestamp, ord bigint")
+    for cap in (7, 140, 299):
+        kept = {(r.aem_service, r.ord) for r in scan.cap_events(df, cap).collect()}
+        first = {s: sorted((r for r in rows if r[0] == s), key=lambda r: (r[2] is None, r[2] or at(0), r[3]))[:cap] for s in ("a", "b")}
+        assert kept == {(r[0], r[3]) for some in first.values() for r in some}
+
+
 def test_cap(spark):
     rows = [event(url=f"/{i}", time_start=at(i // 7), aem_service="a") for i in range(100)]
     rows += [event(url=f"/n{i}", time_start=None, aem_service="a") for i in range(5)]
@@ -168,6 +182,7 @@ def test_cap(spark):
     late = {r.url for r in scan.cap_events(df, 102).where("aem_service = 'a' and time_start is null").collect()}
     assert late == {"/n4", "/n3"}
     assert scan.cap_events(df, 0).count() == 115
+    assert {c: scan.cap_events(df, c).where("aem_service = 'a'").count() for c in (1, 100, 105, 106)} == {1: 1, 100: 100, 105: 105, 106: 105}
     flags = {r.aem_service: r.truncated for r in scan.truncation(df, 10).collect()}
     assert flags == {"a": True, "b": True}
 
