@@ -830,35 +830,71 @@ def cdn_incident(spark, sf):
     )
 
 
-PCT = lambda x: f"concat(CAST(floor({x} * 100 + 0.5) AS BIGINT), '%')"
+# Texts of the report, filled in SQL: shares as percent (two decimals next to 0 and 100), whole numbers, one decimal.
+PCT = lambda x: (
+    f"""CASE WHEN (floor("{x}" * 100 + 0.5) = 100 AND "{x}" * 100 < 100) OR (floor("{x}" * 100 + 0.5) = 0 AND "{x}" > 0) THEN printf('%.2f%%', "{x}" * 100)
+  ELSE concat(CAST(floor("{x}" * 100 + 0.5) AS BIGINT), '%') END"""
+)
+INT = lambda x: f"CAST(floor({x} + 0.5) AS BIGINT)"
+ONE = lambda x: f"printf('%.1f', \"{x}\")"
+ASK = lambda x: f"coalesce(nullif(\"{x}\", ''), '?')"
+VERDICTS = {
+    "cdn-uncacheable": "Responses are not cacheable (no cache lifetime)", "cdn-unique-url-burst": "Burst of unique / uncacheable URLs",
+    "cdn-stale-content": "Content not staying cached (same-POP re-fetches)", "cdn-pop-fragmentation": "Cache fragmentation across POPs",
+    "cdn-bot-cold-pop": "Bot burst on rarely-used POPs",
+}
+REPORT_SQL = f"""{FIND_SQL}, verdict AS (SELECT hr.* EXCLUDE (rank), CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS conf,
+  CASE id {' '.join(f"WHEN '{i}' THEN '{n}'" for i, n in VERDICTS.items())} END AS name FROM hr WHERE rank = 1),
+rep AS (SELECT mm.*, id, conf, name,
+  concat_ws(' ', concat("missCount", ' cache MISSes of ', "totalRequests", ' events (MISS ratio ', {INT('"missRatio" * 100')}, '% of MISS+HIT).'),
+    CASE WHEN id IS NOT NULL THEN concat('Most likely cause: ', name, ' (', conf, ' confidence).')
+      ELSE 'No single hypothesis met its threshold — see the per-hypothesis conditions for partial matches.' END,
+    CASE WHEN "error429Count" > 0 THEN concat("error429Count", ' HTTP 429s, ', {INT('"missShareOf429" * 100')}, '% of them on MISSes.') END) AS summary
+  FROM mm LEFT JOIN verdict ON verdict.aem_service = mm.aem_service AND verdict.aem_tier = mm.aem_tier)"""
 
 
 @check(
     "cdn_report",
-    f"""{FIND_SQL}, t AS (SELECT hr.*, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS conf FROM hr WHERE rank = 1)
-SELECT mm.aem_service, mm.aem_tier, "totalRequests" AS "entryCount", t.id AS "verdictId", conf AS "verdictConfidence",
-  concat("missCount", ' cache MISSes of ', "totalRequests", ' events (MISS ratio ', {PCT('"missRatio"')}, ' of MISS+HIT).') AS headline,
-  concat("error429Count", ' HTTP 429s, ', {PCT('"missShareOf429"')}, ' of them on MISSes.') AS tail,
-  CASE WHEN "topOriginHost" = 'www.a.example' THEN 'akamai' END AS provider
-FROM mm JOIN t ON t.aem_service = mm.aem_service AND t.aem_tier = mm.aem_tier""",
+    f"""{REPORT_SQL} SELECT {K}, "totalRequests" AS "entryCount", id AS "verdictId", name AS "verdictName", conf AS "verdictConfidence", summary,
+  CASE WHEN "topOriginHost" = 'www.a.example' THEN 'www.a.example: x.corp.example > www.a.example.edgekey.net: akamai' END AS upstream FROM rep""",
 )
 def cdn_report(spark, sf):
     rep = cr.analyse_events(events(spark, sf), baseline(spark, sf), cnames(spark, sf))
-    return rep.select(
-        "aem_service", "aem_tier", "entryCount", "verdictId", "verdictConfidence",
-        F.regexp_extract("summary", r"^(.*?MISS\+HIT\)\.)", 1).alias("headline"),
-        F.regexp_extract("summary", r"\. (\d+ HTTP 429s.*)$", 1).alias("tail"),
-        F.col("upstream.provider").alias("provider"),
-    )
+    path = F.when(F.col("upstream").isNotNull(), F.concat_ws(": ", "upstream.hostname", F.array_join("upstream.chain", " > "), "upstream.provider"))
+    return rep.select("aem_service", "aem_tier", "entryCount", "verdictId", "verdictName", "verdictConfidence", "summary", path.alias("upstream"))
+
+
+TTL_LINE = f"""CASE WHEN "ttlDataSufficient" = 1 THEN concat('- TTL: current ', CASE WHEN "observedMaxAgeSeconds" > 0 THEN CAST("observedMaxAgeSeconds" AS VARCHAR) ELSE '?' END, 's, recommended ~',
+  "recommendedTtlSeconds", 's (req rate ', {ONE('cacheableRequestRatePerMin')}, '/min; P90 gap shield ', {INT('"p90AggGapSeconds"')}, 's / edge ', {INT('"p90PerPopGapSeconds"')}, 's)')
+  ELSE '- TTL: insufficient repeat-request data in this window to size a TTL' END"""
+REPORT_LINES = [
+    "concat('# CDN Cache Miss Analysis — ', aem_service)", "''", "concat('**Tier:** ', aem_tier)", "''", "'## Summary'", "summary", "''", "'## Key metrics'",
+    "concat('- Events analysed: ', \"totalRequests\")",
+    "concat('- Cache MISS: ', \"missCount\", '  |  HIT: ', \"hitCount\", '  |  PASS: ', \"passCount\", ' (PASS+200: ', \"passWith200Count\", ')')",
+    f"concat('- PASS breakdown: ', {PCT('passWith200Share')}, ' are 200 (bypassing cache), ', {PCT('passNon200Non429Share')}, ' non-200 excl. 429 (429s: ', \"pass429Count\", ')')",
+    f"concat('- MISS ratio (MISS/MISS+HIT): ', {PCT('missRatio')})",
+    f"concat('- HTTP 429: ', \"error429Count\", ' (', {PCT('missShareOf429')}, ' on MISS); origin 5xx: ', \"originError5xxCount\")",
+    f"concat('- Distinct MISS URLs: ', \"distinctMissUrlCount\", ' (unique ratio ', {PCT('uniqueMissUrlRatio')}, ')')",
+    f"concat('- Why MISS: ', {PCT('coldPopFirstFetchShare')}, ' first-fetch-at-POP (cold), ', {PCT('repeatSamePopShare')}, ' repeat-at-same-POP (should HIT), ', {PCT('notCacheable')}, ' not-cacheable-by-directive')",
+    f"concat('- POPs serving MISS: ', \"distinctPopCount\", '; origin shielding on: ', {PCT('shieldingUsedMissShare')}, ' of MISSes')",
+    TTL_LINE,
+    f"concat('- Bot MISS share: ', {PCT('botMissShare')}, '; rare-POP MISS share: ', {PCT('rarePopMissShare')})",
+    f"concat('- Traffic sources: ', {PCT('cloudAsnRequestShare')}, ' from cloud/hosting ASNs; top ', {ASK('topAsnRequestName')}, ' (', {PCT('topAsnRequestShare')}, '); peak ', "
+    f"\"peakRequestsPerSec\", '/s (burst ', {ONE('burstRatio')}, '×); CDN-flagged ', {PCT('cdnThreatShare')})",
+    f"concat('- Client concentration: ', \"distinctClientIpCount\", ' distinct IPs (top ', {PCT('topClientIpRequestShare')}, ': ', {ASK('topClientIpAddress')}, '); ', \"distinctUserAgentCount\", "
+    f"' distinct user agents (top ', {PCT('topUserAgentRequestShare')}, ': \"', {ASK('topUserAgentName')}, '\"); ', \"distinctCountryCount\", ' distinct countries (top ', "
+    f"{PCT('topCountryRequestShare')}, ': ', {ASK('topCountryCode')}, ')')",
+    "''", "'## Findings'",
+]
 
 
 @check(
     "cdn_report_text",
-    f"""{ALL_SQL} SELECT {K}, 9 AS line_no, concat('- Cache MISS: ', "missCount", '  |  HIT: ', "hitCount", '  |  PASS: ', "passCount", ' (PASS+200: ', "passWith200Count", ')') AS line FROM mm
-UNION ALL SELECT {K}, 8, concat('- Events analysed: ', "totalRequests") FROM mm
-UNION ALL SELECT {K}, 0, concat('# CDN Cache Miss Analysis — ', aem_service) FROM mm
-UNION ALL SELECT {K}, 13, concat('- Distinct MISS URLs: ', "distinctMissUrlCount", ' (unique ratio ', {PCT('"uniqueMissUrlRatio"')}, ')') FROM mm""",
+    f"""{REPORT_SQL}, shown AS (SELECT *, greatest("missNoPositiveTtlShare", "missNoStoreShare") AS "notCacheable" FROM rep),
+lines AS (SELECT {K}, unnest(range({len(REPORT_LINES)})) AS line_no, unnest([{', '.join(REPORT_LINES)}]) AS line FROM shown)
+SELECT {K}, CAST(line_no AS INTEGER) AS line_no, line FROM lines""",
 )
 def cdn_report_text(spark, sf):
+    """Everything above the findings."""
     rep = cr.analyse_events(events(spark, sf), baseline(spark, sf))
-    return cr.report_lines(rep).where(F.col("line_no").isin(0, 8, 9, 13))
+    return cr.report_lines(rep).where(F.col("line_no") < len(REPORT_LINES))
