@@ -262,17 +262,25 @@ def case_timeline(spark, sf):
 SAFE = "lower(concat(type, '-', strftime(taken, '%Hh%M')))"
 
 
+REPORT_BLOCKS = [  # section, a, b, lines
+    (0, 0, 0, ["'---'", "concat('case_id: ', case_id)", "'title: \"T\"'", "'created: 2024-01-01T00:00:00.000Z'", "'status: resolved'", "'tags: [incident]'", "'---'", "''",
+               "concat('# ', case_id, ' — T')", "''", "'## Summary'", "'done'", "''", "'## Evidence'"]),
+    (2, 0, 0, ["''"]), (3, 0, 0, ["'## Findings'", "''"]), (4, 1, 0, ["'### [HIGH] Sig s1'", "'Signature: [[s1]]'", "''", "'**Evidence:**'"]), (4, 1, 1, ["'- found it'"]),
+    (4, 1, 2, ["''", "'**Next Steps:**'", "'- [ ] look'", "''", "'**Related:** [[s2]], [[s3]]'", "''"]),
+    (5, 0, 0, ["'## Timeline'"]), (7, 0, 0, ["''", "'## Resolution'"]), (8, 0, 0, ["'**Resolved by:** Unknown'", "''", "'done'"]),
+]
+BLOCKS_SQL = " UNION ALL ".join(
+    f"SELECT case_id, {section} AS section, {a} AS a, {b} AS b, unnest(range({len(lines)})) AS c, unnest([{', '.join(lines)}]) AS line FROM cs" for section, a, b, lines in REPORT_BLOCKS
+)
+
+
 @check(
     "case_report",
-    f"""{TIMED}, cs AS (SELECT DISTINCT source AS case_id FROM documents), l AS (
-  SELECT case_id, 0 AS section, concat('# ', case_id, ' — T') AS line FROM cs
-  UNION ALL SELECT case_id, 1, CASE WHEN type = 'screenshot' THEN concat('- ![[', {SAFE}, '.png]] — ', {LABEL}) ELSE concat('- [[', {SAFE},
+    f"""{TIMED}, cs AS (SELECT DISTINCT source AS case_id FROM documents), l AS ({BLOCKS_SQL}
+  UNION ALL SELECT case_id, 1, ord, 0, 0, CASE WHEN type = 'screenshot' THEN concat('- ![[', {SAFE}, '.png]] — ', {LABEL}) ELSE concat('- [[', {SAFE},
     CASE WHEN type = 'log-export' THEN '.log' ELSE '.txt' END, ']] — ', {LABEL}) END FROM tm
-  UNION ALL SELECT case_id, 4, '### [HIGH] Sig s1' FROM cs UNION ALL SELECT case_id, 4, '- found it' FROM cs UNION ALL SELECT case_id, 4, '- [ ] look' FROM cs
-  UNION ALL SELECT case_id, 4, '**Related:** [[s2]], [[s3]]' FROM cs
-  UNION ALL SELECT case_id, 6, concat('- ', strftime(taken, '%Hh%M'), ' — ', {LABEL}) FROM tm
-  UNION ALL SELECT case_id, 8, '**Resolved by:** Unknown' FROM cs)
-SELECT case_id, section, line, count(*) AS n FROM l GROUP BY 1, 2, 3""",
+  UNION ALL SELECT case_id, 6, ord, 0, 0, concat('- ', strftime(taken, '%Hh%M'), ' — ', {LABEL}) FROM tm)
+SELECT case_id, CAST(section AS INTEGER) AS section, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS INTEGER) AS c, line FROM l""",
 )
 def case_report(spark, sf):
     rows = _timed(spark, sf)
@@ -289,5 +297,4 @@ def case_report(spark, sf):
     pos = F.struct(zero.alias("part"), zero.alias("cond_ord"), zero.cast("bigint").alias("line_group"), zero.alias("line_ord"))
     lines = known.select("case_id", F.lit("s1").alias("signature_id"), pos.alias("pos"), F.lit("found it").alias("line"))
     report = cb.case_report_lines(known, rows, found, lines)
-    shown = report.where(F.col("line").rlike(r"^(# |- |### |\*\*Related|\*\*Resolved)"))
-    return shown.groupBy("case_id", "section", "line").agg(F.count("*").alias("n"))
+    return report.select("case_id", "section", "a", "b", "c", "line")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.thread_checks import ADDR, DOM, SIGNALS_SQL, signals
 from stallscope.operators import case_signals as cs
+from stallscope.operators import casebook as cb
 from stallscope.operators import dump_signals as ds
 from stallscope.operators import signature_match as sm
 from stallscope.operators.condition_store import ConditionStore
@@ -274,7 +275,7 @@ def incident_findings(spark, sf):
 LINES = {  # the queries above that give the lines of a field: their name, the field, line group and place in the group
     "evidence_stuck_frame": ("'suspiciousTimedWaitingKeyFrame'", "0", "0"),
     "evidence_hot_path": ("'dominantActiveFingerprintCount'", "0", "line_ord"),
-    "evidence_monitor_class": ("'topBlockedMonitorClass'", "line_group", "CASE WHEN line LIKE 'Lock holder: %' THEN 0 ELSE 1 END"),
+    "evidence_monitor_class": ("'topBlockedMonitorClass'", "line_group", "row_number() OVER (PARTITION BY case_id, line_group ORDER BY line LIKE 'Lock holder: %' DESC) - 1"),
     "evidence_top_urls": ("'activeRequestThreadCount'", "0", "line_ord"),
     "evidence_blocked_info": ("field", "0", "line_ord"),
 }
@@ -287,12 +288,15 @@ WORDED_SQL = " UNION ALL ".join(
 )
 
 
-@check(
-    "finding_evidence",
-    f"""{CONDITIONS_SQL}, worded AS ({WORDED_SQL}), lines AS ({LINES_SQL}),
+EVIDENCE_SQL = f"""{SCORES_SQL}, worded AS ({WORDED_SQL}), lines AS ({LINES_SQL}),
 hit AS (SELECT * FROM cond JOIN worded USING (signature_id, cond_ord) WHERE matched),
 placed AS (SELECT case_id, signature_id, 0 AS part, cond_ord, 0 AS line_group, 0 AS line_ord, concat(description, ': ', observed_value) AS line FROM hit
-  UNION ALL SELECT hit.case_id, signature_id, 1, cond_ord, line_group, line_ord, line FROM hit JOIN lines ON lines.case_id = hit.case_id AND lines.field = hit.field)
+  UNION ALL SELECT hit.case_id, signature_id, 1, cond_ord, line_group, line_ord, line FROM hit JOIN lines ON lines.case_id = hit.case_id AND lines.field = hit.field)"""
+
+
+@check(
+    "finding_evidence",
+    f"""{EVIDENCE_SQL}
 SELECT case_id, signature_id, row_number() OVER (PARTITION BY case_id, signature_id ORDER BY part, cond_ord, line_group, line_ord) AS place, line FROM placed""",
 )
 def finding_evidence(spark, sf):
@@ -320,3 +324,39 @@ def signature_rematch(spark, sf):
     run = store.rematch(cases, before.withColumn("conditions", edit))
     fields = F.array_join(F.transform("matched_conditions", lambda x: x["field"]), ",")
     return run.findings.select("case_id", "rank", "signature_id", F.round("confidence_score", 6).alias("score"), fields.alias("matched")).withColumn("evaluated", F.lit(run.evaluated.count()).cast("bigint"))
+
+
+FINDING_BLOCKS = {
+    0: "[concat('### [', CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END, '] ', signature_name), concat('Signature: [[', signature_id, ']]'), '', '**Evidence:**']",
+    2: """list_concat(['', '**Next Steps:**'], list_transform(string_split(next_steps, ' | '), lambda x: concat('- [ ] ', x)),
+    CASE WHEN signature_id = 'servlet-pool-saturation' THEN ['', '**Related:** [[thread-lock-contention]]', ''] ELSE [''] END)""",
+}
+FOUND_SQL = " UNION ALL ".join(
+    f"SELECT case_id, 4 AS section, rank AS a, {b} AS b, unnest(range(len(x))) AS c, unnest(x) AS line, NULL AS part, NULL AS cond_ord, NULL AS line_group, NULL AS line_ord FROM (SELECT *, {x} AS x FROM f JOIN named USING (signature_id))"
+    for b, x in FINDING_BLOCKS.items()
+)
+
+
+@check(
+    "case_report_findings",
+    f"""{EVIDENCE_SQL}, named AS ({NAMED_SQL}), r AS ({FOUND_SQL}
+  UNION ALL SELECT p.case_id, 4, rank, 1, 0, concat('- ', line), part, cond_ord, line_group, line_ord FROM placed p JOIN f ON f.case_id = p.case_id AND f.signature_id = p.signature_id
+  UNION ALL SELECT case_id, 1, dump_ord, 0, 0, concat('- [[thread-dump-', printf('%02d', dump_ord % 24), 'h00.txt]] — Thread dump at ', printf('%02d', dump_ord % 24), 'h00'), NULL, NULL, NULL, NULL
+    FROM (SELECT DISTINCT case_id, dump_ord FROM t)
+  UNION ALL SELECT DISTINCT case_id, 3, 0, 0, 0, '## Findings', NULL, NULL, NULL, NULL FROM f
+  UNION ALL SELECT case_id, 8, 0, 0, 0, '_Not yet resolved_', NULL, NULL, NULL, NULL FROM sig)
+SELECT case_id, CAST(section AS INTEGER) AS section, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS INTEGER) AS c, CAST(part AS INTEGER) AS part,
+  CAST(cond_ord AS INTEGER) AS cond_ord, CAST(line_group AS BIGINT) AS line_group, CAST(line_ord AS INTEGER) AS line_ord, line FROM r""",
+)
+def case_report_findings(spark, sf):
+    """Reports of open cases from dump text on: dumps, findings with all evidence, the closing line. A line's ``line_ord`` is its place in its group; ``case_report`` compares the other sections."""
+    found, evidence = incident(spark, sf)
+    dumps = v.thread_rows(spark, sf).select("case_id", "dump_id").distinct().withColumn("ord", F.substring("dump_id", 9, 2).cast("bigint"))
+    midnight = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    listed = dumps.select("case_id", "ord", F.lit("thread-dump").alias("type"), F.timestamp_seconds(F.unix_seconds(midnight) + F.col("ord") % 24 * 3600).alias("captured_at"))
+    none = F.lit(None).cast("string")
+    cases = dumps.select("case_id").distinct().select(
+        "case_id", F.lit("T").alias("title"), F.lit("open").alias("status"), none.alias("resolution"), none.alias("resolved_by"), midnight.alias("created_at")
+    )
+    report = cb.case_report_lines(cases, listed, stage(found, "found"), evidence).where("section IN (1, 4, 8) OR (section = 3 AND c = 0)")
+    return report.select("case_id", "section", "a", "b", "c", "pos.part", "pos.cond_ord", "pos.line_group", "pos.line_ord", "line")
