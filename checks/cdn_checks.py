@@ -630,6 +630,38 @@ def cdn_metric_lists(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# The further fields of list entries: (list, value, text of the fields, rows with their count n) in SQL.
+LIST_FIELDS = [
+    ("topMissUrls", "url", "CAST(pops AS VARCHAR)", "(SELECT aem_service, aem_tier, url, count(*) AS n, count(DISTINCT pop) AS pops FROM e WHERE d = 'MISS' GROUP BY 1, 2, 3)"),
+    ("popMissBreakdown", "pop", "concat(CAST(n / total AS DECIMAL(18, 6)), ' ', CASE WHEN rare THEN 'rare' ELSE 'usual' END)",
+     "(SELECT pops.aem_service, pops.aem_tier, pop, miss AS n, rare, \"missCount\" AS total FROM pops JOIN mm ON mm.aem_service = pops.aem_service AND mm.aem_tier = pops.aem_tier WHERE miss > 0)"),
+    ("topSourceAsns", "asn", "concat(name, ' ', CASE WHEN cloud THEN 'cloud' ELSE 'other' END)", "(SELECT aem_service, aem_tier, asn, name, cloud, count AS n FROM net WHERE trim(asn) <> '')"),
+    ("topAsns", "asn", "name", "(SELECT aem_service, aem_tier, asn, name, miss AS n FROM net WHERE trim(asn) <> '' AND miss > 0)"),
+]
+FIELDS_SQL = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT {K}, '{name}' AS list, row_number() OVER (PARTITION BY {K} ORDER BY n DESC, {value}) - 1 AS place, {value} AS value, {fields} AS fields FROM {rows}) WHERE place < 10"
+    for name, value, fields, rows in LIST_FIELDS
+)
+
+
+@check("cdn_list_fields", f"{ALL_SQL} {FIELDS_SQL}")
+def cdn_list_fields(spark, sf):
+    """What list entries hold beside value and count: POPs of a URL, share and rarity of a POP, name and kind of a network."""
+    table = stage(metrics(spark, sf), "metrics")
+    fields = {
+        "topMissUrls": ("url", F.col("x.pops").cast("string")),
+        "popMissBreakdown": ("pop", F.concat_ws(" ", F.round("x.share", 6).cast("decimal(18,6)").cast("string"), F.when(F.col("x.rare"), "rare").otherwise("usual"))),
+        "topSourceAsns": ("asn", F.concat_ws(" ", "x.name", F.when(F.col("x.cloud"), "cloud").otherwise("other"))),
+        "topAsns": ("asn", F.col("x.name")),
+    }
+    listed = lambda name: table.select("aem_service", "aem_tier", F.lit(name).alias("list"), F.posexplode(name).alias("place", "x"))
+    parts = [
+        listed(name).select("aem_service", "aem_tier", "list", F.col("place").cast("bigint").alias("place"), F.col(f"x.{value}").alias("value"), text.alias("fields"))
+        for name, (value, text) in fields.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @check(
     "cdn_metrics_by_day",
     f"""{E} SELECT {K}, CAST(day(time_start) AS INT) AS day, count(*) AS "totalRequests", count(*) FILTER (d = 'MISS') AS "missCount",

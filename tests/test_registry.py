@@ -12,7 +12,7 @@ SF = Path("/root/testdata/sf0.001")
 QUICK = [
     "query_blocked_by_keyframe", "query_predicates", "dump_counts", "blocked_monitors", "generic_dumps", "signature_conditions",
     "export_lines", "event_cap", "conversions", "metrics_volume", "metrics_urls", "metrics_gaps", "networks", "top_values",
-    "upstream_chain", "case_state", "evidence_search", "untracked_files",
+    "upstream_chain", "upstream_chain_all", "case_report", "case_state", "evidence_search", "untracked_files",
 ]
 
 
