@@ -37,6 +37,18 @@ def test_lines(spark):
     assert rows[2].status == 404 and rows[3].cache_status == "" and rows[3].shielding_used is True
 
 
+def test_every_object_of_a_line_is_an_event(spark, tmp_path):
+    odd = {**ONE, "url": '/q"}, {"', "bot_name": "}{", "_raw": json.dumps({"client_ip": "1.1.1.1", "l": [{}, {}]})}
+    three = [json.dumps({**odd, "origin_host": h}) for h in "abc"]
+    texts = [", ".join(three), "".join(three), " ".join(three) + ",", three[0] + "\t{}," + three[1], ",".join(three) + "]", json.dumps({"result": odd, "l": [{}, {}]})]
+    rows = ce.parse_lines(lines(spark, *texts)).groupBy("ord").agg(F.sort_array(F.collect_list("origin_host")).alias("h"), F.collect_set("url").alias("u")).orderBy("ord").collect()
+    assert [r.h for r in rows] == [["a", "b", "c"]] * 3 + [["a", "b"], ["a", "b", "c"], [""]]
+    assert all(r.u == [odd["url"]] for r in rows)
+    # a part of an array, as a writer of several files leaves it: no bracket, all on one line
+    (tmp_path / "part.json").write_text(", ".join(three) + ",")
+    assert ce.read_export(spark, str(tmp_path)).count() == 3
+
+
 KV = """{ [-]
    url: /kv/page?x=1
    cache_status: PASS
