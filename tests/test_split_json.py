@@ -68,3 +68,9 @@ def test_a_large_array_is_read_by_several_tasks(spark, split, tmp_path):
     assert pieces.rdd.getNumPartitions() > 4
     plain = lambda df: sorted(map(str, df.drop("source_file", "ord").collect()))
     assert plain(ce.parse_lines(found)) == plain(ce.parse_lines(ce.read_lines(spark, str(tmp_path / "lines"))))
+
+
+def test_braces_are_counted_without_a_function_of_every_part(spark, tmp_path):
+    (tmp_path / "a.json").write_text('["a{\\"b}", {"i": "[x"}, {}]')
+    pieces = split_json._pieces(spark, str(tmp_path), None)
+    assert "lambda" not in pieces._jdf.queryExecution().optimizedPlan().toString()
