@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from checks import views
 from checks.compare import TABLES, rows
 from checks.registry import CHECKS
 
@@ -45,3 +46,10 @@ def test_entry(spark, con):
     df = entry(spark)
     assert df.columns == ["place", "keyframe", "count"] and df.count() > 0
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the test tables")
+def test_events_are_dealt_to_all_cores_behind_their_filters(spark):
+    """A table of few row groups is read by few tasks; what is made of its rows isn't."""
+    plan = views.cdn_logs(spark, str(SF)).where("ord > 5")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("Filter")
