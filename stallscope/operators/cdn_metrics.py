@@ -45,72 +45,86 @@ class MetricParams:
     slice_rows: int = 1_000_000  # of one URL in one slice; a slice with more is cut into parts of equal depth
 
 
-def disposition(cache_status: Column, state: Column, x_cache: Column) -> Column:
-    """HIT, MISS, PASS or OTHER from the first non-blank state."""
-    text = lambda c: F.nullif(F.upper(strip(c)), F.lit(""))
-    seen = F.coalesce(text(cache_status), text(state), text(x_cache), F.lit(""))
+def _disposition(seen: Column) -> Column:
     return (
-        F.when(seen.rlike("^(HITPASS|PASS)"), "PASS")
+        F.when(seen.startswith("HITPASS") | seen.startswith("PASS"), "PASS")
         .when(seen.startswith("MISS"), "MISS")
         .when(seen.startswith("HIT"), "HIT")
         .otherwise("OTHER")
     )
 
 
+def disposition(cache_status: Column, state: Column, x_cache: Column) -> Column:
+    """HIT, MISS, PASS or OTHER from the first non-blank state."""
+    text = lambda c: F.nullif(F.upper(strip(c)), F.lit(""))
+    return _disposition(F.coalesce(text(cache_status), text(state), text(x_cache), F.lit("")))
+
+
 def flagged(c: Column) -> Column:
     return ~F.lower(strip(F.coalesce(c, F.lit("")))).isin(fixed.BLANK_FLAGS)
 
 
-def digits_or_null(text: Column) -> Column:
-    """A number from digits. Blank text is taken out first: a failing cast costs an exception per row."""
-    return F.nullif(text, F.lit("")).try_cast("bigint")
+#: Lifetimes that a header may name: the word looked for first, and the pattern that reads it.
+LIFETIMES = {
+    "s-maxage": r"(?i)(?:^|[^a-z-])s-maxage\s*=\s*0*([1-9][0-9]*)",
+    "max-age": r"(?i)(?:^|[^a-z-])max-age\s*=\s*0*([1-9][0-9]*)",
+    "stale-while-revalidate": r"(?i)stale-while-revalidate\s*=\s*0*([1-9][0-9]*)",
+}
 
 
-def max_age(surrogate: Column, cache: Column) -> Column:
-    """Positive lifetime the origin sent: surrogate header first, s-maxage before max-age."""
-    out = []
-    for header in (surrogate, cache):
-        for name in ("s-maxage", "max-age"):
-            digits = F.regexp_extract(header, rf"(?i)(?:^|[^a-z-]){name}\s*=\s*0*([1-9][0-9]*)", 1)
-            out.append(digits_or_null(digits))
-    return F.coalesce(*out)
+def lifetime(header: str, lowered: str, name: str) -> Column:
+    """A positive number, or 0 or null where the header has none; only a header that holds the word is matched.
+
+    The zero in front spares the cast of blank text: a failing cast costs an exception per row.
+    """
+    digits = F.regexp_extract(header, LIFETIMES[name], 1)
+    return F.when(F.col(lowered).contains(name), F.concat(F.lit("0"), digits).try_cast("bigint"))
 
 
-def stale_while(surrogate: Column, cache: Column) -> Column:
-    pattern = r"(?i)stale-while-revalidate\s*=\s*0*([1-9][0-9]*)"
-    return F.coalesce(*[digits_or_null(F.regexp_extract(h, pattern, 1)) for h in (surrogate, cache)])
+def _first_positive(names: list[str]) -> Column:
+    return F.coalesce(*[F.when(F.col(n) > 0, F.col(n)) for n in names])
 
 
 def tag_events(events: DataFrame, params: MetricParams = MetricParams()) -> DataFrame:
-    """The columns the metrics need, with derived marks; nothing is evaluated until a grouping asks for it."""
-    d = disposition(F.col("cache_status"), F.col("fastly_info_state"), F.col("response_x_cache"))
-    cc, sc = F.coalesce("fetch_cache_control", F.lit("")), F.coalesce("fetch_surrogate_control", F.lit(""))
+    """The columns the metrics need, with derived marks; nothing is evaluated until a grouping asks for it.
+
+    The marks come in steps, so that a text that several of them read is made once. The list of hops, made by a higher-order
+    function, keeps the first step out of the generated loop of the query before it: fused, both are one method that is too
+    long for the JIT compiler and is interpreted for every event.
+    """
+    header = lambda c: F.coalesce(c, F.lit(""))
+    state = lambda c: F.upper(strip(F.col(c)))
     no_store = r"(?i)(no-store|no-cache|private|max-age\s*=\s*0+(?:$|[^0-9]))"
-    us = F.unix_micros(F.col("time_start").cast("timestamp"))
-    hops = F.split(F.coalesce("original_x_forwarded_for", F.lit("")), r",\s*", -1)
-    tagged = events.withColumns({"d": d, "us": us}).withColumns(
-        {
-            "is_miss": F.col("d") == "MISS",
-            "is_hit": F.col("d") == "HIT",
-            "is_pass": F.col("d") == "PASS",
-            "is_cacheable_state": F.col("d").isin("MISS", "HIT"),
-            "second": F.floor(F.col("us") / 1000000).cast("bigint"),
-            "max_age": max_age(sc, cc),
-            "swr": stale_while(sc, cc),
-            "no_store": cc.rlike(no_store) | sc.rlike(no_store),
-            "stale_ok": sc.rlike("(?i)stale-(while-revalidate|if-error)"),
-            "is_bot": flagged(F.col("bot_name")),
-            "is_cloud": F.coalesce("client_as_name", F.lit("")).rlike(r"(?i)\b" + any_of(params.cloud_words) + r"\b"),
-            "is_429": (F.col("status") == 429) | (F.col("origin_status") == 429),
-            "fetch": F.lower(F.coalesce("fetch_action", F.lit(""))),
-            "cc": cc,
-            "sc": sc,
-            "vary": strip(F.coalesce("response_vary", F.lit(""))),
-            "forwarded": (F.size(hops) > 1) & (strip(F.element_at(hops, -1)) == F.col("client_ip")),
-            "real_ip": strip(F.get(hops, F.lit(0))),
-        }
-    )
-    return tagged
+    held = {"_state0": state("cache_status"), "_state1": state("fastly_info_state"), "_state2": state("response_x_cache")}
+    hops = F.transform(F.split(header("original_x_forwarded_for"), r",\s*", -1), strip)
+    first = {
+        **held, "_hops": hops, "us": F.unix_micros(F.col("time_start").cast("timestamp")),
+        "cc": header("fetch_cache_control"), "sc": header("fetch_surrogate_control"),
+    }
+    lowered = {"_lower_sc": F.lower("sc"), "_lower_cc": F.lower("cc")}
+    numbers = {f"_{name}_{h}": lifetime(h, f"_lower_{h}", name) for h in ("sc", "cc") for name in LIFETIMES}
+    seen = reduce(lambda rest, c: F.when(F.col(c) != "", F.col(c)).otherwise(rest), reversed(held), F.lit(""))
+    d, cc, sc, listed = F.col("d"), F.col("cc"), F.col("sc"), F.col("_hops")
+    marks = {
+        "is_miss": d == "MISS",
+        "is_hit": d == "HIT",
+        "is_pass": d == "PASS",
+        "is_cacheable_state": d.isin("MISS", "HIT"),
+        "second": F.floor(F.col("us") / 1000000).cast("bigint"),
+        "max_age": _first_positive([f"_{name}_{h}" for h in ("sc", "cc") for name in ("s-maxage", "max-age")]),
+        "swr": _first_positive([f"_stale-while-revalidate_{h}" for h in ("sc", "cc")]),
+        "no_store": cc.rlike(no_store) | sc.rlike(no_store),
+        "stale_ok": sc.rlike("(?i)stale-(while-revalidate|if-error)"),
+        "is_bot": flagged(F.col("bot_name")),
+        "is_cloud": F.coalesce("client_as_name", F.lit("")).rlike(r"(?i)\b" + any_of(params.cloud_words) + r"\b"),
+        "is_429": (F.col("status") == 429) | (F.col("origin_status") == 429),
+        "fetch": F.lower(F.coalesce("fetch_action", F.lit(""))),
+        "vary": strip(F.coalesce("response_vary", F.lit(""))),
+        "forwarded": (F.size(listed) > 1) & (F.element_at(listed, -1) == F.col("client_ip")),
+        "real_ip": F.get(listed, F.lit(0)),
+    }
+    steps = events.withColumns(first).withColumns({**lowered, "_seen": seen}).withColumns({"d": _disposition(F.col("_seen")), **numbers})
+    return steps.withColumns(marks).drop("_seen", *held, "_hops", *lowered, *numbers)
 
 
 #: What the groupings read of an event, marks included.

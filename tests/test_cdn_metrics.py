@@ -242,3 +242,13 @@ def test_parts_merge_to_the_same_metrics(spark):
     both = [cm.partials(cm.tag_events(h)) for h in halves]
     merged = {n: cm.merge_part(n, both[0][n].unionByName(both[1][n])) for n in cm.PART_GROUPS}
     assert cm.metrics_from_parts(merged).collect()[0] == cm.cdn_metrics(whole).collect()[0]
+
+
+def test_lifetimes_are_read_from_either_header_and_spelling(spark):
+    cases = [  # cache, surrogate, lifetime, stale lifetime
+        ("Max-Age = 007, S-MaxAge=5", "", 5, None), ("max-age=60", "max-age=9,stale-while-revalidate=3", 9, 3), ("max-age=0", "", None, None),
+        ("max-age=99999999999999999999", "", None, None), ("x-max-age=4", "smax-age=4", None, None), ("STALE-WHILE-REVALIDATE=08", "s-maxage=0", None, 8), (None, None, None, None),
+    ]
+    rows = [b.event(fetch_cache_control=cc, fetch_surrogate_control=sc) for cc, sc, _, _ in cases]
+    got = cm.tag_events(events(spark, rows)).orderBy("ord").select("max_age", "swr").collect()
+    assert [tuple(r) for r in got] == [c[2:] for c in cases]

@@ -8,6 +8,7 @@ import pytest
 from checks import views
 from checks.compare import TABLES, rows
 from checks.registry import CHECKS
+from stallscope.operators import cdn_metrics as cm
 
 SF = Path("/root/testdata/sf0.001")
 QUICK = [
@@ -53,3 +54,17 @@ def test_events_are_dealt_to_all_cores_behind_their_filters(spark):
     """A table of few row groups is read by few tasks; what is made of its rows isn't."""
     plan = views.cdn_logs(spark, str(SF)).where("ord > 5")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RepartitionByExpression") < plan.index("Filter")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the test tables")
+def test_marks_of_events_compile(spark):
+    """A method of more than 8,000 bytes isn't compiled by the JVM: all events would go through an interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its generated code only when it has run
+    try:
+        plan = cm.slim_events(views.cdn_logs(spark, str(SF)))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    stages = getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$")
+    codes = getattr(stages, "MODULE$").codegenStringSeq(plan)
+    sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    assert len(sizes) > 1 and max(sizes) <= 8000
