@@ -403,11 +403,17 @@ SIGNAL_COLUMNS = ", ".join(
 )
 
 
-def signals(spark, sf):
-    """Case signals; threads, fingerprints and monitors feed several branches and are tables."""
+def case_frames(spark, sf):
+    """Signals of cases and the frames they come from, threads read once; what feeds several branches is a table."""
     parsed = stage_all({"threads": v.threads(spark, sf)})["threads"]
     reduced = stage_all({"fps": ds.fingerprints(parsed), "monitors": ds.blocked_monitors(parsed)})
-    return cs.case_signals(ds.thread_counts(parsed), reduced["fps"], ds.fingerprint_members(parsed), reduced["monitors"])
+    members = ds.fingerprint_members(parsed)
+    found = cs.case_signals(ds.thread_counts(parsed), reduced["fps"], members, reduced["monitors"])
+    return found, reduced["fps"], members, reduced["monitors"]
+
+
+def signals(spark, sf):
+    return case_frames(spark, sf)[0]
 
 
 @check("case_signals", f"{SIGNALS_SQL} SELECT case_id, {SIGNAL_COLUMNS} FROM sig")

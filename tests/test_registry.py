@@ -68,3 +68,12 @@ def test_marks_of_events_compile(spark):
     codes = getattr(stages, "MODULE$").codegenStringSeq(plan)
     sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
     assert len(sizes) > 1 and max(sizes) <= 8000
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["evidence_stuck_frame", "evidence_monitor_class"])
+def test_evidence_reads_the_dumps_once(spark, monkeypatch, name):
+    read, whole = [], views.threads
+    monkeypatch.setattr(views, "threads", lambda *a: read.append(a) or whole(*a))
+    CHECKS[name][0](spark, str(SF))
+    assert len(read) == 1
