@@ -33,7 +33,7 @@ from stallscope.operators.cdn_metrics import (
     merge_part,
     metrics_from_parts,
     partials,
-    tag_events,
+    slim_events,
 )
 from stallscope.session import complete_folders, remove_path, stage_all
 from stallscope.sources.cdn_export import parse_lines
@@ -65,20 +65,22 @@ def write_partials(
 ) -> DataStreamWriter:
     """Reduce every micro-batch and keep its parts under its batch id, and the ``day`` on which it came.
 
-    Order of arrival is batch id, then row number in the batch; a part carries the number, its folder the batch.
+    Order of arrival is batch id, then row number in the batch; a part carries the number, its folder the batch. The events
+    are dealt to all cores by that number, since a file of few row groups is read by as few tasks, and marked once for all parts.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("ord", F.monotonically_increasing_id()).persist()
+        numbered = batch.withColumn("ord", F.monotonically_increasing_id()).repartition("ord")
+        slim = slim_events(numbered, keys, params).persist()
         try:
-            parts = partials(tag_events(numbered, params), keys, params)
+            parts = partials(slim, keys, params)
             with ThreadPoolExecutor(len(parts)) as pool:  # side by side, so that their jobs share the cluster
                 jobs = [pool.submit(part.write.mode("overwrite").parquet, f"{table}/{name}/batch_id={batch_id}") for name, part in parts.items()]
             for job in jobs:
                 job.result()
             batch.sparkSession.createDataFrame([(day(batch_id),)], "day string").write.mode("overwrite").parquet(f"{table}/batches/batch_id={batch_id}")
         finally:
-            numbered.unpersist()
+            slim.unpersist()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 

@@ -163,3 +163,19 @@ def test_order_of_arrival_over_many_partitions(spark):
     # a later batch comes after an earlier one, whatever the numbers in it
     late = [cm.partials(cm.tag_events(h))["firsts"].withColumn("batch_id", F.lit(i)) for i, h in enumerate(reversed(halves))]
     assert cm.merge_part("firsts", late[0].unionByName(late[1]), batch="batch_id").where("dim = 'name'").first().a == "name 200"
+
+
+def test_a_batch_is_marked_once_for_all_parts(spark, tmp_path, monkeypatch):
+    rows = b.service(b.across_pops(20), "one")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"result": raw(r)}) for r in rows))
+    seen, whole = [], st.partials
+
+    def watched(events, *rest):
+        seen.append((events.columns, events.storageLevel.useMemory, "REPARTITION_BY_COL" in events._jdf.queryExecution().toString()))
+        return whole(events, *rest)
+
+    monkeypatch.setattr(st, "partials", watched)
+    stream = st.write_partials(st.export_stream(spark, str(tmp_path / "in")), str(tmp_path / "parts"), str(tmp_path / "check"))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert seen == [([*cm.KEYS, *cm.SLIM], True, True)]
