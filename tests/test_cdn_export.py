@@ -1,6 +1,8 @@
 """Every shape of export, scans and their bounds."""
 
 import json
+import random
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -86,6 +88,39 @@ def test_raw_that_only_looks_like_json_is_read_as_a_block(spark):
     assert (row[0].url, row[0].cache_status, row[0].status) == ("/from/block", "MISS", 404) and row[1].url == "/whole"
 
 
+def test_raw_is_parsed_once(spark):
+    """A parse that stands in its own conditions is done again for each of them."""
+    plan = ce.parse_lines(lines(spark, "{}"))._jdf.queryExecution().optimizedPlan().toString()
+    choice, tried = plan.split("Generate explode(")[1:3]
+    assert choice.count("from_json(") == 1 and tried.count("from_json(") == 1
+
+
+def test_block_lines(spark):
+    """Odd lines of a block, held against a plain reading of them."""
+    parts = ["a", "k.-9", ":", ": ", "{", " ", "\t", "\r", "\f", "\n", "\n", '"', "\\", "\u00a0", "\u2028", "}", "x: y", "\U0001f600"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+
+    def read(text):
+        found = {}
+        for line in text.split("\n"):
+            key, colon, value = line.strip(" \t\x0b\f\r").partition(":")
+            value = value.strip(" \t\x0b\f\r")
+            if colon and re.fullmatch("[A-Za-z0-9_.-]+", key) and not value.startswith("{"):
+                found[key] = value
+        return found
+
+    rows = lines(spark, *texts).select("ord", "value", ce.kv_json(F.col("value")).alias("j")).collect()
+    for r in rows:
+        assert {k: v for k, v in json.loads(r.j, strict=False).items() if k} == read(r.value), repr(r.value)
+
+
+def test_only_what_starts_as_an_object_is_tried_as_json(spark):
+    texts = ['{"url": "/a"}', '{ \t\r\n "url": "/a"}', "{'url': '/a'}", "{}", "{ }", "{ [-]\n url: /a", "{url: 1}", "{", "[1]", "{\u00a0}"]
+    tried = lines(spark, *texts).select(F.col("value").rlike(ce.MAY_BE_OBJECT).alias("t")).collect()
+    assert [r.t for r in tried] == [True] * 5 + [False] * 5
+
+
 def test_documents(spark):
     two = [ONE, {**ONE, "url": "/b"}]
     docs = [

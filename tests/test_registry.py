@@ -70,6 +70,20 @@ def test_marks_of_events_compile(spark):
     assert len(sizes) > 1 and max(sizes) <= 8000
 
 
+@pytest.mark.skipif(not SF.exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["export_raw_kv", "export_raw_json", "export_lines"])
+def test_exports_compile_and_are_dealt_evenly(spark, name):
+    """No method beyond what the JVM compiles, and as many parts as the session names: joined by size, they are one more than cores."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = CHECKS[name][0](spark, str(SF))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    codes = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$").codegenStringSeq(plan)
+    assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) <= 8000
+    assert "REPARTITION_BY_NUM" in plan.toString()
+
+
 @pytest.mark.skipif(not SF.exists(), reason="needs the test tables")
 @pytest.mark.parametrize("name", ["evidence_stuck_frame", "evidence_monitor_class"])
 def test_evidence_reads_the_dumps_once(spark, monkeypatch, name):
