@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from builders import at, event, events
+from stallscope.functions.text import strip, strip_long
 from stallscope.sources import cdn_export as ce
 from stallscope.sources import cdn_scan as scan
 
@@ -88,6 +89,16 @@ def test_raw_that_only_looks_like_json_is_read_as_a_block(spark):
     assert (row[0].url, row[0].cache_status, row[0].status) == ("/from/block", "MISS", 404) and row[1].url == "/whole"
 
 
+def test_long_text_is_stripped_alike(spark):
+    """Text is trimmed only where an end needs it, and a comma taken only where one is last."""
+    ends = ["", " ", "\t", "\r\n", "\x0b", "\f", "\u00a0", "\ufeff", ",", ", ", ",,", ",\u2028", ", \u2029 ", ",\u0085"]
+    texts = [a + b + c for a in ends for b in ("", '{"url": "/a, "}') for c in ends]
+    df = lines(spark, *texts).select("value", strip_long(F.col("value")).alias("long"), strip(F.col("value")).alias("short")).collect()
+    assert all(r.long == r.short for r in df) and len(df) == len(texts)
+    given = [a + '{"url": "/a, "}' + c for a in ends if "," not in a for c in ends]
+    assert [r.url for r in parsed(ce.parse_lines(lines(spark, *given)))] == ["/a, "] * len(given)
+
+
 def test_raw_is_parsed_once(spark):
     """A parse that stands in its own conditions is done again for each of them."""
     plan = ce.parse_lines(lines(spark, "{}"))._jdf.queryExecution().optimizedPlan().toString()
