@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -163,6 +164,44 @@ def test_files_of_mixed_shape(spark, tmp_path):
     assert ce.read_export(spark, str(tmp_path / "saved")).count() == 3
 
 
+def test_a_block_of_any_size_is_an_event(spark, tmp_path):
+    """A file gives the event of its block however large it is, with the last value of every key."""
+    filler = "".join(f"   status: {200 + i}\n   url: /page/{i}\n   more{i}: {'x' * 600}\n" for i in range(99)) + "\n\u00a0url: /no key\n"
+    head, tail = "{ [-]\n   origin_host: only here\n   url: {\n", "   bot_name:\n   url: /kv/last\n   more7: { [+]\n   status: 429\u00a0\n}\n"
+    (tmp_path / "large.txt").write_text(head + filler * 1200 + tail)
+    (tmp_path / "small.txt").write_text(head + filler + tail)
+    (tmp_path / "a.json").write_text(json.dumps([ONE]))
+    (tmp_path / "z.json").write_text(json.dumps([ONE]))
+    assert (tmp_path / "large.txt").stat().st_size > 70_000_000
+    df = ce.read_export(spark, str(tmp_path), keep_raw=True).drop("ord")
+    rows = {r.source_file.rsplit("/", 1)[-1]: r.asDict() | {"source_file": ""} for r in df.collect()}
+    assert rows.keys() == {"large.txt", "small.txt", "a.json", "z.json"} and rows["large.txt"] == rows["small.txt"]
+    large = rows["large.txt"]
+    assert (large["url"], large["status"], large["origin_host"], large["bot_name"]) == ("/kv/last", 429, "only here", "")
+    assert len(large["raw"]) == 103 and large["raw"]["more7"] == "" and large["raw"]["more98"] == "x" * 600
+    bare = {r.source_file.rsplit("/", 1)[-1]: r.url for r in ce.read_export(spark, str(tmp_path)).collect()}
+    assert bare == {"large.txt": "/kv/last", "small.txt": "/kv/last", "a.json": "/a", "z.json": "/a"}
+
+
+ODD = [
+    KV, KV.replace("\n", "\r\n"), "\ufeff" + KV, "\u00a0url: /a\u00a0\nstatus: 200\n\u00a0url: /b", "url: /a\nurl: {x", "xdata: { [+]", "unknown: 1", "plain words", "  \n ", "{}", "{}\n{}", "{}\nurl: /x",
+    '{"preview":false,"lastrow":true}\n{}', "[{},\n{}\n]", '[{"url":"x","result":5}]', '{"results":[\n{}\n]}', '{"result":5}\nurl: /x', "[]\nurl: /x", "[-]\nurl: /x", "[section]\nurl: /x", "[2024-01-01]\nurl: /x",
+    "[1,\n2]\nurl: /z", '{"url": "/x\nuser: bob\n"}', '{\n"url": "/x\nurl: bob\n"}', "{\nurl: /x\n}", "{ a }\njunk\n{}", "{ a }\n\u00a0foo: x\n{}", "{\n\n\f\n\"a\"\nurl: /ff", "{\n{\nurl: /cc", "xdata:\nurl: /xd\nrequest_via: 2",
+    "url: a\rb\nstatus: 1\r\n\r\n", "a: 1\n\n\n url : /x\n\turl:/tab\nstatus:\t 404 \t", 'url: /q"uote\\back\nbot_name: \\n', "url: /b\n}\n{", "url: / x\u0085\nstatus: 5 ", "note: {}\nurl: /n", "[truely]\nurl: /t",
+]
+
+
+def test_a_file_reduced_to_lines_is_read_as_its_whole_text(spark, tmp_path):
+    for i, text in enumerate(ODD):
+        (tmp_path / f"{i}.txt").write_text(text, newline="")
+    number = F.regexp_extract("source_file", r"([0-9]+)\.txt$", 1).cast("bigint")
+    for keep_raw in (False, True):
+        shown = lambda df: Counter(str({k: v for k, v in r.asDict().items() if v not in (None, "")}) for r in df.collect())  # noqa: E731, B023
+        got = ce.read_export(spark, str(tmp_path), keep_raw).withColumn("ord", number).drop("source_file")
+        want = ce.parse_documents(lines(spark, *ODD), keep_raw).drop("pos")
+        assert shown(got) == shown(want) and want.count() > len(ODD) * 2 / 3
+
+
 def test_times(spark):
     texts = ["1784173200", "1784173200123", "2026-07-16T03:40:00GMT", "2026-07-16T03:40:00Z", "2026-07-16T05:40:00+02:00", "bad", ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
